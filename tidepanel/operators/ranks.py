@@ -136,7 +136,19 @@ def quantiles(
     return result
 
 
-def top_fraction_key(df: DataFrame, by: Sequence[str], order: str, k: int) -> DataFrame:
-    """Rows whose ``order`` value ranks in the top k of its group, trimmed map-side."""
-    w = Window.partitionBy(*by).orderBy(F.col(order).desc())
-    return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_rk")
+PRE_TRIM_LIMIT = 1000
+SALTS = 64
+
+
+def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, key: str, out: str = "pick_rank") -> DataFrame:
+    """First ``n`` rows per group in ``order`` (must be total), numbered from 1.
+
+    Up to 1000 rows Spark trims every partition before the shuffle. Larger cuts first run
+    inside salted sub-groups, so no task sees a whole hot group.
+    """
+    if n > PRE_TRIM_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        part = Window.partitionBy(*by, "_salt").orderBy(*order)
+        df = salted.withColumn("_pos", F.row_number().over(part)).where(F.col("_pos") <= n).drop("_pos", "_salt")
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)

@@ -543,10 +543,10 @@ def technical_profile(spark, sf):
 
 @query("adjusted_prices", v.with_views("""
   select ts_code, trade_date, round(high * f / lf, 2) high, round("close" * f / lf, 2) "close" from (
-    select *, sqrt(1 + day(trade_date) % 4) f, last_value(sqrt(1 + day(trade_date) % 4)) over
+    select *, sqrt(2 + day(trade_date) % 4) f, last_value(sqrt(2 + day(trade_date) % 4)) over
       (partition by ts_code order by trade_date rows between unbounded preceding and unbounded following) lf from panel_l)""", "panel_l"))
 def adjusted_prices(spark, sf):
-    df = v.panel_l(spark, sf).withColumn("adj_factor", F.sqrt(1 + F.dayofmonth("trade_date") % 4))
+    df = v.panel_l(spark, sf).withColumn("adj_factor", F.sqrt(2 + F.dayofmonth("trade_date") % 4))
     return fx.adjusted_prices(df).select("ts_code", "trade_date", "high", "close")
 
 
