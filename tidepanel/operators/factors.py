@@ -75,9 +75,12 @@ def latest_size_score(df: DataFrame, group_rows: int | None = None) -> DataFrame
     return df.withColumn("size_score", F.coalesce("_score", F.lit(0.5))).drop("_score")
 
 
-def latest_section(df: DataFrame) -> DataFrame:
-    """Rows of the newest date; the one-row maximum joins as a scalar."""
-    newest = df.agg(F.max("trade_date").alias("_newest"))
+def latest_section(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Rows of the newest date; the one-row maximum joins as a scalar.
+
+    ``dates`` is a cheap source of the dates (the base panel) when ``df`` is a deep plan.
+    """
+    newest = (df if dates is None else dates).agg(F.max("trade_date").alias("_newest"))
     return df.join(F.broadcast(newest), F.col("trade_date") == F.col("_newest")).drop("_newest")
 
 
@@ -241,10 +244,10 @@ def fill_numeric(df: DataFrame) -> DataFrame:
 
 def rule_factors(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """The full factor panel."""
+    df = size(df, group_rows)
     for step in (returns, volume_price, valuation, volatility, illiquidity, moving_averages,
                  macd, kdj, rsi, bollinger, price_position):
         df = step(df)
-    df = size(df, group_rows)
     df = risk_flags(composites(df))
     absent = [c for c in ("mf_net_main", "mf_main_ratio", "sent_limit_gene", "sent_limit_active", "sent_hsgt_fav")
               if c not in df.columns]

@@ -84,10 +84,10 @@ def average_ranks(
         out = {}
         for o in cols:
             x = F.col(f"_x_{o}")
-            rank = F.rank().over(Window.partitionBy(*by).orderBy(x.asc_nulls_last()))
-            ties = F.count(F.lit(1)).over(Window.partitionBy(*by, f"_x_{o}"))
+            w = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+            upto = F.count(x).over(w.rangeBetween(Window.unboundedPreceding, 0))
             total = F.count(x).over(Window.partitionBy(*by))
-            value = rank + (ties - 1) / F.lit(2.0)
+            value = (F.rank().over(w) + upto) / F.lit(2.0)
             out[o] = F.when(x.isNotNull(), value / total if pct else value)
         return staged.withColumns(out).drop(*[f"_x_{o}" for o in cols])
     for o, c in cols.items():

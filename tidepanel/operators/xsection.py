@@ -1,8 +1,10 @@
 """Cross-sectional operators: one section = all entities of one date.
 
-Means, deviations and bounds come from a grouped aggregate (map-side combine) joined
-back, never from a window over the whole section; ranks and quantiles go through
-``ranks``. Results are per date; the newest date gives the single-section answer.
+``group_rows`` is the measured size of the widest section. Small sections share one
+exchange on the date for every statistic. Beyond ``ranks.WINDOW_ROWS``, or when the size
+is unknown, means, deviations and bounds come from a grouped aggregate (map-side combine)
+joined back, and ranks and quantiles from the value-split plans of ``ranks``; a deep input
+is then materialised once. Results are per date; the newest date is the reference answer.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bound, is_blank, special_treatment
+from ..session import cut_lineage
 from . import ranks
 from .factors import latest_section
 from .windows import clip, flag
@@ -35,8 +38,15 @@ RULE_WEIGHTS = {
 }
 
 
-def join_stats(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
-    """Aggregate per group and join back; null keys match null keys."""
+def join_stats(df: DataFrame, by: Sequence[str], aggs: dict[str, Column], group_rows: int | None = None) -> DataFrame:
+    """Group aggregates on every row.
+
+    A measured, small group stays in one window pass (no second scan of ``df``). Otherwise
+    the rows are aggregated with map-side combine and joined back; null keys match.
+    """
+    if group_rows is not None and group_rows <= ranks.WINDOW_ROWS:
+        w = Window.partitionBy(*by)
+        return df.withColumns({n: c.over(w) for n, c in aggs.items()})
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
     renamed = stats.select(*[F.col(k).alias(f"_k_{k}") for k in by], *aggs)
     cond = None
@@ -46,14 +56,15 @@ def join_stats(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> Dat
     return df.join(renamed, cond, "left").drop(*[f"_k_{k}" for k in by])
 
 
-def z_scores(df: DataFrame, by: Sequence[str], cols: dict[str, str], ddof: int = 0, guard: bool = True) -> DataFrame:
+def z_scores(df: DataFrame, by: Sequence[str], cols: dict[str, str], ddof: int = 0, guard: bool = True,
+             group_rows=None) -> DataFrame:
     """(x - mean) / std per group. ``guard``: 0 where std <= 1e-9; else std + 1e-9."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
     aggs = {}
     for o, c in cols.items():
         aggs[f"_m_{o}"] = F.avg(c)
         aggs[f"_s_{o}"] = std(c)
-    df = join_stats(df, by, aggs)
+    df = join_stats(df, by, aggs, group_rows)
     out = {}
     for o, c in cols.items():
         dev, sd = F.col(c) - F.col(f"_m_{o}"), F.col(f"_s_{o}")
@@ -61,18 +72,19 @@ def z_scores(df: DataFrame, by: Sequence[str], cols: dict[str, str], ddof: int =
     return df.withColumns(out).drop(*aggs)
 
 
-def min_max(df: DataFrame, by: Sequence[str], cols: dict[str, str]) -> DataFrame:
+def min_max(df: DataFrame, by: Sequence[str], cols: dict[str, str], group_rows=None) -> DataFrame:
     aggs = {}
     for o, c in cols.items():
         aggs[f"_lo_{o}"], aggs[f"_hi_{o}"] = F.min(c), F.max(c)
-    df = join_stats(df, by, aggs)
+    df = join_stats(df, by, aggs, group_rows)
     out = {o: (F.col(c) - F.col(f"_lo_{o}")) / (F.col(f"_hi_{o}") - F.col(f"_lo_{o}") + TINY) for o, c in cols.items()}
     return df.withColumns(out).drop(*aggs)
 
 
-def score_band(df: DataFrame, by: Sequence[str], col: str, out: str, base: float = 60.0, span: float = 35.0) -> DataFrame:
+def score_band(df: DataFrame, by: Sequence[str], col: str, out: str, base: float = 60.0, span: float = 35.0,
+               group_rows=None) -> DataFrame:
     """Min-max to ``base .. base+span``; a flat section takes the middle."""
-    df = join_stats(df, by, {"_lo": F.min(col), "_hi": F.max(col), "_sd": F.stddev_pop(col)})
+    df = join_stats(df, by, {"_lo": F.min(col), "_hi": F.max(col), "_sd": F.stddev_pop(col)}, group_rows)
     mm = F.when(F.col("_sd") > TINY, (F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + TINY)).otherwise(0.5)
     return df.withColumn(out, base + mm * span).drop("_lo", "_hi", "_sd")
 
@@ -96,7 +108,7 @@ def robust_z(df: DataFrame, by: Sequence[str], cols: dict[str, str], group_rows=
             specs[f"_{tag}_{o}"] = (f"_w_{o}", q)
         aggs[f"_mean_{o}"], aggs[f"_sd_{o}"] = F.avg(f"_w_{o}"), F.stddev_samp(f"_w_{o}")
     q = ranks.quantiles(df, by, specs, group_rows)
-    df = join_stats(df.join(q, list(by), "left"), by, aggs)
+    df = join_stats(df.join(q, list(by), "left"), by, aggs, group_rows)
     out = {}
     for o in cols:
         w, iqr = F.col(f"_w_{o}"), F.col(f"_b_{o}") - F.col(f"_a_{o}")
@@ -128,7 +140,7 @@ def weighted_rank_score(df: DataFrame, weights: dict[str, float] | None = None,
     filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used})
     signed = lambda c, r: r if weights[c] > 0 else 1.0 - r
     if group_rows <= ranks.WINDOW_ROWS:
-        spread = join_stats(filled, by, {f"_s_{c}": F.stddev_pop(f"_f_{c}") for c in used})
+        spread = join_stats(filled, by, {f"_s_{c}": F.stddev_pop(f"_f_{c}") for c in used}, group_rows)
         ranked = ranks.average_ranks(spread, by, {f"_r_{c}": f"_f_{c}" for c in used}, group_rows)
         parts = [
             signed(c, F.when(F.col(f"_s_{c}") > TINY, F.col(f"_r_{c}")).otherwise(0.5)) * (abs(weights[c]) / total)
@@ -148,17 +160,20 @@ def weighted_rank_score(df: DataFrame, weights: dict[str, float] | None = None,
     return df.join(scores, [*by, "ts_code"], "left")
 
 
-def relax_if_few(df: DataFrame, keep: Column, at_least: int, by=DATE) -> DataFrame:
+def relax_if_few(df: DataFrame, keep: Column, at_least: int, by=DATE, group_rows=None) -> DataFrame:
     """Filter rows, but keep a whole section where fewer than ``at_least`` would survive."""
-    df = join_stats(df.withColumn("_keep", F.coalesce(keep, F.lit(False))), by, {"_n": F.count_if(F.col("_keep"))})
+    df = join_stats(df.withColumn("_keep", F.coalesce(keep, F.lit(False))), by,
+                    {"_n": F.sum(F.col("_keep").cast("long"))}, group_rows)
     return df.where(F.col("_keep") | (F.col("_n") < at_least)).drop("_keep", "_n")
 
 
 def rule_selection(df: DataFrame, top_n: int = 100, group_rows=None) -> DataFrame:
     """Rank score -> 60..95 band -> risk filter with relaxation -> top names of each date."""
-    scored = score_band(weighted_rank_score(df, group_rows=group_rows), DATE, "rule_raw", "rule_score")
+    if group_rows is None or group_rows > ranks.WINDOW_ROWS:
+        df = cut_lineage(df)
+    scored = score_band(weighted_rank_score(df, group_rows=group_rows), DATE, "rule_raw", "rule_score", group_rows=group_rows)
     safe = (F.col("risk_pledge_high") == 0) & (F.col("risk_st") == 0) & (F.col("risk_delist_score") == 0)
-    kept = relax_if_few(scored, safe, top_n)
+    kept = relax_if_few(scored, safe, top_n, group_rows=group_rows)
     return ranks.top_n(kept, DATE, [F.round("rule_score", 9).desc(), F.col("ts_code")], top_n, "ts_code")
 
 
@@ -166,12 +181,10 @@ def degenerate_rule_score(df: DataFrame, weights=None, group_rows=None) -> DataF
     """Rule score, or the close rank (60..95) on dates where every factor is flat (std < .01)."""
     weights = weights or RULE_WEIGHTS
     used = [c for c in weights if c in df.columns]
-    scored = score_band(weighted_rank_score(df, weights, group_rows=group_rows), DATE, "rule_raw", "_regular")
-    flat = None
-    for c in used:
-        f = F.coalesce(F.stddev_samp(c), F.lit(0.0)) < 0.01
-        flat = f if flat is None else flat & f
-    scored = join_stats(scored, DATE, {"_flat": flat})
+    scored = score_band(weighted_rank_score(df, weights, group_rows=group_rows), DATE, "rule_raw", "_regular", group_rows=group_rows)
+    scored = join_stats(scored, DATE, {f"_s_{c}": F.stddev_samp(c) for c in used}, group_rows)
+    widest = F.greatest(*[F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) for c in used], F.lit(0.0))
+    scored = scored.withColumn("_flat", widest < 0.01).drop(*[f"_s_{c}" for c in used])
     scored = ranks.average_ranks(scored, DATE, {"_close_rank": "close"}, group_rows)
     score = F.when(F.col("_flat"), F.round(60.0 + F.col("_close_rank") * 35.0, 1)).otherwise(F.col("_regular"))
     return scored.withColumn("rule_score", score).drop("_flat", "_close_rank", "_regular")
@@ -180,13 +193,14 @@ def degenerate_rule_score(df: DataFrame, weights=None, group_rows=None) -> DataF
 # ---- neutralisation ------------------------------------------------------------------
 
 
-def industry_neutral(df: DataFrame, score: str, industry: str = "industry", out="industry_neutral_score") -> DataFrame:
+def industry_neutral(df: DataFrame, score: str, industry: str = "industry", out="industry_neutral_score",
+                     group_rows=None) -> DataFrame:
     """z inside each industry (a single member gives 0), then z over the date."""
     df = join_stats(df, ["trade_date", industry],
-                    {"_m": F.avg(score), "_s": F.stddev_samp(score), "_n": F.count(F.lit(1))})
+                    {"_m": F.avg(score), "_s": F.stddev_samp(score), "_n": F.count(F.lit(1))}, group_rows)
     inner = F.when(F.col("_n") > 1, (F.col(score) - F.col("_m")) / (F.col("_s") + TINY)).otherwise(0.0)
     df = df.withColumn("_z", inner).drop("_m", "_s", "_n")
-    return z_scores(df, DATE, {out: "_z"}, ddof=1, guard=False).drop("_z")
+    return z_scores(df, DATE, {out: "_z"}, ddof=1, guard=False, group_rows=group_rows).drop("_z")
 
 
 def industry_median_neutral(df: DataFrame, cols: Sequence[str], industry: str = "industry", group_rows=None) -> DataFrame:
@@ -212,8 +226,8 @@ def style_factors(df: DataFrame, group_rows=None) -> DataFrame:
         "_pb": F.coalesce(clip(F.col("pb"), 0.0, 30.0), F.lit(3.0)),
     })
     df = z_scores(df, DATE, {"style_size": "_size", "style_value": "_value", "style_growth": "_growth",
-                             "style_momentum": "_mom"}, ddof=1, guard=False)
-    df = min_max(df, DATE, {"volatility_risk": "_vol", "_liq": "_amt"})
+                             "style_momentum": "_mom"}, ddof=1, guard=False, group_rows=group_rows)
+    df = min_max(df, DATE, {"volatility_risk": "_vol", "_liq": "_amt"}, group_rows)
     q90 = ranks.quantiles(df, DATE, {"_pe90": ("_pe", 0.9), "_pb90": ("_pb", 0.9)}, group_rows)
     df = df.join(q90, DATE, "left")
     nonzero = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
@@ -325,13 +339,14 @@ def style_neutral(df: DataFrame, score: str, xs: Sequence[str] = STYLE, out="sty
     return df.withColumn(out, F.coalesce(F.col(score), F.lit(0.0)) - fit).drop("intercept", *[f"b_{c}" for c in xs])
 
 
-def style_neutral_single(df: DataFrame, score: str, xs: Sequence[str], out="neutral_score") -> DataFrame:
+def style_neutral_single(df: DataFrame, score: str, xs: Sequence[str], out="neutral_score",
+                         group_rows=None) -> DataFrame:
     """Subtract slope_j * x_j for each style on its own (slopes all taken from the score)."""
     aggs = {}
     for c in xs:
         aggs[f"_b_{c}"] = F.regr_slope(F.col(score), F.coalesce(F.col(c), F.lit(0.0)))
         aggs[f"_s_{c}"] = F.stddev_pop(F.coalesce(F.col(c), F.lit(0.0)))
-    df = join_stats(df, DATE, aggs)
+    df = join_stats(df, DATE, aggs, group_rows)
     rest = F.col(score)
     for c in xs:
         rest = rest - F.when(F.col(f"_s_{c}") > TINY, F.col(f"_b_{c}") * F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0)
@@ -426,7 +441,7 @@ def small_cap_factors(df: DataFrame, size_pct: float = 0.3, min_mv: float = 1e4,
         "small_cap_undervalued": member * flag((F.col("pb") < 2) & (F.col("pe") < 30) & (F.col("pe") > 0)),
     })
     parts = ("small_cap_revenue_growth", "small_cap_momentum_20d", "small_cap_roe", "small_cap_liquidity", "small_cap_pb")
-    df = z_scores(df, DATE, {f"_z_{c}": c for c in parts}, ddof=1)
+    df = z_scores(df, DATE, {f"_z_{c}": c for c in parts}, ddof=1, group_rows=group_rows)
     mean = sum(F.col(f"_z_{c}") for c in parts) / len(parts)
     return df.withColumn("small_cap_composite_score", F.col("is_small_cap") * mean).drop(*[f"_z_{c}" for c in parts])
 
@@ -445,7 +460,7 @@ def final_composite(df: DataFrame, group_rows=None) -> DataFrame:
     agree = 1.0 - F.least(F.abs(F.coalesce(F.col("ai_score"), F.lit(0.0)) - F.coalesce(F.col("rule_score"), F.lit(0.0))), F.lit(20.0)) / 20.0
     parts = {"_zr": "rule_score", "_zt": "trend_score", "_zb": "bottom_score", "_za": "ai_score", "_zc": "_agree"}
     df = robust_z(df.withColumn("_agree", agree), DATE, parts, group_rows)
-    df = join_stats(df, DATE, {"_vol": F.avg("volat_hist_20d")})
+    df = join_stats(df, DATE, {"_vol": F.avg("volat_hist_20d")}, group_rows)
     calm, storm = (0.40, 0.25, 0.15, 0.10, 0.10), (0.50, 0.20, 0.12, 0.08, 0.10)
     hot = F.coalesce(F.col("_vol"), F.lit(0.0)) > 0.025
     score = sum(F.when(hot, s).otherwise(c) * F.col(z) for z, c, s in zip(parts, calm, storm))
@@ -453,14 +468,15 @@ def final_composite(df: DataFrame, group_rows=None) -> DataFrame:
     return df.withColumn("v19_final_score", score * pledge).drop(*parts, "_agree", "_vol")
 
 
-def fallback_scores(df: DataFrame) -> DataFrame:
+def fallback_scores(df: DataFrame, group_rows=None) -> DataFrame:
     """Trend and bottom scores from rule factors, 60..90, one decimal."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     trend = zero("pmt_return_20d") + zero("ma_trend_score") + zero("macd_golden") + zero("ma_bull")
     bottom = (zero("multi_oversold_flag") + zero("rsi_divergence") + zero("reversal_signal") + zero("in_bottom_zone")
               + (1.0 - F.coalesce(F.col("rsi"), F.lit(50.0)) / 100.0) * 0.5)
     df = df.withColumns({"_t": trend, "_b": bottom})
-    df = score_band(score_band(df, DATE, "_t", "trend_score", 60.0, 30.0), DATE, "_b", "bottom_score", 60.0, 30.0)
+    df = score_band(df, DATE, "_t", "trend_score", 60.0, 30.0, group_rows)
+    df = score_band(df, DATE, "_b", "bottom_score", 60.0, 30.0, group_rows)
     return df.drop("_t", "_b")
 
 
@@ -565,10 +581,10 @@ def latest_constituents(weights: DataFrame, code: str, day: str) -> DataFrame:
     return rows.dropDuplicates([code])
 
 
-def industry_anchors(df: DataFrame, cap: str = "total_mv", liq: str = "amount") -> DataFrame:
+def industry_anchors(df: DataFrame, cap: str = "total_mv", liq: str = "amount", group_rows=None) -> DataFrame:
     """Representatives per (date, industry): two from groups of five or more, else one."""
     rows = df.where(~is_blank("industry", unknown_too=True))
-    rows = join_stats(rows, ["trade_date", "industry"], {"_c": F.max(cap), "_l": F.max(liq), "_n": F.count(F.lit(1))})
+    rows = join_stats(rows, ["trade_date", "industry"], {"_c": F.max(cap), "_l": F.max(liq), "_n": F.count(F.lit(1))}, group_rows)
     part = lambda c, m: F.when(F.col(m) > 0, F.coalesce(F.col(c), F.lit(0.0)) / (F.col(m) + TINY)).otherwise(0.0)
     rows = rows.withColumn("anchor_score", 0.6 * part(cap, "_c") + 0.4 * part(liq, "_l"))
     w = Window.partitionBy("trade_date", "industry").orderBy(F.round("anchor_score", 9).desc(), "ts_code")

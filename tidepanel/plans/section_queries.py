@@ -75,7 +75,7 @@ def z(col, ddof, by="trade_date"):
     f"""select ts_code, trade_date, {r("(pe - avg(pe) over (partition by trade_date)) / stddev_pop(pe) over (partition by trade_date)", 'z_pe')},
     {r(z('amount', 1), 'z_amount')} from panel_e""", "panel_e"))
 def z_scores(spark, sf):
-    df = xs.z_scores(panel(spark, sf), ["trade_date"], {"z_pe": "pe"}, ddof=0)
+    df = xs.z_scores(panel(spark, sf), ["trade_date"], {"z_pe": "pe"}, ddof=0, group_rows=rows(spark, sf))
     return pick(xs.z_scores(df, ["trade_date"], {"z_amount": "amount"}, ddof=1, guard=False), "z_pe", "z_amount")
 
 
@@ -161,9 +161,9 @@ def relaxed_risk_selection(spark, sf):
     df = sub_factors(spark, sf).select("ts_code", "trade_date", "close", "risk_delist_score", *SUB_WEIGHTS)
     flatless = df.withColumn("risk_delist_score", F.lit(0.0))
     scored = xs.score_band(xs.weighted_rank_score(flatless.drop("risk_delist_score"), group_rows=rows(spark, sf)),
-                           ["trade_date"], "rule_raw", "rule_score")
+                           ["trade_date"], "rule_raw", "rule_score", group_rows=rows(spark, sf))
     safe = (F.col("risk_pledge_high") == 0) & (F.col("risk_st") == 0)
-    kept = xs.relax_if_few(scored, safe, 20)
+    kept = xs.relax_if_few(scored, safe, 20, group_rows=rows(spark, sf))
     top = ranks.top_n(kept, ["trade_date"], [F.round("rule_score", 9).desc(), F.col("ts_code")], 20, "ts_code")
     return rounded(top.select("trade_date", "ts_code", "rule_score", "pick_rank"))
 
@@ -173,7 +173,7 @@ def rule_selection(spark, sf):
     """Flagship: all factors, 33 weights, risk filter with relaxation, top names of the newest date."""
     df = fx.rule_factors(panel(spark, sf), rows(spark, sf))
     picks = xs.rule_selection(df, 20, rows(spark, sf))
-    return rounded(fx.latest_section(picks).select("trade_date", "ts_code", "industry", "close", "rule_score", "pick_rank"), 6)
+    return rounded(fx.latest_section(picks, panel(spark, sf)).select("trade_date", "ts_code", "industry", "close", "rule_score", "pick_rank"), 6)
 
 
 @query("degenerate_score", v.with_views(
@@ -189,7 +189,7 @@ IND = f"""n0 as (select *, case when count(*) over (partition by trade_date, ind
 @query("industry_neutral", v.with_views(
     f"select ts_code, trade_date, {r(z('zi', 1), 'industry_neutral_score')} from n0", "panel_e", extra=IND))
 def industry_neutral(spark, sf):
-    return pick(xs.industry_neutral(panel(spark, sf), "amount"), "industry_neutral_score")
+    return pick(xs.industry_neutral(panel(spark, sf), "amount", group_rows=rows(spark, sf)), "industry_neutral_score")
 
 
 @query("industry_median_neutral", v.with_views(
@@ -268,7 +268,7 @@ def slope_part(c):
     "select ts_code, trade_date, " + r("roe - " + " - ".join(slope_part(c) for c in STYLE_COLS[:4]), "neutral_score") + " from y2",
     "panel_e", extra=STYLES))
 def style_neutral_single(spark, sf):
-    return pick(xs.style_neutral_single(styled(spark, sf), "roe", xs.STYLE), "neutral_score")
+    return pick(xs.style_neutral_single(styled(spark, sf), "roe", xs.STYLE, group_rows=rows(spark, sf)), "neutral_score")
 
 
 @query("factor_return_estimates", v.with_views(
@@ -400,9 +400,9 @@ def fallback_scores(spark, sf):
 def item_view(spark, sf):
     """Scores, confidence, position and signals of the newest date (hand-made rows in tests)."""
     df = fx.rule_factors(panel(spark, sf), rows(spark, sf))
-    df = xs.valuation_attractiveness(xs.fallback_scores(df), rows(spark, sf))
-    df = xs.score_band(xs.weighted_rank_score(df, group_rows=rows(spark, sf)), ["trade_date"], "rule_raw", "rule_score")
-    out = fx.latest_section(xs.item_view(df))
+    df = xs.valuation_attractiveness(xs.fallback_scores(df, rows(spark, sf)), rows(spark, sf))
+    df = xs.score_band(xs.weighted_rank_score(df, group_rows=rows(spark, sf)), ["trade_date"], "rule_raw", "rule_score", group_rows=rows(spark, sf))
+    out = fx.latest_section(xs.item_view(df), panel(spark, sf))
     return rounded(out.select("ts_code", "trade_date", "buy_score", "confidence", "position_weight", "position_level",
                               "buy_signals", "veto_reason"), 4)
 
@@ -461,4 +461,4 @@ def latest_constituents(spark, sf):
         + 0.4::double * amount / (max(amount) over (partition by trade_date, industry) + 1e-9) sc, count(*) over (partition by trade_date, industry) n from panel_e))
       where pos <= case when n >= 5 then 2 else 1 end""", "panel_e"))
 def industry_anchors(spark, sf):
-    return rounded(xs.industry_anchors(panel(spark, sf)).select("ts_code", "trade_date", "industry", "anchor_score", "pos"))
+    return rounded(xs.industry_anchors(panel(spark, sf), group_rows=rows(spark, sf)).select("ts_code", "trade_date", "industry", "anchor_score", "pos"))
