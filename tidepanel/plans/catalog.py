@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import factor_queries, section_queries  # noqa: F401
+from . import factor_queries, flow_queries, section_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
