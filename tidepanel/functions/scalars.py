@@ -138,3 +138,13 @@ def repair_mojibake(c: str, markers: str) -> Column:
     """UTF-8 text that was decoded as Latin-1: decode again where markers show it."""
     again = F.decode(F.encode(F.col(c), "ISO-8859-1"), "UTF-8")
     return F.when(F.col(c).rlike(markers), again).otherwise(F.col(c))
+
+
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson aggregate over complete pairs; null where a side is constant (the built-in
+    raises a division error there in ANSI mode)."""
+    x = F.col(x) if isinstance(x, str) else x
+    y = F.col(y) if isinstance(y, str) else y
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -129,12 +129,12 @@ def flow_proportional_edges(spark, sf):
 @query("flow_anomalies", v.with_views("""
   select sector_name, main_force_net, change_pct, round(z, 3) z_score, case when z > 0 then 'surge' else 'flight' end anomaly_type from (
     select s.*, (main_force_net - m) / nullif(sd, 0) z from sector_flow s join (select sector_name, avg(main_force_net) m, stddev_samp(main_force_net) sd from sector_flow group by 1)
-    using (sector_name) where "date" = (select max("date") from sector_flow)) where abs(z) >= 0.5 order by abs(z_score) desc, sector_name limit 10""", "sector_flow"))
+    using (sector_name) where "date" = (select max("date") from sector_flow)) where abs(z) >= 0.02 order by abs(z_score) desc, sector_name limit 10""", "sector_flow"))
 def flow_anomalies(spark, sf):
-    return fl.anomalies(flows(spark, sf), 0.5)
+    return fl.anomalies(flows(spark, sf), 0.02)
 
 
-MULTI = ISL = """m0 as (select *, max(t) over () tm from sector_flow join (select "date", row_number() over (order by "date") - 1 t from (select distinct "date" from sector_flow)) using ("date")),
+MULTI = """m0 as (select *, max(t) over () tm from sector_flow join (select "date", row_number() over (order by "date") - 1 t from (select distinct "date" from sector_flow)) using ("date")),
 m1 as (select *, sign(main_force_net) sg, case when sign(main_force_net) = lag(sign(main_force_net)) over (partition by sector_name order by "date") then 0 else 1 end brk from m0),
 m2 as (select *, sum(brk) over (partition by sector_name order by "date") blk from m1),
 m3 as (select *, row_number() over (partition by sector_name, blk order by "date") * sg ss from m2),
@@ -157,8 +157,8 @@ def rk(c):
     return f"((rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0) / count({c}) over ())"
 
 
-ATT = MULTI + f""", at as (select *, main_force_net - net_5d / 5 acc from me),
-au as (select *, {rk('net_10d')} r10, (0.38::double * (0.5::double * {rk('intensity')} + 0.5::double * {rk('main_force_net')}) + 0.34::double * {rk('net_5d')} + 0.18::double * {rk('net_10d')} + 0.1::double * {rk('acc')}) * 100 att from at),
+ATT = MULTI + f""", at0 as (select *, main_force_net - net_5d / 5 acc from me),
+au as (select *, {rk('net_10d')} r10, (0.38::double * (0.5::double * {rk('intensity')} + 0.5::double * {rk('main_force_net')}) + 0.34::double * {rk('net_5d')} + 0.18::double * {rk('net_10d')} + 0.1::double * {rk('acc')}) * 100 att from at0),
 av as (select *, row_number() over (order by round(att, 9) desc, sector_name) pos, count(*) over () n, case when main_force_net > 0 and net_5d > 0 and acc > 0 and chg_5d < 3 then 'accelerating accumulation'
   when main_force_net > 0 and net_5d > 0 and acc > 0 then 'accelerating inflow' when main_force_net > 0 and net_5d > 0 and chg_5d < 2 then 'accumulation'
   when main_force_net > 0 and net_5d > 0 then 'steady inflow' when main_force_net > 0 and net_5d <= 0 then 'turning warm'
