@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band_score, bare_code, bound, clean_text, special_treatment
+from ..session import cut_lineage
 from . import ranks
 from .market import emotion, industry_heat
 
@@ -231,8 +232,11 @@ def run(df: DataFrame, name: str, group_rows=None, **params) -> DataFrame:
 
 
 def run_grid(df: DataFrame, grid: list[tuple[str, dict]], group_rows=None) -> DataFrame:
-    """Several (strategy, overrides) settings in one job, labelled by position."""
-    out = None
+    """Several (strategy, overrides) settings in one job, labelled by position.
+
+    The history panel is materialised once for all settings.
+    """
+    out, df = None, cut_lineage(df) if len(grid) > 1 else df
     for i, (name, params) in enumerate(grid):
         part = run(df, name, group_rows, **params).withColumn("setting", F.lit(i))
         out = part if out is None else out.unionByName(part)

@@ -243,3 +243,30 @@ def asof_join(
     return joined.select(
         *[F.col("_l")[c].alias(c) for c in lcols], *[value[v].alias(v) for v in values]
     )
+
+
+def cumulative(df: DataFrame, keys: Sequence[str], order: str, bucket: str, specs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Running sums and maxima of long groups, split into (keys, bucket) cells.
+
+    ``specs`` maps output to (column, kind); kinds are ``sum``, ``max`` and their exclusive
+    forms ``sum_before``, ``max_before``. ``bucket`` must not fall along ``order``. A cell is
+    scanned on its own; one row per cell carries the totals of the earlier cells.
+    """
+    inside = Window.partitionBy(*keys, bucket).orderBy(order)
+    agg = {"sum": F.sum, "max": F.max}
+    local, totals, carried, final = {}, [], {}, {}
+    for out, (c, kind) in specs.items():
+        f = agg[kind.split("_")[0]]
+        hi = -1 if kind.endswith("_before") else 0
+        local[f"_in_{out}"] = f(c).over(inside.rowsBetween(Window.unboundedPreceding, hi))
+        totals.append(f(c).alias(f"_t_{out}"))
+        earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        carried[f"_c_{out}"] = f(f"_t_{out}").over(earlier)
+        a, b = F.col(f"_in_{out}"), F.col(f"_c_{out}")
+        if kind.startswith("sum"):
+            final[out] = F.coalesce(a + b, a, b)
+        else:
+            final[out] = F.greatest(a, b)
+    cells = df.groupBy(*keys, bucket).agg(*totals).withColumns(carried).select(*keys, bucket, *carried)
+    df = df.withColumns(local).join(cells, [*keys, bucket])
+    return df.withColumns(final).drop(*local, *carried)
