@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, factor_queries, flow_queries, market_queries, research_queries, section_queries  # noqa: F401
+from . import evaluation_queries, factor_queries, flow_queries, market_queries, research_queries, section_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -53,12 +53,12 @@ def forecast_rows(spark, sf):
     return rs.forecast_rows(df, done, NUMBERS, ((r"(no) such (text)", 0, 1),))
 
 
-EVENT = ((r"(\d{4})(\d{2})(\d{2})", "notice"),)
+EVENT = ((r"(2\d{3})\d*?([1-9])\d*?([1-9])", "notice"),)
 
 
 @query("text_events", v.with_views(r"""
-  select event_date, stock_code, stock_name || ' notice' title, 'notice' event_type, min(report_id) report_id from (select *, try_cast(y || '-' || m || '-' || d as date) event_date from (
-    select report_id, stock_code, stock_name, unnest(regexp_extract_all("text", '(\d{4})(\d{2})(\d{2})', 1)) y, unnest(regexp_extract_all("text", '(\d{4})(\d{2})(\d{2})', 2)) m, unnest(regexp_extract_all("text", '(\d{4})(\d{2})(\d{2})', 3)) d from reports))
+  select event_date, stock_code, stock_name || ' notice' title, 'notice' event_type, min(report_id) report_id from (select *, try_cast(y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') as date) event_date from (
+    select report_id, stock_code, stock_name, unnest(regexp_extract_all("text", '(2\d{3})\d*?([1-9])\d*?([1-9])', 1)) y, unnest(regexp_extract_all("text", '(2\d{3})\d*?([1-9])\d*?([1-9])', 2)) m, unnest(regexp_extract_all("text", '(2\d{3})\d*?([1-9])\d*?([1-9])', 3)) d from reports))
   where event_date between date '1900-01-01' and date '1900-01-01' + 100000 group by 1, 2, 3""", "reports"))
 def text_events(spark, sf):
     """Date-like digits of the driver text; hand-made Chinese rows are in the tests."""
