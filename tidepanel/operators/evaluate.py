@@ -216,8 +216,9 @@ def sample_weights(df: DataFrame, order: Sequence[str], strength: float = 2.0) -
     w = Window.partitionBy("_one").orderBy(*order)
     days = days.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("_one"))})
     days = days.withColumn("_w", F.exp(-strength + strength * F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1))))
-    mean = days.groupBy("_one").agg((F.sum(F.col("_w") * F.col("_c")) / F.sum("_c")).alias("_mean"))
-    days = days.join(F.broadcast(mean), "_one").select(*order, (F.col("_w") / F.col("_mean")).alias("sample_weight"))
+    every = Window.partitionBy("_one")
+    mean = F.sum(F.col("_w") * F.col("_c")).over(every) / F.sum("_c").over(every)
+    days = days.select(*order, (F.col("_w") / mean).alias("sample_weight"))
     return df.join(days, list(order))
 
 

@@ -58,10 +58,9 @@ def valuation(df: DataFrame) -> DataFrame:
 
 def size(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Log market value (gaps take the global median) and its reversed rank per date."""
-    df = df.withColumn("_all", F.lit(1))
-    mid = ranks.quantiles(df, ["_all"], {"_mid": ("total_mv", 0.5)}, group_rows=ranks.WINDOW_ROWS + 1)
-    df = df.join(F.broadcast(mid), "_all", "left")
-    df = df.withColumn("size_mkt_cap_log", F.log1p(F.coalesce("total_mv", "_mid", F.lit(1e5)))).drop("_mid", "_all")
+    whole = df.select("total_mv", F.lit(1).alias("_all"))
+    mid = ranks.quantiles(whole, ["_all"], {"_mid": ("total_mv", 0.5)}, group_rows=ranks.WINDOW_ROWS + 1)
+    df = df.withColumn("size_mkt_cap_log", F.log1p(F.coalesce(F.col("total_mv"), mid.select("_mid").scalar(), F.lit(1e5))))
     df = ranks.average_ranks(df, ["trade_date"], {"_size_rank": "size_mkt_cap_log"}, group_rows)
     return df.withColumn("size_score", F.lit(1.0) - F.col("_size_rank")).drop("_size_rank")
 
@@ -76,12 +75,12 @@ def latest_size_score(df: DataFrame, group_rows: int | None = None) -> DataFrame
 
 
 def latest_section(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
-    """Rows of the newest date; the one-row maximum joins as a scalar.
+    """Rows of the newest date, which comes as a scalar subquery.
 
     ``dates`` is a cheap source of the dates (the base panel) when ``df`` is a deep plan.
     """
-    newest = (df if dates is None else dates).agg(F.max("trade_date").alias("_newest"))
-    return df.join(F.broadcast(newest), F.col("trade_date") == F.col("_newest")).drop("_newest")
+    newest = (df if dates is None else dates).agg(F.max("trade_date").alias("newest"))
+    return df.where(F.col("trade_date") == newest.scalar())
 
 
 def volatility(df: DataFrame) -> DataFrame:

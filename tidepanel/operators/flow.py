@@ -47,8 +47,7 @@ def normalize_flow(df: DataFrame, day: str | None = None, amount_names=AMOUNT_NA
 
 
 def snapshot(flow: DataFrame) -> DataFrame:
-    newest = flow.agg(F.max("date").alias("_d"))
-    return flow.join(F.broadcast(newest), F.col("date") == F.col("_d")).drop("_d")
+    return flow.where(F.col("date") == flow.agg(F.max("date").alias("newest")).scalar())
 
 
 def summary(flow: DataFrame) -> DataFrame:
@@ -77,10 +76,10 @@ def date_index(flow: DataFrame) -> DataFrame:
 
 def _vectors(flow: DataFrame, depth: int) -> DataFrame:
     """One row per date: vectors of the pruned sectors now (v0) and up to ``depth`` dates back."""
-    names = flow.agg(F.array_sort(F.collect_set("sector_name")).alias("names"), F.count(F.lit(1)).alias("_c"))
+    names = flow.agg(F.array_sort(F.collect_set("sector_name")).alias("names"))
     per_day = flow.groupBy("date").agg(
         F.map_from_entries(F.collect_list(F.struct("sector_name", "main_force_net"))).alias("_m"))
-    per_day = per_day.withColumn("_one", F.lit(1)).join(F.broadcast(names.withColumn("_one", F.lit(1))), "_one")
+    per_day = per_day.withColumns({"_one": F.lit(1), "names": names.scalar()})
     per_day = per_day.select(
         "date", "_one", "names", F.transform("names", lambda s: F.try_element_at("_m", s)).alias("v0"))
     w = Window.partitionBy("_one").orderBy("date")
@@ -180,10 +179,9 @@ def _f_score() -> Column:
 
 def network_edges(flow: DataFrame, threshold: float = 0.35, limit: int = 30) -> DataFrame:
     """Lag-1 correlation edges with the historical hit rate of their direction."""
-    total = flow.select("date").distinct().agg(F.count(F.lit(1)).alias("_days"))
+    total = flow.select("date").distinct().agg(F.count(F.lit(1)).alias("days"))
     base = flow.groupBy("sector_name").agg(F.count_if(F.col("main_force_net") > 0).alias("_pos"))
-    base = base.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    base = base.select(F.col("sector_name").alias("target"), F.round(F.col("_pos") / F.col("_days"), 3).alias("_base"))
+    base = base.select(F.col("sector_name").alias("target"), F.round(F.col("_pos") / total.scalar(), 3).alias("_base"))
     e = pair_statistics(flow, 1).withColumn("correlation", F.round(_corr(), 4))
     e = e.where(F.abs(_corr()) >= threshold).join(F.broadcast(base), "target")
     tested = F.col("src_pos") >= 3
@@ -221,9 +219,7 @@ def streak_statistics(flow: DataFrame) -> DataFrame:
 def rotation_edges(flow: DataFrame, max_lag: int = 3, window: int = 5, threshold: float = 0.42, limit: int = 20) -> DataFrame:
     """Outflow-to-inflow routes: best lag per pair, confidence and persistence of the target."""
     days = date_index(flow)
-    last = days.agg(F.max("t").alias("_t_max"))
-    base = flow.join(F.broadcast(days), "date").withColumn("_one", F.lit(1))
-    base = base.join(F.broadcast(last.withColumn("_one", F.lit(1))), "_one")
+    base = flow.join(F.broadcast(days), "date").withColumn("_t_max", days.agg(F.max("t").alias("last")).scalar())
     recent = F.col("t") > F.col("_t_max") - window
     out, inn = F.greatest(-F.col("main_force_net"), F.lit(0.0)), F.greatest(F.col("main_force_net"), F.lit(0.0))
     per = base.groupBy("sector_name").agg(
@@ -272,9 +268,8 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, cut
     for step in range(1, iterations + 1):
         moved = links.join(rank, links.source == rank.node).groupBy("target").agg(
             F.sum(F.col("rank") * F.col("share")).alias("_in"))
-        loose = rank.join(F.broadcast(sinks) if count <= 100_000 else sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_loose"))
-        rank = nodes.join(moved, nodes.node == moved.target, "left").withColumn("_one", F.lit(1)).join(
-            F.broadcast(loose.withColumn("_one", F.lit(1))), "_one")
+        loose = rank.join(F.broadcast(sinks) if count <= 100_000 else sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+        rank = nodes.join(moved, nodes.node == moved.target, "left").withColumn("_loose", loose.scalar())
         rank = rank.select("node", (F.lit((1 - damping) / count) + damping * (
             F.coalesce("_in", F.lit(0.0)) + F.col("_loose") / count)).alias("rank"))
         if step % cut_every == 0 and step < iterations:
@@ -312,8 +307,7 @@ def anomalies(flow: DataFrame, threshold: float = 1.5, limit: int = 10) -> DataF
 def multi_day_frame(flow: DataFrame) -> DataFrame:
     """Newest row per sector with 5/10-date sums, intensity and signed streak."""
     days = date_index(flow)
-    last = days.agg(F.max("t").alias("_tm")).withColumn("_one", F.lit(1))
-    df = flow.join(F.broadcast(days), "date").withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").drop("_one")
+    df = flow.join(F.broadcast(days), "date").withColumn("_tm", days.agg(F.max("t").alias("last")).scalar())
     within = lambda n: F.col("t") > F.col("_tm") - n
     tail = lambda c, n: F.sum(F.when(within(n), F.col(c)))
     sign = F.signum("main_force_net").cast("int")
@@ -389,7 +383,7 @@ def market_read(att: DataFrame, totals: DataFrame) -> DataFrame:
     now = totals.agg(F.max_by(F.struct("sector_count", "positive_count"), "date").alias("s"))
     b = F.col("s.positive_count") / F.col("s.sector_count")
     hint = F.when(b >= 0.55, "broad inflow").when(b >= 0.45, "narrow focus").otherwise("defensive")
-    return lead.withColumn("_one", F.lit(1)).join(now.withColumn("_one", F.lit(1)), "_one").select(
+    return lead.withColumn("s", now.scalar()).select(
         "focus", "focus_attention", "risk", hint.alias("breadth_hint"))
 
 

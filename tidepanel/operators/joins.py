@@ -84,12 +84,13 @@ def sentinel_valuation(df: DataFrame, cols: Sequence[str] = ("pe", "pb"), sentin
 
 def estimate_missing(df: DataFrame) -> DataFrame:
     """Turnover and market value estimates, only where the whole column is empty."""
-    empty = df.agg(*[(F.coalesce(F.max(F.abs(c)), F.lit(0.0)) == 0).alias(f"_e_{c}") for c in ("turnover_rate", "total_mv")]).withColumn("_one", F.lit(1))
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(empty), "_one").drop("_one")
+    void = lambda c: (F.coalesce(F.max(F.abs(c)), F.lit(0.0)) == 0).alias(c)
+    empty = df.agg(F.struct(void("turnover_rate"), void("total_mv")).alias("empty"))
+    j = df.withColumn("_e", empty.scalar())
     turn = F.try_divide(F.col("vol"), F.col("circ_mv") * 1e4)
-    j = j.withColumn("turnover_rate", F.when(F.col("_e_turnover_rate"), turn).otherwise(F.col("turnover_rate")))
+    j = j.withColumn("turnover_rate", F.when(F.col("_e.turnover_rate"), turn).otherwise(F.col("turnover_rate")))
     mv = F.try_divide(F.col("close") * F.col("vol"), F.nullif("turnover_rate", F.lit(0.0)))
-    return j.withColumn("total_mv", F.when(F.col("_e_total_mv"), mv).otherwise(F.col("total_mv"))).drop("_e_turnover_rate", "_e_total_mv")
+    return j.withColumn("total_mv", F.when(F.col("_e.total_mv"), mv).otherwise(F.col("total_mv"))).drop("_e")
 
 
 def alias_match(df: DataFrame, col: str, aliases: DataFrame, out: str) -> DataFrame:
@@ -98,21 +99,20 @@ def alias_match(df: DataFrame, col: str, aliases: DataFrame, out: str) -> DataFr
     aliases: (alias, target, prio), a fixed dictionary; it travels as one sorted array.
     """
     exact = aliases.select(F.trim("alias").alias("_k"), F.col("target").alias("_exact"))
-    packed = aliases.agg(F.array_sort(F.collect_list(F.struct("prio", "alias", "target"))).alias("_a")).withColumn("_one", F.lit(1))
+    packed = aliases.agg(F.array_sort(F.collect_list(F.struct("prio", "alias", "target"))).alias("packed"))
     t = F.trim(F.col(col))
-    j = df.withColumn("_k", t).join(F.broadcast(exact), "_k", "left").withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one")
+    j = df.withColumn("_k", t).join(F.broadcast(exact), "_k", "left").withColumn("_a", packed.scalar())
     part = F.get(F.filter("_a", lambda x: F.col("_k").contains(x["alias"])), F.lit(0))["target"]
-    return j.withColumn(out, F.coalesce("_exact", part, "_k")).drop("_k", "_exact", "_a", "_one")
+    return j.withColumn(out, F.coalesce("_exact", part, "_k")).drop("_k", "_exact", "_a")
 
 
 def fuzzy_match(df: DataFrame, col: str, names: DataFrame, name: str, out: str) -> DataFrame:
     """First name (sorted) that contains the text or is contained in it; names is a small
     dimension and travels as one sorted array, so no pair of rows is built."""
-    packed = names.agg(F.array_sort(F.collect_set(name)).alias("_a")).withColumn("_one", F.lit(1))
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one")
+    j = df.withColumn("_a", names.agg(F.array_sort(F.collect_set(name)).alias("packed")).scalar())
     t = F.col(col)
     hit = F.get(F.filter("_a", lambda x: t.contains(x) | x.contains(t)), F.lit(0))
-    return j.withColumn(out, hit).drop("_a", "_one")
+    return j.withColumn(out, hit).drop("_a")
 
 
 def merge_rankings(today: DataFrame, five: DataFrame, ten: DataFrame, key: str) -> DataFrame:
@@ -153,8 +153,8 @@ def snapshot_change(prices: DataFrame, back: int = 20) -> DataFrame:
 
 def best_constituents(files: DataFrame, least: int) -> DataFrame:
     """Codes of the newest snapshot that has at least ``least`` distinct codes."""
-    ok = files.groupBy("snapshot").agg(F.count_distinct("con_code").alias("_n")).where(F.col("_n") >= least).agg(F.max("snapshot").alias("_s"))
-    return files.join(F.broadcast(ok), F.col("snapshot") == F.col("_s")).select("snapshot", "con_code").distinct()
+    ok = files.groupBy("snapshot").agg(F.count_distinct("con_code").alias("_n")).where(F.col("_n") >= least).agg(F.max("snapshot").alias("newest"))
+    return files.where(F.col("snapshot") == ok.scalar()).select("snapshot", "con_code").distinct()
 
 
 def as_of_slice(df: DataFrame, as_of: Column, last: int, key: str = "ts_code", day: str = "trade_date") -> DataFrame:
@@ -165,11 +165,10 @@ def as_of_slice(df: DataFrame, as_of: Column, last: int, key: str = "ts_code", d
 
 def latest_or_last(df: DataFrame, least: int) -> DataFrame:
     """Newest section when large enough, else the newest row of every code."""
-    day = df.agg(F.max("trade_date").alias("_d"), F.lit(1).alias("_one"))
-    sized = df.join(F.broadcast(day.select("_d")), F.col("trade_date") == F.col("_d")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    flag = day.join(sized, "_one")
-    last = latest_per_key(df, ["ts_code"], "trade_date").withColumn("_one", F.lit(1)).join(F.broadcast(flag), "_one")
-    return last.where((F.col("_n") < least) | (F.col("trade_date") == F.col("_d"))).select(*df.columns)
+    sizes = df.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    newest = sizes.agg(F.max(F.struct("trade_date", "n")).alias("newest"))
+    last = latest_per_key(df, ["ts_code"], "trade_date").withColumn("_s", newest.scalar())
+    return last.where((F.col("_s.n") < least) | (F.col("trade_date") == F.col("_s.trade_date"))).select(*df.columns)
 
 
 def ends(df: DataFrame, col: str, key: str, head: int, tail: int) -> DataFrame:

@@ -174,9 +174,9 @@ def theme_directions(latest: DataFrame, rules: DataFrame, flow_names: DataFrame,
     t = latest.select("series_name", trend(F.col("chg_20")).alias("want"))
     hit = rules.join(t, ["series_name", "want"]).select(F.explode("themes").alias("direction"), "weight", "reason", "rule_id")
     s = hit.groupBy("direction").agg(F.sum("weight").alias("score"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "reason"))), lambda x: x["reason"]), 1, 2).alias("reasons"))
-    names = flow_names.agg(F.array_sort(F.collect_set("sector_name")).alias("_f")).withColumn("_one", F.lit(1))
-    tags = research.agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("_t")).withColumn("_one", F.lit(1))
-    s = s.withColumn("_one", F.lit(1)).join(F.broadcast(names), "_one").join(F.broadcast(tags), "_one")
+    names = flow_names.agg(F.array_sort(F.collect_set("sector_name")).alias("names"))
+    tags = research.agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("tags"))
+    s = s.withColumns({"_f": names.scalar(), "_t": tags.scalar()})
     near = lambda arr: F.get(F.filter(arr, lambda x: F.col("direction").contains(x) | x.contains(F.col("direction"))), F.lit(0))
     s = s.withColumns({"flow_hit": near(F.col("_f")), "research_hit": near(F.array_sort(F.map_keys("_t")))})
     s = s.withColumns({"confirms": F.col("flow_hit").isNotNull().cast("int") + F.col("research_hit").isNotNull().cast("int"),
@@ -218,8 +218,7 @@ def known_macro(days: DataFrame, macro: DataFrame, day: str = "trade_date") -> D
     """
     w = Window.partitionBy("series_name").orderBy("month")
     m = macro.where(F.col("value").isNotNull()).withColumn("_next", F.lead("month").over(w))
-    last = days.agg(F.max(F.trunc(day, "month")).alias("_end")).withColumn("_one", F.lit(1))
-    m = m.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
+    m = m.withColumn("_end", days.agg(F.max(F.trunc(day, "month")).alias("last")).scalar())
     upto = F.greatest(F.coalesce("_next", "_end"), F.add_months("month", 1))
     m = m.withColumn("_m", F.explode(F.sequence(F.add_months("month", 1), upto, F.expr("interval 1 month"))))
     d = days.withColumn("_m", F.trunc(day, "month"))

@@ -94,9 +94,9 @@ def key_covariance(df: DataFrame, day: str, key: str, value: str) -> DataFrame:
     The caller bounds the keys (a top-N universe). One vector per date, matrix products
     inside the tasks, sums across tasks.
     """
-    names = df.agg(F.array_sort(F.collect_set(key)).alias("names")).withColumn("_one", F.lit(1))
-    days = df.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_m")).withColumn("_one", F.lit(1))
-    vec = days.join(F.broadcast(names), "_one").select("names", F.transform("names", lambda s: F.try_element_at("_m", s)).alias("v"))
+    names = df.agg(F.array_sort(F.collect_set(key)).alias("names"))
+    days = df.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_m"))
+    vec = days.withColumn("names", names.scalar()).select("names", F.transform("names", lambda s: F.try_element_at("_m", s)).alias("v"))
 
     def products(batches):
         acc = keys = None

@@ -22,7 +22,7 @@ def valid_trades(ledger: DataFrame) -> DataFrame:
         (F.col("price") > 0) & ~odd & ((F.col("side") == "CLOSE") | (F.col("shares") > 0)))
 
 
-def replay(ledger: DataFrame, bucket: Column) -> DataFrame:
+def replay(ledger: DataFrame, bucket: Column, group_rows: int | None = None) -> DataFrame:
     """Position after every trade: shares, average cost, realised profit.
 
     A sell cannot exceed the holding, so shares are a clamped running sum: the plain sum
@@ -33,22 +33,22 @@ def replay(ledger: DataFrame, bucket: Column) -> DataFrame:
     buy = F.col("side").isin("BUY", "ADD")
     move = F.when(buy, F.col("shares")).when(F.col("side") == "CLOSE", F.lit(-ALL)).otherwise(-F.col("shares"))
     d = valid_trades(ledger).withColumns({"_b": bucket, "_buy": buy, "_move": move})
-    d = cumulative(d, LEDGER, "seq", "_b", {"_sum": ("_move", "sum")})
+    d = cumulative(d, LEDGER, "seq", "_b", {"_sum": ("_move", "sum")}, group_rows)
     d = d.withColumn("_low", F.when(~F.col("_buy"), -F.col("_sum")))
-    d = cumulative(d, LEDGER, "seq", "_b", {"_lift": ("_low", "max"), "_lift0": ("_low", "max_before")})
+    d = cumulative(d, LEDGER, "seq", "_b", {"_lift": ("_low", "max"), "_lift0": ("_low", "max_before")}, group_rows)
     zero = F.lit(0).cast("long")
     d = d.withColumns({
         "shares_after": F.col("_sum") + F.greatest(zero, F.col("_lift")),
         "shares_before": F.col("_sum") - F.col("_move") + F.greatest(zero, F.col("_lift0"))})
     d = d.where(F.col("_buy") | (F.col("shares_before") > 0)).withColumn("_flat", (F.col("shares_after") == 0).cast("long"))
-    d = cumulative(d, LEDGER, "seq", "_b", {"_episode": ("_flat", "sum_before")})
+    d = cumulative(d, LEDGER, "seq", "_b", {"_episode": ("_flat", "sum_before")}, group_rows)
     d = d.withColumns({
         "_episode": F.coalesce("_episode", zero),
         "_ln": F.when(~F.col("_buy") & (F.col("shares_after") > 0), F.log(F.col("shares_after") / F.col("shares_before"))).otherwise(0.0)})
     keys = [*LEDGER, "_episode"]
-    d = cumulative(d, keys, "seq", "_b", {"_scale": ("_ln", "sum")})
+    d = cumulative(d, keys, "seq", "_b", {"_scale": ("_ln", "sum")}, group_rows)
     d = d.withColumn("_term", F.when(F.col("_buy"), F.round(F.col("price") * F.col("shares"), 2) * F.exp(-F.col("_scale"))).otherwise(0.0))
-    d = cumulative(d, keys, "seq", "_b", {"_paid": ("_term", "sum")})
+    d = cumulative(d, keys, "seq", "_b", {"_paid": ("_term", "sum")}, group_rows)
     held = F.exp("_scale") * F.col("_paid")
     base = F.when(F.col("shares_after") > 0, F.col("shares_after")).otherwise(F.col("shares_before"))
     d = d.withColumn("avg_cost", held / base)
@@ -58,13 +58,13 @@ def replay(ledger: DataFrame, bucket: Column) -> DataFrame:
         "realized": F.when(~F.col("_buy"), (F.col("price") - F.col("avg_cost")) * sold).otherwise(0.0)})
 
 
-def holdings(ledger: DataFrame, bucket: Column) -> DataFrame:
+def holdings(ledger: DataFrame, bucket: Column, group_rows: int | None = None) -> DataFrame:
     """Newest position per (account, code)."""
-    r = replay(ledger, bucket)
-    now = F.struct("shares_after", "avg_cost", "cost_amount", "price", "trade_date", "_episode")
-    h = r.groupBy(*LEDGER).agg(F.max_by(now, "seq").alias("n"), F.sum("realized").alias("realized"), F.count(F.lit(1)).alias("n_trades"))
-    opened = r.where(F.col("_buy")).groupBy(*LEDGER, "_episode").agg(F.min_by("trade_date", "seq").alias("buy_date"))
-    h = h.withColumn("_episode", F.col("n._episode")).join(opened, [*LEDGER, "_episode"], "left")
+    r = replay(ledger, bucket, group_rows)
+    opening = F.col("_buy") & (F.col("shares_before") == 0)
+    now = F.struct("shares_after", "avg_cost", "cost_amount", "price", "trade_date")
+    h = r.groupBy(*LEDGER).agg(F.max_by(now, "seq").alias("n"), F.sum("realized").alias("realized"), F.count(F.lit(1)).alias("n_trades"),
+                               F.max_by("trade_date", F.when(opening, F.col("seq"))).alias("buy_date"))
     open_ = F.col("n.shares_after") > 0
     return h.select(
         *LEDGER, F.col("n.shares_after").alias("shares"), F.round("n.avg_cost", 4).cast("decimal(12,4)").alias("avg_cost"),
@@ -167,6 +167,5 @@ def profile(codes: DataFrame, parts: dict[str, DataFrame], on: str = "code", mar
         rest: Sequence[str] = [c for c in part.columns if c != on]
         out = out.join(part.select(on, F.struct(*rest).alias(name)), on, "left")
     if market is not None:
-        m = market.limit(1).select(F.struct(*market.columns).alias("market")).withColumn("_one", F.lit(1))
-        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(m), "_one", "left").drop("_one")
+        out = out.withColumn("market", market.limit(1).select(F.struct(*market.columns).alias("market")).scalar())
     return out

@@ -90,8 +90,9 @@ def average_ranks(
             value = (F.rank().over(w) + upto) / F.lit(2.0)
             out[o] = F.when(x.isNotNull(), value / total if pct else value)
         return staged.withColumns(out).drop(*[f"_x_{o}" for o in cols])
+    source = df
     for o, c in cols.items():
-        pos = _positions(df, by, c)
+        pos = _positions(source, by, c)
         mean_rank = F.col("_before") + (F.col("_copies") + 1) / F.lit(2.0)
         pos = pos.select(*by, "_x", (mean_rank / F.col("_total") if pct else mean_rank).alias(o))
         df = df.withColumn("_x", _clean(c)).join(pos, [*by, "_x"], "left").drop("_x")

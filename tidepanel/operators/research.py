@@ -291,8 +291,8 @@ def disclosure_calendar(schedule: DataFrame, pool: DataFrame, today: Column, ahe
 
 def brief_picks(briefs: DataFrame, stored: DataFrame, prices: DataFrame) -> DataFrame:
     """New picks of the newest brief with the last price."""
-    newest = briefs.agg(F.max("brief_date").alias("_d"))
-    b = briefs.join(F.broadcast(newest), F.col("brief_date") == F.col("_d")).select(F.col("brief_date").alias("pick_date"), F.explode("stocks").alias("s"))
+    newest = briefs.agg(F.max("brief_date").alias("newest"))
+    b = briefs.where(F.col("brief_date") == newest.scalar()).select(F.col("brief_date").alias("pick_date"), F.explode("stocks").alias("s"))
     b = b.select("pick_date", F.trim("s.code").alias("code")).where(F.col("code").rlike(r"^\d{6}$")).distinct()
     b = b.join(stored.select("pick_date", "code"), ["pick_date", "code"], "left_anti")
     return b.join(prices.select("code", F.col("current_price").alias("price_at_pick")), "code", "left")
@@ -300,9 +300,9 @@ def brief_picks(briefs: DataFrame, stored: DataFrame, prices: DataFrame) -> Data
 
 def today_items(recs: DataFrame, reports: DataFrame, limit: int = 20) -> DataFrame:
     """Recommendations of the day, or the newest reports where there are none."""
-    have = recs.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    new = reports.orderBy(F.col("report_date").desc(), F.col("report_id").desc()).limit(limit).withColumn("_one", F.lit(1))
-    new = new.join(F.broadcast(have), "_one").where(F.col("_n") == 0)
+    have = recs.agg(F.count(F.lit(1)).alias("n"))
+    new = reports.orderBy(F.col("report_date").desc(), F.col("report_id").desc()).limit(limit)
+    new = new.withColumn("_n", have.scalar()).where(F.col("_n") == 0)
     return recs.select("report_id", "reason").unionByName(new.select("report_id", F.lit("newest report").alias("reason"))).limit(limit)
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 class Series:
     """Window factory for ``keys`` ordered by ``order`` (total order within a key)."""
@@ -245,13 +247,31 @@ def asof_join(
     )
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], order: str, bucket: str, specs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Running sums and maxima of long groups, split into (keys, bucket) cells.
+def cumulative(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    bucket: str,
+    specs: dict[str, tuple[str, str]],
+    group_rows: int | None = None,
+    limit: int = 2_000_000,
+) -> DataFrame:
+    """Running sums and maxima per group.
 
     ``specs`` maps output to (column, kind); kinds are ``sum``, ``max`` and their exclusive
-    forms ``sum_before``, ``max_before``. ``bucket`` must not fall along ``order``. A cell is
-    scanned on its own; one row per cell carries the totals of the earlier cells.
+    forms ``sum_before``, ``max_before``. Groups measured to be small take one window. Long
+    or unmeasured groups are split into (keys, bucket) cells, where ``bucket`` must not fall
+    along ``order``: a cell is scanned on its own and one row per cell carries the totals of
+    the earlier cells.
     """
+    if group_rows is not None and group_rows <= limit:
+        whole = Window.partitionBy(*keys).orderBy(order)
+        plain = {}
+        for out, (c, kind) in specs.items():
+            f = {"sum": F.sum, "max": F.max}[kind.split("_")[0]]
+            plain[out] = f(c).over(whole.rowsBetween(Window.unboundedPreceding, -1 if kind.endswith("_before") else 0))
+        return df.withColumns(plain)
+    df = cut_lineage(df)
     inside = Window.partitionBy(*keys, bucket).orderBy(order)
     agg = {"sum": F.sum, "max": F.max}
     local, totals, carried, final = {}, [], {}, {}

@@ -576,8 +576,7 @@ def smallest_caps(df: DataFrame, target: int) -> DataFrame:
 
 
 def latest_constituents(weights: DataFrame, code: str, day: str) -> DataFrame:
-    newest = weights.agg(F.max(day).alias("_d"))
-    rows = weights.join(F.broadcast(newest), F.col(day) == F.col("_d")).drop("_d")
+    rows = weights.where(F.col(day) == weights.agg(F.max(day).alias("newest")).scalar())
     return rows.dropDuplicates([code])
 
 

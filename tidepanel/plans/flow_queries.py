@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flow as fl
+from ..session import cut_lineage
 from . import views as v
 from .registry import query, r, rounded
 
@@ -12,7 +13,8 @@ YI = "round({} / 1e8, 3)"
 
 
 def flows(spark, sf):
-    return v.sector_flow(spark, sf)
+    """The small monthly flow table, stored once: one pass over the line items per query."""
+    return cut_lineage(v.sector_flow(spark, sf))
 
 
 @query("flow_summary", v.with_views(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import macro as ma
 from ..operators import portfolio as pf
+from ..operators import ranks
 from ..operators import research as rs
 from . import views as v
 from .registry import query, r, rounded
@@ -317,7 +318,8 @@ fo as (select account, code, list_reduce(list_concat([{'b': true, 'q': 0.0::doub
 
 
 def ledger(spark, sf):
-    return v.trades(spark, sf), F.floor(F.col("seq") / 2000)
+    t = v.trades(spark, sf)
+    return t, F.floor(F.col("seq") / 2000), ranks.widest_group(t, ["account", "code"])
 
 
 @query("ledger_holdings", v.with_views("""
@@ -334,9 +336,17 @@ mm as (select *, round((current_price - ac) / ac * 100, 2) + 0.0::double pnl_pct
 
 
 def marked(spark, sf):
-    t, b = ledger(spark, sf)
+    t, b, n = ledger(spark, sf)
     closes = t.groupBy("code").agg(F.max_by("price", "seq").alias("close"))
-    return pf.mark_to_market(pf.holdings(t, b), closes, 1e7)
+    return pf.mark_to_market(pf.holdings(t, b, n), closes, 1e7)
+
+
+@query("ledger_holdings_split", v.with_views("select code, cast(f.s as bigint) shares, round(f.a, 3) avg_cost, round(f.r, 0) + 0.0::double realized_pnl from fo", "trades", extra=FOLD))
+def ledger_holdings_split(spark, sf):
+    """The same replay through (key, bucket) cells, the plan for very long ledgers."""
+    t, b, _ = ledger(spark, sf)
+    d = lambda c, p: (F.round(F.col(c).cast("double"), p) + F.lit(0.0)).alias(c)
+    return pf.holdings(t, b).select("code", "shares", d("avg_cost", 3), d("realized_pnl", 0))
 
 
 @query("mark_to_market", v.with_views("select code, shares, current_price, market_value, pnl_pct from mm", "trades", extra=MTM))
@@ -474,10 +484,10 @@ def realized_volatility(spark, sf):
       select 18.0::double rv, (select chg_5 from lt where series_name = 'ASIA') mc, (select count(*) filter (net_flow > 0) from panel_e) up, (select count(*) filter (net_flow < 0) from panel_e) dn, (select chg_20 from lt where series_name = 'EUROPE') ic))""",
     "series_r", "panel_e", extra=LATEST))
 def fear_greed(spark, sf):
-    w = ma.wide(ma.latest_changes(ser(spark, sf)), {"m": "ASIA", "i": "EUROPE"}).withColumn("_one", F.lit(1))
-    b = v.panel_e(spark, sf).agg(F.count_if(F.col("net_flow") > 0).alias("up"), F.count_if(F.col("net_flow") < 0).alias("down")).withColumn("_one", F.lit(1))
+    w = ma.wide(ma.latest_changes(ser(spark, sf)), {"m": "ASIA", "i": "EUROPE"})
+    b = v.panel_e(spark, sf).agg(F.struct(F.count_if(F.col("net_flow") > 0).alias("up"), F.count_if(F.col("net_flow") < 0).alias("down")).alias("b"))
     nul = F.lit(None).cast("double")
-    row = w.join(b, "_one").select(nul.alias("vix_last"), nul.alias("vix_ma20"), F.lit(0).alias("vix_n"), F.lit(18.0).alias("realized_vol"), F.col("m.chg_5").alias("margin_chg5"), "up", "down", F.col("i.chg_20").alias("index_chg20"))
+    row = w.withColumn("b", b.scalar()).select(nul.alias("vix_last"), nul.alias("vix_ma20"), F.lit(0).alias("vix_n"), F.lit(18.0).alias("realized_vol"), F.col("m.chg_5").alias("margin_chg5"), "b.up", "b.down", F.col("i.chg_20").alias("index_chg20"))
     return ma.fear_greed(row)
 
 

@@ -344,8 +344,7 @@ def insert_new_only(spark, sf):
 @query("map_back", v.with_views("select p.ts_code, p.trade_date, coalesce(s.vol, 0.5::double) vol from panel_l p left join (select ts_code, vol from panel_l where trade_date = (select max(trade_date) from panel_l)) s using (ts_code)", "panel_l"))
 def map_back(spark, sf):
     p = v.panel_l(spark, sf)
-    day = p.agg(F.max("trade_date").alias("trade_date"))
-    snap = p.join(F.broadcast(day), "trade_date").select("ts_code", "vol")
+    snap = p.where(F.col("trade_date") == p.agg(F.max("trade_date").alias("newest")).scalar()).select("ts_code", "vol")
     return jn.map_back(p.select("ts_code", "trade_date"), snap, "vol", 0.5)
 
 
@@ -379,8 +378,8 @@ def merged_rankings(spark, sf):
 @query("attached_flow", v.with_views("""select g."date", g.sector_name, coalesce(f.main_force_net, 0.0::double) main_force_net from (select d."date", n_name sector_name from (select distinct "date" from sector_flow) d, nation) g left join sector_flow f using ("date", sector_name)""", "sector_flow"))
 def attached_flow(spark, sf):
     f = v.sector_flow(spark, sf)
-    names = t(spark, sf, "nation").agg(F.collect_list("n_name").alias("n")).withColumn("_one", F.lit(1))
-    grid = f.select("date").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(names), "_one").select("date", F.explode("n").alias("sector_name"))
+    names = t(spark, sf, "nation").agg(F.collect_list("n_name").alias("names"))
+    grid = f.select("date").distinct().withColumn("n", names.scalar()).select("date", F.explode("n").alias("sector_name"))
     return jn.attach_flow(grid, f)
 
 

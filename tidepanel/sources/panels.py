@@ -79,9 +79,8 @@ def missing_dates(cal: DataFrame, stored: DataFrame, day: str = "trade_date") ->
 
 def newer_than_stored(fresh: DataFrame, stored: DataFrame, day: str = "trade_date") -> DataFrame:
     """Rows past the stored high-water mark (all rows when nothing is stored)."""
-    mark = stored.agg(F.max(day).alias("_mark")).withColumn("_one", F.lit(1))
-    j = fresh.withColumn("_one", F.lit(1)).join(F.broadcast(mark), "_one")
-    return j.where(F.col("_mark").isNull() | (F.col(day) > F.col("_mark"))).drop("_one", "_mark")
+    mark = stored.agg(F.max(day).alias("mark")).scalar()
+    return fresh.where(F.coalesce(F.col(day) > mark, F.col(day).isNotNull()))
 
 
 def merge_snapshot(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("date", "sector_name"), version: str = "version") -> DataFrame:
