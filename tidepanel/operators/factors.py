@@ -465,16 +465,14 @@ SOLAR_CONSTANTS = (
 
 def solar_terms(spark, first_year: int, last_year: int) -> DataFrame:
     """Generated dimension of the 24 solar-term dates per year (term number 0..23)."""
-    rows = [(m, i, m * 2 - 2 + i, c) for m, pair in enumerate(SOLAR_CONSTANTS, 1) for i, c in enumerate(pair)]
-    base = spark.createDataFrame(rows, "month int, half int, term int, c double")
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    terms = F.array(*[F.struct(F.lit(m).alias("month"), F.lit(m * 2 - 2 + i).alias("term"), F.lit(c).alias("c"))
+                      for m, pair in enumerate(SOLAR_CONSTANTS, 1) for i, c in enumerate(pair)])
+    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"), F.explode(terms).alias("t"))
+    years = years.select("year", "t.*")
     y = F.col("year") % 100
     leap = F.when(F.col("month") <= 2, F.floor((y - 1) / 4)).otherwise(F.floor(y / 4))
     day = (F.floor(y * 0.2422 + F.col("c")) - leap).cast("int")
-    return (
-        years.join(F.broadcast(base))
-        .select("term", F.make_date("year", "month", day).alias("term_date"))
-    )
+    return years.select("term", F.make_date("year", "month", day).alias("term_date"))
 
 
 def calendar_cycles(df: DataFrame, day: str) -> DataFrame:

@@ -254,25 +254,27 @@ def rotation_edges(flow: DataFrame, max_lag: int = 3, window: int = 5, threshold
     return best.orderBy(F.col("final_score").desc(), F.col("confidence").desc(), F.col("amount").desc(), "source", "target").limit(limit)
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, cut_every: int = 5) -> DataFrame:
-    """Weighted PageRank with dangling mass spread evenly; reliable checkpoints cut lineage."""
+def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
+    """Weighted PageRank with dangling mass spread evenly.
+
+    Every step reads the stored ranks of the step before, so plans stay flat.
+    """
     e = edges.select("source", "target", F.col("weight").cast("double").alias("weight"))
     out = e.groupBy("source").agg(F.sum("weight").alias("_out"))
     links = cut_lineage(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("_out")).alias("share")))
-    nodes = cut_lineage(links.select(F.col("source").alias("node")).union(links.select("target")).distinct())
+    ends = links.select(F.col("source").alias("node"), F.lit(False).alias("sink")).union(links.select("target", F.lit(True)))
+    nodes = cut_lineage(ends.groupBy("node").agg(F.bool_and("sink").alias("sink")))
     count = nodes.count()
     if count == 0:
-        return nodes.withColumn("pagerank", F.lit(0.0))
-    sinks = cut_lineage(nodes.join(links, nodes.node == links.source, "left_anti"))
+        return nodes.select(F.col("node").alias("sector_name"), F.lit(0.0).alias("pagerank"))
     rank = nodes.withColumn("rank", F.lit(1.0 / count))
-    for step in range(1, iterations + 1):
-        moved = links.join(rank, links.source == rank.node).groupBy("target").agg(
+    for step in range(iterations):
+        moved = links.join(rank, links.source == rank.node).groupBy(F.col("target").alias("node")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("_in"))
-        loose = rank.join(F.broadcast(sinks) if count <= 100_000 else sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        rank = nodes.join(moved, nodes.node == moved.target, "left").withColumn("_loose", loose.scalar())
-        rank = rank.select("node", (F.lit((1 - damping) / count) + damping * (
-            F.coalesce("_in", F.lit(0.0)) + F.col("_loose") / count)).alias("rank"))
-        if step % cut_every == 0 and step < iterations:
+        loose = F.coalesce(rank.where("sink").agg(F.sum("rank").alias("loose")).scalar(), F.lit(0.0))
+        value = (1 - damping) / count + damping * (F.coalesce("_in", F.lit(0.0)) + loose / count)
+        rank = nodes.join(moved, "node", "left").select("node", "sink", value.alias("rank"))
+        if step + 1 < iterations:
             rank = cut_lineage(rank)
     return rank.select(F.col("node").alias("sector_name"), F.round("rank", 6).alias("pagerank"))
 
