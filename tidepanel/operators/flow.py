@@ -254,10 +254,11 @@ def rotation_edges(flow: DataFrame, max_lag: int = 3, window: int = 5, threshold
     return best.orderBy(F.col("final_score").desc(), F.col("confidence").desc(), F.col("amount").desc(), "source", "target").limit(limit)
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
+def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, store_every: int = 8) -> DataFrame:
     """Weighted PageRank with dangling mass spread evenly.
 
-    Every step reads the stored ranks of the step before, so plans stay flat.
+    The dangling mass of a step is one number; it is the action that fills the step's cache.
+    Every ``store_every`` steps the ranks are stored, so a lost executor replays few steps.
     """
     e = edges.select("source", "target", F.col("weight").cast("double").alias("weight"))
     out = e.groupBy("source").agg(F.sum("weight").alias("_out"))
@@ -265,17 +266,21 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40) ->
     ends = links.select(F.col("source").alias("node"), F.lit(False).alias("sink")).union(links.select("target", F.lit(True)))
     nodes = cut_lineage(ends.groupBy("node").agg(F.bool_and("sink").alias("sink")))
     count = nodes.count()
-    if count == 0:
-        return nodes.select(F.col("node").alias("sector_name"), F.lit(0.0).alias("pagerank"))
-    rank = nodes.withColumn("rank", F.lit(1.0 / count))
-    for step in range(iterations):
+    rank, held = nodes.withColumn("rank", F.lit(1.0 / max(count, 1))), []
+    for step in range(iterations if count else 0):
+        loose = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         moved = links.join(rank, links.source == rank.node).groupBy(F.col("target").alias("node")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("_in"))
-        loose = F.coalesce(rank.where("sink").agg(F.sum("rank").alias("loose")).scalar(), F.lit(0.0))
         value = (1 - damping) / count + damping * (F.coalesce("_in", F.lit(0.0)) + loose / count)
         rank = nodes.join(moved, "node", "left").select("node", "sink", value.alias("rank"))
-        if step + 1 < iterations:
+        if step % store_every == store_every - 1:
             rank = cut_lineage(rank)
+            for old in held:
+                old.unpersist()
+            held = []
+        else:
+            rank = rank.persist()
+            held.append(rank)
     return rank.select(F.col("node").alias("sector_name"), F.round("rank", 6).alias("pagerank"))
 
 

@@ -8,7 +8,7 @@ from ..operators import factors as fx
 from ..operators import ranks
 from ..operators import xsection as xs
 from . import views as v
-from .factor_queries import APR_SIZE, W, fr, pct, roll, rollp
+from .factor_queries import APR_SIZE, KDJ, RSI, W, fr, pct, roll, rollp
 from .registry import query, r, rounded
 
 C = '"close"'
@@ -168,7 +168,37 @@ def relaxed_risk_selection(spark, sf):
     return rounded(top.select("trade_date", "ts_code", "rule_score", "pick_rank"))
 
 
-@query("rule_selection")
+ALL_FACTORS = [c for c in xs.RULE_WEIGHTS]
+SD20, MA20S = roll("stddev_samp", C, 20, 5), roll("avg", C, 20)
+FULL = KDJ + ", " + RSI + f""", u0 as (select *, {pct(C)} r1 from panel_e),
+u1 as (select *, abs(r1) / (last_value(nullif(amount / 1e8, 0) ignore nulls) {fr(None)} + 1e-9) il from u0),
+u2 as (select *, {pct(C, 5)} pmt_return_5d, {pct(C, 20)} pmt_return_20d, {pct(C, 60)} pmt_return_60d, -{pct(C, 5)} rev_5d_reversal, r1 pmt_return_1d,
+  vol / ({rollp('avg', 'vol', 20, 5)} + 1e-9) vol_ratio_raw, turnover_rate vol_turnover, pb fund_pb, greatest(-100.0::double, least(200.0::double, pe)) fund_pe,
+  1.0::double - {APR_SIZE} size_score, ln(1 + total_mv) size_mkt_cap_log, {roll('stddev_samp', 'r1', 20, 5)} volat_hist_20d,
+  ({C} - ({MA20S} - 2 * {SD20})) / (({MA20S} + 2 * {SD20}) - ({MA20S} - 2 * {SD20}) + 1e-9) boll_position, ({C} - {LO60}) / ({HI60} - {LO60} + 1e-9) price_position_60d,
+  {roll('avg', 'il', 20, 5)} il20 from u1),
+u3 as (select u2.*, k2.wr, k, d, lag(k2.k) over (partition by k2.ts_code order by k2.trade_date) pk, lag(k2.d) over (partition by k2.ts_code order by k2.trade_date) pd, rsi,
+  case when d3."close" = {roll('min', 'd3."close"', 20, 5).replace('by ts_code order by trade_date', 'by d3.ts_code order by d3.trade_date')} and rsi > {roll('min', 'rsi', 5, 3).replace('by ts_code order by trade_date', 'by d3.ts_code order by d3.trade_date')} + 5 then 1.0::double else 0.0::double end rsi_divergence
+  from u2 join k2 on k2.ts_code = u2.ts_code and k2.trade_date = u2.trade_date join d3 on d3.ts_code = u2.ts_code and d3.trade_date = u2.trade_date),
+u4 as (select *, 0.0::double mf_net_main, 0.0::double mf_main_ratio, 0.0::double sent_limit_gene, 0.0::double sent_limit_active, 0.0::double sent_hsgt_fav, 0.0::double risk_delist_score,
+  case when pledge_ratio > 30 then 1.0::double else 0.0::double end risk_pledge, case when pledge_ratio > 60 then 1.0::double else 0.0::double end risk_pledge_high,
+  case when contains("name", 'ST') then 1.0::double else 0.0::double end risk_st, case when round(3 * k - 2 * d, 9) < 20 then 1.0::double else 0.0::double end kdj_oversold,
+  case when round(k - d, 9) > 0 and round(pk - pd, 9) <= 0 and k < 50 then 1.0::double else 0.0::double end kdj_low_golden, case when rsi < 30 then 1.0::double else 0.0::double end rsi_oversold,
+  case when wr < -80 then 1.0::double else 0.0::double end wr_oversold, case when boll_position < 0.2 then 1.0::double else 0.0::double end near_boll_lower,
+  case when price_position_60d < 0.2 then 1.0::double else 0.0::double end in_bottom_zone,
+  case when il20 is not null then -ln(1 + greatest(0.0::double, least(10.0::double, il20))) end liquidity_amihud from u3 where trade_date = (select max(trade_date) from panel_e)),
+u5 as (select *, (kdj_oversold + rsi_oversold + wr_oversold + near_boll_lower) / 4 multi_oversold_flag from u4),
+u6 as (select *, case when multi_oversold_flag > 0.5 and coalesce(vol_ratio_raw, 1) > 1.5 and coalesce(pmt_return_5d, 0) < -0.05 then 1.0::double else 0.0::double end reversal_signal from u5),
+u7 as (select * replace ({', '.join(f'coalesce({c}, 0) as {c}' for c in ALL_FACTORS)}) from u6),
+u8 as (select *, {' + '.join(
+    f"(case when stddev_pop({c}) over (partition by trade_date) > 1e-9 then {apr(c) if xs.RULE_WEIGHTS[c] > 0 else '1.0::double - ' + apr(c)} else 0.5 end) * {abs(xs.RULE_WEIGHTS[c]) / TOTAL_W!r}::double"
+    for c in ALL_FACTORS)} rule_raw from u7),
+u9 as (select *, {band('rule_raw', 60.0, 35.0)} rule_score, risk_pledge_high = 0 and risk_st = 0 ok from u8)"""
+
+
+@query("rule_selection", v.with_views(f"""
+  select trade_date, ts_code, industry, "close", {r('rule_score', 'rule_score')}, pick_rank from (select *, row_number() over (order by round(rule_score, 9) desc, ts_code) pick_rank from (
+    select *, count(*) filter (ok) over () n_ok from u9) where ok or n_ok < 20) where pick_rank <= 20""", "panel_e", extra=FULL))
 def rule_selection(spark, sf):
     """Flagship: all factors, 33 weights, risk filter with relaxation, top names of the newest date."""
     df = fx.rule_factors(panel(spark, sf), rows(spark, sf))
@@ -254,9 +284,22 @@ def fundamental_attractiveness(spark, sf):
     return pick(xs.fundamental_attractiveness(panel(spark, sf), rows(spark, sf)), "fundamental_attractiveness")
 
 
-@query("style_neutral")
+def _residual(y, x):
+    over = "over (partition by trade_date)"
+    return f"{y} - avg({y}) {over} - coalesce(regr_slope({y}, {x}) {over}, 0) * ({x} - avg({x}) {over})"
+
+
+# Sequential orthogonalisation of the styles gives the multivariate residual in SQL.
+ORTHO = STYLES + f""", z1 as (select *, style_size e1 from y2), z2 as (select *, {_residual('style_value', 'e1')} e2 from z1),
+z3 as (select *, {_residual('style_growth', 'e1')} g1 from z2), z4 as (select *, {_residual('g1', 'e2')} e3 from z3),
+z5 as (select *, {_residual('style_momentum', 'e1')} h1 from z4), z6 as (select *, {_residual('h1', 'e2')} h2 from z5), z7 as (select *, {_residual('h2', 'e3')} e4 from z6),
+z8 as (select *, {_residual('roe', 'e1')} q1 from z7), z9 as (select *, {_residual('q1', 'e2')} q2 from z8), za as (select *, {_residual('q2', 'e3')} q3 from z9),
+zb as (select *, case when stddev_pop(style_momentum) over (partition by trade_date) > 1e-9 then {_residual('q3', 'e4')} else q3 end q4 from za)"""
+
+
+@query("style_neutral", v.with_views(f"select ts_code, trade_date, {r('q4', 'style_neutral_score')} from zb", "panel_e", extra=ORTHO))
 def style_neutral(spark, sf):
-    """Residual on four styles: per-date sufficient statistics, solved per date (numpy check in tests)."""
+    """Residual on four styles: per-date sufficient statistics, solved per date."""
     return pick(xs.style_neutral(styled(spark, sf), "roe"), "style_neutral_score")
 
 
