@@ -68,9 +68,10 @@ def test_pair_statistics_match_brute_force(spark):
         assert f["banks", "new_ai"] == pytest.approx((r0 - r1) / (r1 / 8), rel=1e-3)
 
 
-def test_page_rank_equals_dense_iteration(spark):
+@pytest.mark.parametrize("small", [0, 200])
+def test_page_rank_equals_dense_iteration(spark, small):
     edges = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("d", "c", 1.0)]
-    got = {r.sector_name: r.pagerank for r in fl.page_rank(spark.createDataFrame(edges, "source string, target string, weight double"), iterations=12).collect()}
+    got = {r.sector_name: r.pagerank for r in fl.page_rank(spark.createDataFrame(edges, "source string, target string, weight double"), iterations=12, small=small).collect()}
     names = sorted(got)
     at = {n: i for i, n in enumerate(names)}
     m = np.zeros((4, 4))

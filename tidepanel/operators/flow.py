@@ -254,20 +254,27 @@ def rotation_edges(flow: DataFrame, max_lag: int = 3, window: int = 5, threshold
     return best.orderBy(F.col("final_score").desc(), F.col("confidence").desc(), F.col("amount").desc(), "source", "target").limit(limit)
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, store_every: int = 8) -> DataFrame:
+SMALL_GRAPH = 200
+
+
+def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, store_every: int = 8, small: int = SMALL_GRAPH) -> DataFrame:
     """Weighted PageRank with dangling mass spread evenly.
 
-    The dangling mass of a step is one number; it is the action that fills the step's cache.
-    Every ``store_every`` steps the ranks are stored, so a lost executor replays few steps.
+    A counted small graph (the edge lists above keep at most 30 edges) is one row of arrays
+    and a single fold. Larger graphs iterate by joins: the dangling mass of a step is one
+    number, the action that fills the step's cache, and every ``store_every`` steps the
+    ranks are stored, so a lost executor replays few steps.
     """
-    e = edges.select("source", "target", F.col("weight").cast("double").alias("weight"))
+    e = edges.groupBy("source", "target").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
     out = e.groupBy("source").agg(F.sum("weight").alias("_out"))
     links = cut_lineage(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("_out")).alias("share")))
     ends = links.select(F.col("source").alias("node"), F.lit(False).alias("sink")).union(links.select("target", F.lit(True)))
     nodes = cut_lineage(ends.groupBy("node").agg(F.bool_and("sink").alias("sink")))
     count = nodes.count()
-    rank, held = nodes.withColumn("rank", F.lit(1.0 / max(count, 1))), []
-    for step in range(iterations if count else 0):
+    if count <= small:
+        return _page_rank_fold(links, damping, iterations)
+    rank, held = nodes.withColumn("rank", F.lit(1.0 / count)), []
+    for step in range(iterations):
         loose = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         moved = links.join(rank, links.source == rank.node).groupBy(F.col("target").alias("node")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("_in"))
@@ -284,6 +291,21 @@ def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, sto
     return rank.select(F.col("node").alias("sector_name"), F.round("rank", 6).alias("pagerank"))
 
 
+def _page_rank_fold(links: DataFrame, damping: float, iterations: int) -> DataFrame:
+    rows = links.groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("source", "share"))).alias("m"))
+    g = rows.agg(F.map_from_entries(F.collect_list(F.struct("target", "m"))).alias("into"))
+    names = links.agg(F.struct(F.array_sort(F.array_union(F.collect_set("source"), F.collect_set("target"))).alias("nodes"), F.collect_set("source").alias("srcs")).alias("n"))
+    g = g.withColumn("n", names.scalar()).select("into", "n.*").withColumn("size", F.size("nodes").cast("double"))
+    cell = lambda t, s: F.when(F.array_contains("srcs", s), F.coalesce(F.try_element_at(F.try_element_at("into", t), s), F.lit(0.0))).otherwise(1.0 / F.col("size"))
+    g = g.withColumn("mat", F.transform("nodes", lambda t: F.transform("nodes", lambda s: cell(t, s))))
+    dot = lambda row, acc: F.aggregate(F.zip_with(row, acc, lambda x, y: x * y), F.lit(0.0), lambda z, x: z + x)
+    step = lambda acc, _: F.transform("mat", lambda row: (1 - damping) / F.col("size") + damping * dot(row, acc))
+    start = F.transform("nodes", lambda s: 1.0 / F.col("size"))
+    g = g.withColumn("res", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step))
+    z = g.select(F.explode(F.arrays_zip("nodes", "res")).alias("z"))
+    return z.select(F.col("z.nodes").alias("sector_name"), F.round("z.res", 6).alias("pagerank"))
+
+
 def proportional_edges(flow: DataFrame, limit: int = 5) -> DataFrame:
     """Per date: the ``limit`` largest outflows and inflows linked in proportion (2 * limit kept)."""
     side = lambda cond, order: ranks.top_n(flow.where(cond), ["date"], [order, F.col("sector_name")], limit, "sector_name", "_p")
