@@ -138,7 +138,8 @@ def kdj(df: DataFrame) -> DataFrame:
     df = ewm(df, W, {"kdj_k": ("_rsv", 1 / 3)})
     df = ewm(df, W, {"kdj_d": ("kdj_k", 1 / 3)})
     df = df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d"))
-    cross = (F.col("kdj_k") > F.col("kdj_d")) & (W.lag("kdj_k") <= W.lag("kdj_d")) & (F.col("kdj_k") < 50)
+    gap = F.round(F.col("kdj_k") - F.col("kdj_d"), 9)
+    cross = (gap > 0) & (W.lag(gap) <= 0) & (F.col("kdj_k") < 50)
     return df.withColumns({
         "kdj_oversold": flag(F.col("kdj_j") < 20),
         "kdj_overbought": flag(F.col("kdj_j") > 80),

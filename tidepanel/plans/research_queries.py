@@ -47,10 +47,10 @@ def extract_numbers(spark, sf):
 
 
 @query("forecast_rows", v.with_views("""
-  select er.report_id, stock_code, "year" forecast_year, "value" profit_value, cast(null as double) eps_value, pos from er join reports using (report_id) where pos <= 5 and er.report_id % 5 <> 0""", "reports", extra=EXTRACT))
+  select er.report_id, stock_code, "year" forecast_year, "value" profit_value, cast(null as double) eps_value, pos from er join reports using (report_id) where pos <= 5 and status = 'summarized'""", "reports", extra=EXTRACT))
 def forecast_rows(spark, sf):
     df = reps(spark, sf)
-    done = df.where(F.col("report_id") % 5 == 0).select("report_id")
+    done = df.where("status = 'pending'").select("report_id")
     return rs.forecast_rows(df, done, NUMBERS, ((r"(no) such (text)", 0, 1),))
 
 
@@ -176,11 +176,10 @@ def upcoming_events(spark, sf):
     select e.*, case when contains(title, 'growth') then 'beat' when contains(title, 'loss') then 'miss' end ty, b.code is not null bull from
       (select stock_code, max(event_date) event_date, arg_max(title, (event_date, title)) title from ev where event_date >= date '2024-02-10' group by 1) e
       left join (select distinct unnest(list_concat([stock_code], list_filter(target_stocks, lambda x: regexp_matches(x, '^[0-9]{6}$')))) code from reports where status = 'summarized' and report_date >= date '2024-01-11'
-        and (contains(rating, 'zzz') or sentiment = 'bullish') and report_id % 7 = 0) b on b.code = e.stock_code)
+        and (contains(rating, 'zzz') or sentiment = 'bullish')) b on b.code = e.stock_code)
   where ty is not null order by event_date desc, stock_code limit 12""", "reports", extra=EV))
 def result_surprises(spark, sf):
-    r_ = reps(spark, sf).where(F.col("report_id") % 7 == 0)
-    return rs.surprises(events(spark, sf), r_, D("2024-02-10"), 12, ("growth",), ("loss",), buy=("zzz",))
+    return rs.surprises(events(spark, sf), reps(spark, sf), D("2024-02-10"), 12, ("growth",), ("loss",), buy=("zzz",))
 
 
 @query("watch_pool", v.with_views("""
@@ -302,10 +301,10 @@ def report_total(spark, sf):
     return rs.list_reports(reps(spark, sf), "rc1")[1]
 
 
-@query("purged_reports", v.with_views("select report_id from reports where report_date >= date '2024-01-20' or report_id % 6 = 0", "reports"))
+@query("purged_reports", v.with_views("select report_id from reports where report_date >= date '2024-01-20' or sentiment = 'bullish'", "reports"))
 def purged_reports(spark, sf):
     df = reps(spark, sf)
-    return rs.purge(df, df.where(F.col("report_id") % 6 == 0), D("2024-01-20")).select("report_id")
+    return rs.purge(df, df.where("sentiment = 'bullish'"), D("2024-01-20")).select("report_id")
 
 
 # ---- portfolio -----------------------------------------------------------------------

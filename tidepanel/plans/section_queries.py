@@ -55,7 +55,7 @@ def quantiles_split(spark, sf):
     return rounded(ranks.quantiles(panel(spark, sf), ["trade_date"], specs, ranks.WINDOW_ROWS + 1))
 
 
-FWD = "fw as (select *, " + ", ".join(f"lead({C}, {n}) {W} / {C} - 1 f{n}" for n in (5, 10, 20)) + " from panel_e)"
+FWD = "fw as (select *, " + ", ".join(f"lead({C}, {n}) {W} / nullif({C}, 0) - 1 f{n}" for n in (5, 10, 20)) + " from panel_e)"
 
 
 @query("rank_labels", v.with_views(

@@ -60,9 +60,9 @@ def monthly_layout(spark, sf):
 
 
 @query("missing_dates", """
-  select cast(d as date) cal_date from range(date '1995-01-01', date '2001-12-01', interval 1 day) x(d) where isodow(d) < 6 and cast(d as date) not in (select cast(o_orderdate as date) from orders where o_orderkey % 50 <> 0 and month(o_orderdate) <> 6)""")
+  select cast(d as date) cal_date from range(date '1995-01-01', date '2001-12-01', interval 1 day) x(d) where isodow(d) < 6 and cast(d as date) not in (select cast(o_orderdate as date) from orders where o_orderpriority = '1-URGENT')""")
 def missing_dates(spark, sf):
-    o = t(spark, sf, "orders").where((F.col("o_orderkey") % 50 != 0) & (F.month("o_orderdate") != 6)).select(F.to_date("o_orderdate").alias("trade_date"))
+    o = t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("trade_date"))
     return pn.missing_dates(pn.calendar(spark, "1995-01-01", "2001-11-30"), o)
 
 
@@ -103,10 +103,10 @@ def quality_issues(spark, sf):
 
 
 @query("set_difference", """
-  select coalesce(a.k, b.k) k, case when b.k is null then 'missing' else 'extra' end side from (select distinct o_custkey k from orders where o_orderstatus = 'F') a full join (select c_custkey k from customer where c_custkey % 3 <> 0) b on a.k = b.k where a.k is null or b.k is null""")
+  select coalesce(a.k, b.k) k, case when b.k is null then 'missing' else 'extra' end side from (select distinct o_custkey k from orders where o_orderstatus = 'F') a full join (select c_custkey k from customer where c_acctbal > 0) b on a.k = b.k where a.k is null or b.k is null""")
 def set_difference(spark, sf):
     a = t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))
-    b = t(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    b = t(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     return pn.set_difference(a, b, "k")
 
 
@@ -146,9 +146,9 @@ def latest_valid_date(spark, sf):
 
 @query("back_filled_rows", """
   select l_orderkey, l_linenumber from lineitem where cast(l_shipdate as date) in (select cast(d as date) from range(date '2000-01-01', date '2000-04-01', interval 1 day) x(d) where isodow(d) < 6
-    and cast(d as date) not in (select cast(o_orderdate as date) from orders where o_orderkey % 4 = 0) order by 1 desc limit 7)""")
+    and cast(d as date) not in (select cast(o_orderdate as date) from orders where o_orderpriority = '1-URGENT') order by 1 desc limit 7)""")
 def back_filled_rows(spark, sf):
-    stored = t(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.to_date("o_orderdate").alias("trade_date"))
+    stored = t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("trade_date"))
     src = t(spark, sf, "lineitem").withColumn("trade_date", F.to_date("l_shipdate"))
     return pn.back_fill(src, pn.calendar(spark, "2000-01-01", "2000-03-31"), stored, 7).select("l_orderkey", "l_linenumber")
 
@@ -160,12 +160,12 @@ def status_counts(spark, sf):
 
 
 @query("legacy_import", """
-  select e.event_id external_id, c.c_custkey + 100000 source_id, ['a' || cast(e.user_id % 3 as varchar)] tags from events e join customer c on c.c_custkey = e.user_id where e.event_id % 10 <> 0""")
+  select e.event_id external_id, c.c_custkey + 100000 source_id, ['a' || cast(e.user_id % 3 as varchar)] tags from events e join customer c on c.c_custkey = e.user_id where e.event_type <> 'error'""")
 def legacy_import(spark, sf):
     e = t(spark, sf, "events")
     legacy = e.select(F.col("event_id").alias("external_id"), F.col("user_id").alias("source_id"), F.concat(F.lit('["a'), (F.col("user_id") % 3).cast("string"), F.lit('"]')).alias("tags"))
     parents = t(spark, sf, "customer").select(F.col("c_custkey").alias("old_id"), (F.col("c_custkey") + 100000).alias("new_id"))
-    stored = e.where("event_id % 10 = 0").select(F.col("event_id").alias("external_id"))
+    stored = e.where("event_type = 'error'").select(F.col("event_id").alias("external_id"))
     return pn.import_legacy(legacy, parents, stored, ["external_id"], "source_id", ["tags"])
 
 
@@ -334,10 +334,10 @@ def candidate_history(spark, sf):
 
 
 @query("insert_new_only", """
-  select doc_id from documents where doc_id % 3 <> 0 and not (doc_id % 5 = 0)""")
+  select doc_id from documents where lang <> 'en' and source <> 'src1'""")
 def insert_new_only(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("external_id"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), D("2024-01-01").alias("report_date"))
-    stored = d.where("doc_id % 3 = 0").unionByName(d.where("doc_id % 5 = 0").withColumn("external_id", F.lit("other")))
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source", F.col("doc_id").cast("string").alias("external_id"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), D("2024-01-01").alias("report_date"))
+    stored = d.where("lang = 'en'").unionByName(d.where("source = 'src1'").withColumn("external_id", F.lit("other")))
     return jn.skip_existing(d, stored).select("doc_id")
 
 
@@ -384,11 +384,12 @@ def attached_flow(spark, sf):
 
 
 @query("close_fallback", v.with_views("""
-  select ts_code, trade_date, "close" from panel_l where trade_date >= date '2001-06-01' and cast(ts_code as integer) % 2 = 0 union all select ts_code, trade_date, "close" + 1 from panel_l where trade_date >= date '2001-06-01' and cast(ts_code as integer) % 2 = 1""", "panel_l"))
+  select ts_code, trade_date, "close" from panel_l where industry >= 'NATION_2' union all select ts_code, trade_date, "close" + 1 from panel_l where industry < 'NATION_2'""", "panel_l"))
 def close_fallback(spark, sf):
-    p = v.panel_l(spark, sf).where(F.col("trade_date") >= D("2001-06-01")).select("ts_code", "trade_date", "close")
-    even = F.col("ts_code").cast("int") % 2 == 0
-    return jn.close_map(p.where(even | (F.dayofmonth("trade_date") == 1)), p.withColumn("close", F.col("close") + 1), 10)
+    p = v.panel_l(spark, sf).select("ts_code", "trade_date", "close", "industry")
+    full = F.col("industry") >= "NATION_2"
+    start = p.agg(F.min("trade_date").alias("first")).scalar()
+    return jn.close_map(p.where(full | (F.col("trade_date") == start)), p.withColumn("close", F.col("close") + 1), 10)
 
 
 @query("latest_price", """

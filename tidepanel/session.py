@@ -35,10 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``; a machine-local folder is used
     only where the setting is absent, as in tests.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="tidepanel-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-ckpt-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path
 
 

@@ -69,7 +69,8 @@ PEAK_OUT = "code string, ts timestamp, close double, peak double, drawdown doubl
 def trailing_peaks(prices: DataFrame, drop: float = 0.12, rise: float = 1.05) -> DataFrame:
     """Per position: running peak since entry and the trailing-stop signal.
 
-    Input columns: code, ts, close (the first close seen is the entry price).
+    Input columns: code, ts, close (the first close seen is the entry price). A step sees the
+    rows of one position in one micro-batch, which the source's trigger limit bounds.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
