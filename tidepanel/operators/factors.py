@@ -128,15 +128,15 @@ def macd(df: DataFrame, series: Series = W, price: str = "close") -> DataFrame:
     })
 
 
-def kdj(df: DataFrame) -> DataFrame:
-    """Stochastic lines, partitioned by entity, and the low golden cross."""
+def _stochastic_inputs(df: DataFrame) -> DataFrame:
     df = df.withColumns({"_lo9": W.roll(F.min, "low", 9), "_hi9": W.roll(F.max, "high", 9)})
-    df = df.withColumns({
+    return df.withColumns({
         "_rsv": _ratio(F.col("close") - F.col("_lo9"), F.col("_hi9") - F.col("_lo9")) * 100,
         "wr": -100 * _ratio(F.col("_hi9") - F.col("close"), F.col("_hi9") - F.col("_lo9")),
-    })
-    df = ewm(df, W, {"kdj_k": ("_rsv", 1 / 3)})
-    df = ewm(df, W, {"kdj_d": ("kdj_k", 1 / 3)})
+    }).drop("_lo9", "_hi9")
+
+
+def _stochastic_flags(df: DataFrame) -> DataFrame:
     df = df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d"))
     gap = F.round(F.col("kdj_k") - F.col("kdj_d"), 9)
     cross = (gap > 0) & (W.lag(gap) <= 0) & (F.col("kdj_k") < 50)
@@ -145,14 +145,21 @@ def kdj(df: DataFrame) -> DataFrame:
         "kdj_overbought": flag(F.col("kdj_j") > 80),
         "kdj_low_golden": flag(cross),
         "wr_oversold": flag(F.col("wr") < -80),
-    }).drop("_lo9", "_hi9", "_rsv")
+    }).drop("_rsv")
 
 
-def rsi(df: DataFrame) -> DataFrame:
-    """Exponential RSI(14) and the price-low divergence."""
+def kdj(df: DataFrame) -> DataFrame:
+    """Stochastic lines, partitioned by entity, and the low golden cross."""
+    df = ewm(_stochastic_inputs(df), W, {"kdj_k": ("_rsv", 1 / 3)})
+    return _stochastic_flags(ewm(df, W, {"kdj_d": ("kdj_k", 1 / 3)}))
+
+
+def _gain_loss(df: DataFrame) -> DataFrame:
     df = df.withColumn("_chg", F.col("close") - W.lag("close"))
-    df = df.withColumns({"_gain": clip(F.col("_chg"), lo=0.0), "_loss": clip(-F.col("_chg"), lo=0.0)})
-    df = ewm(df, W, {"_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)})
+    return df.withColumns({"_gain": clip(F.col("_chg"), lo=0.0), "_loss": clip(-F.col("_chg"), lo=0.0)})
+
+
+def _strength_flags(df: DataFrame) -> DataFrame:
     df = df.withColumn("rsi", 100 - 100 / (1 + _ratio(F.col("_ag"), F.col("_al"))))
     df = df.withColumns({"_low20": W.roll(F.min, "close", 20, 5), "_rlow5": W.roll(F.min, "rsi", 5, 3)})
     diverges = (F.col("close") == F.col("_low20")) & (F.col("rsi") > F.col("_rlow5") + 5)
@@ -163,6 +170,25 @@ def rsi(df: DataFrame) -> DataFrame:
     }).drop("_chg", "_gain", "_loss", "_ag", "_al", "_low20", "_rlow5")
 
 
+def rsi(df: DataFrame) -> DataFrame:
+    """Exponential RSI(14) and the price-low divergence."""
+    return _strength_flags(ewm(_gain_loss(df), W, {"_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)}))
+
+
+def oscillators(df: DataFrame) -> DataFrame:
+    """MACD, stochastic lines and RSI together: their recursive means share two passes."""
+    df = ewm(_gain_loss(_stochastic_inputs(df)), W, {
+        "_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27), "kdj_k": ("_rsv", 1 / 3),
+        "_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)})
+    df = df.withColumn("macd", F.col("_e12") - F.col("_e26")).drop("_e12", "_e26")
+    df = ewm(df, W, {"macd_signal": ("macd", 0.2), "kdj_d": ("kdj_k", 1 / 3)})
+    df = df.withColumns({
+        "macd_hist": F.col("macd") - F.col("macd_signal"),
+        "macd_golden": flag(F.col("macd") > F.col("macd_signal")),
+    })
+    return _strength_flags(_stochastic_flags(df))
+
+
 def bollinger(df: DataFrame) -> DataFrame:
     if "ma20" not in df.columns:
         df = df.withColumn("ma20", W.roll(F.avg, "close", 20))
@@ -246,7 +272,7 @@ def rule_factors(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """The full factor panel."""
     df = size(df, group_rows)
     for step in (returns, volume_price, valuation, volatility, illiquidity, moving_averages,
-                 macd, kdj, rsi, bollinger, price_position):
+                 oscillators, bollinger, price_position):
         df = step(df)
     df = risk_flags(composites(df))
     absent = [c for c in ("mf_net_main", "mf_main_ratio", "sent_limit_gene", "sent_limit_active", "sent_hsgt_fav")

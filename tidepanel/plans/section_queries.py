@@ -201,9 +201,9 @@ u9 as (select *, {band('rule_raw', 60.0, 35.0)} rule_score, risk_pledge_high = 0
     select *, count(*) filter (ok) over () n_ok from u9) where ok or n_ok < 20) where pick_rank <= 20""", "panel_e", extra=FULL))
 def rule_selection(spark, sf):
     """Flagship: all factors, 33 weights, risk filter with relaxation, top names of the newest date."""
-    df = fx.rule_factors(panel(spark, sf), rows(spark, sf))
+    df = fx.latest_section(fx.rule_factors(panel(spark, sf), rows(spark, sf)), panel(spark, sf))
     picks = xs.rule_selection(df, 20, rows(spark, sf))
-    return rounded(fx.latest_section(picks, panel(spark, sf)).select("trade_date", "ts_code", "industry", "close", "rule_score", "pick_rank"), 6)
+    return rounded(picks.select("trade_date", "ts_code", "industry", "close", "rule_score", "pick_rank"), 6)
 
 
 @query("degenerate_score", v.with_views(
@@ -442,11 +442,10 @@ def fallback_scores(spark, sf):
 @query("item_view")
 def item_view(spark, sf):
     """Scores, confidence, position and signals of the newest date (hand-made rows in tests)."""
-    df = fx.rule_factors(panel(spark, sf), rows(spark, sf))
+    df = fx.latest_section(fx.rule_factors(panel(spark, sf), rows(spark, sf)), panel(spark, sf))
     df = xs.valuation_attractiveness(xs.fallback_scores(df, rows(spark, sf)), rows(spark, sf))
     df = xs.score_band(xs.weighted_rank_score(df, group_rows=rows(spark, sf)), ["trade_date"], "rule_raw", "rule_score", group_rows=rows(spark, sf))
-    out = fx.latest_section(xs.item_view(df), panel(spark, sf))
-    return rounded(out.select("ts_code", "trade_date", "buy_score", "confidence", "position_weight", "position_level",
+    return rounded(xs.item_view(df).select("ts_code", "trade_date", "buy_score", "confidence", "position_weight", "position_level",
                               "buy_signals", "veto_reason"), 4)
 
 
