@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, lines, packing, secrets
+from . import archive, bpe, jaccard, language, lines, packing, secrets, wrappers
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,25 @@ def op9_harmonic_packing(spark, sf):
     out = packing.pack_reports(reports(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select(F.col("external_id").alias("doc_id"), "start", "length", F.crc32("token_ids").alias("ids_crc32"),
                       F.col("report_tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as crawled report pages."""
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    return table.select(F.col("page_id").alias("external_id"), F.col("url").alias("source_url"), "html")
+
+
+@query
+def op7_warc(spark, sf):
+    """A record per page, written to archives and read back."""
+    source = pages(spark, sf)
+    found = archive.read_archives(archive.write_archives(source), source.schema["external_id"].dataType, payloads=False)
+    return found.select(F.col("external_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_html_extraction(spark, sf):
+    """Main text of every page."""
+    found = wrappers.extract_articles(pages(spark, sf))
+    return found.select(F.col("external_id").alias("page_id"), F.col("source_url").alias("url"), F.col("content_text").alias("text"),
+                        F.length("content_text").cast("long").alias("n_chars"))
