@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, jaccard, language, lines, packing, secrets, wrappers
+from . import archive, bpe, jaccard, language, lines, neighbours, packing, secrets, topk, wrappers
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,40 @@ def op8_html_extraction(spark, sf):
     found = wrappers.extract_articles(pages(spark, sf))
     return found.select(F.col("external_id").alias("page_id"), F.col("source_url").alias("url"), F.col("content_text").alias("text"),
                         F.length("content_text").cast("long").alias("n_chars"))
+
+
+def exposures(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as exposure vectors."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return table.select(F.col("vec_id").alias("ts_code"), F.col("embedding").alias("features"))
+
+
+def _as_hits(found: DataFrame) -> DataFrame:
+    return found.select(F.col("query_code").alias("query_id"), "rank", F.col("ts_code").alias("vec_id"), "score")
+
+
+@query
+def op3_neighbours(spark, sf):
+    """Twenty near neighbours of every twentieth vector among all others."""
+    rows = exposures(spark, sf)
+    return _as_hits(neighbours.nearest_stocks(rows, rows.where("ts_code % 20 = 0"), k=20))
+
+
+@query
+def op10_exact_topk(spark, sf):
+    """Twenty highest integer inner products of every twentieth vector among all others."""
+    return _as_hits(topk.top_exposures(exposures(spark, sf), "ts_code % 20 = 0", k=20, scale=64))
+
+
+ORACLES["op10_exact_topk"] = """
+WITH units AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM units q JOIN units c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
