@@ -19,12 +19,29 @@ def test_ewm_matches_sequential_recursion_across_segments(spark, alpha):
     rng = random.Random(3)
     rows = [("a", i, rng.uniform(-5, 5)) for i in range(700)] + [("b", i, rng.uniform(0, 1)) for i in range(3)]
     df = frame(spark, rows, "k string, t int, x double")
-    out = wn.ewm(df, wn.Series("k", "t"), {"y": ("x", alpha)}, segment=64).orderBy("k", "t").toPandas()
+    out = wn.ewm(df, wn.Series("k", "t"), {"y": ("x", alpha)}, segment=60.0).orderBy("k", "t").toPandas()
     for key, part in out.groupby("k"):
         want = part["x"].ewm(alpha=alpha, adjust=False).mean()
         assert np.allclose(part["y"], want, rtol=1e-11, atol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [0.05, 1 / 3, 0.9])
+def test_ewm_inner_nulls_match_pandas(spark, alpha):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(4):
+        x = rng.normal(size=900) * 10
+        x[rng.random(900) < (0.0, 0.3, 0.9, 0.5)[k]] = np.nan
+        x[300:700 if k == 3 else 300] = np.nan
+        rows += [(k, t, None if np.isnan(v) else float(v), None if np.isnan(v) else 2 * float(v)) for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, t int, x double, z double")
+    out = wn.ewm(df, wn.Series("k", "t"), {"y": ("x", alpha), "w": ("z", alpha)}, segment=90.0, alike={"z": "x"}).orderBy("k", "t").toPandas()
+    for _, part in out.groupby("k"):
+        want = part["x"].ewm(alpha=alpha, adjust=False).mean()
+        np.testing.assert_allclose(part["y"], want, rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(part["w"], 2 * want, rtol=1e-9, atol=1e-9)
+
+
 def test_ewm_leading_nulls(spark):
     df = frame(spark, [("a", 0, None), ("a", 1, 2.0), ("a", 2, 4.0)], "k string, t int, x double")
     y = [r.y for r in wn.ewm(df, wn.Series("k", "t"), {"y": ("x", 0.5)}).orderBy("t").collect()]

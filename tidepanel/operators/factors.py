@@ -172,14 +172,14 @@ def _strength_flags(df: DataFrame) -> DataFrame:
 
 def rsi(df: DataFrame) -> DataFrame:
     """Exponential RSI(14) and the price-low divergence."""
-    return _strength_flags(ewm(_gain_loss(df), W, {"_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)}))
+    return _strength_flags(ewm(_gain_loss(df), W, {"_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)}, alike={"_loss": "_gain"}))
 
 
 def oscillators(df: DataFrame) -> DataFrame:
     """MACD, stochastic lines and RSI together: their recursive means share two passes."""
     df = ewm(_gain_loss(_stochastic_inputs(df)), W, {
         "_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27), "kdj_k": ("_rsv", 1 / 3),
-        "_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)})
+        "_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)}, alike={"_loss": "_gain"})
     df = df.withColumn("macd", F.col("_e12") - F.col("_e26")).drop("_e12", "_e26")
     df = ewm(df, W, {"macd_signal": ("macd", 0.2), "kdj_d": ("kdj_k", 1 / 3)})
     df = df.withColumns({

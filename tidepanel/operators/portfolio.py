@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bare_code
-from .windows import cumulative
+from .windows import SEGMENT_DECAY, cumulative
 
 ALL = 10**12
 LEDGER = ["account", "code"]
@@ -28,7 +28,8 @@ def replay(ledger: DataFrame, bucket: Column, group_rows: int | None = None) ->
     A sell cannot exceed the holding, so shares are a clamped running sum: the plain sum
     lifted by the lowest point it has reached at a sell. Between two flat points the cost is
     a decayed sum of buys (a sell scales it). Both are running sums and maxima over
-    (key, bucket) cells, so one busy key needs no single-task fold.
+    (key, bucket) cells, so one busy key needs no single-task fold. Scales are relative to
+    segments in which a position decays by a fixed factor, so no episode is too long.
     """
     buy = F.col("side").isin("BUY", "ADD")
     move = F.when(buy, F.col("shares")).when(F.col("side") == "CLOSE", F.lit(-ALL)).otherwise(-F.col("shares"))
@@ -47,9 +48,16 @@ def replay(ledger: DataFrame, bucket: Column, group_rows: int | None = None) ->
         "_ln": F.when(~F.col("_buy") & (F.col("shares_after") > 0), F.log(F.col("shares_after") / F.col("shares_before"))).otherwise(0.0)})
     keys = [*LEDGER, "_episode"]
     d = cumulative(d, keys, "seq", "_b", {"_scale": ("_ln", "sum")}, group_rows)
-    d = d.withColumn("_term", F.when(F.col("_buy"), F.round(F.col("price") * F.col("shares"), 2) * F.exp(-F.col("_scale"))).otherwise(0.0))
-    d = cumulative(d, keys, "seq", "_b", {"_paid": ("_term", "sum")}, group_rows)
-    held = F.exp("_scale") * F.col("_paid")
+    # Scales are taken within segments of bounded decay; of earlier segments only the end before shows.
+    d = d.withColumn("_seg", F.floor(-F.col("_scale") / SEGMENT_DECAY).cast("long"))
+    within = -F.col("_scale") - SEGMENT_DECAY * F.col("_seg")
+    d = d.withColumn("_term", F.when(F.col("_buy"), F.round(F.col("price") * F.col("shares"), 2) * F.exp(within)).otherwise(0.0))
+    d = cumulative(d, [*keys, "_seg"], "seq", "_b", {"_paid": ("_term", "sum")}, group_rows)
+    d = d.withColumn("_held", F.exp(-within) * F.col("_paid"))
+    ends = d.groupBy(*keys, "_seg").agg(F.max_by(F.struct("_held", "_scale"), "seq").alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_seg"))
+    d = d.join(ends.select(*keys, "_seg", before.alias("_before")), [*keys, "_seg"])
+    held = F.col("_held") + F.coalesce(F.col("_before._held") * F.exp(F.col("_scale") - F.col("_before._scale")), F.lit(0.0))
     base = F.when(F.col("shares_after") > 0, F.col("shares_after")).otherwise(F.col("shares_before"))
     d = d.withColumn("avg_cost", held / base)
     sold = F.when(~F.col("_buy"), F.col("shares_before") - F.col("shares_after")).otherwise(zero)

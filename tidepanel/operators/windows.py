@@ -91,57 +91,57 @@ def flag(cond: Column) -> Column:
     return F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+#: Natural logs of decay that a segment of a recursive mean spans, and beyond which nothing shows in a double.
+SEGMENT_DECAY, LOST_DECAY = 400.0, 42.0
+
+
 def ewm(
     df: DataFrame,
     series: Series,
     specs: dict[str, tuple[str, float]],
-    segment: int = 256,
+    alike: dict[str, str] | None = None,
+    segment: float = SEGMENT_DECAY,
 ) -> DataFrame:
     """Recursive mean ``y0=x0, y=a*x+(1-a)*y`` for several columns in O(rows).
 
-    ``specs`` maps output name to (input column, a). Inputs may have leading nulls only.
-    The series is cut into segments of ``segment`` rows. Inside one, ``y`` is a scaled
-    running sum; the value carried in is the decayed sum of earlier segment ends, of
-    which only those still above double precision are read.
+    ``specs`` maps output name to (input column, a). At an inner null the mean stays, and the
+    next value counts more: after ``g`` nulls the old mean weighs ``(1-a)**(g+1)`` against
+    ``a``. ``alike`` names for an input another one that is null in the same rows, so both
+    share a sort. A series is cut into segments in which the old mean decays by
+    ``exp(segment)``: inside one, ``y`` is a scaled running sum, and of the past only the
+    value before the segment still shows.
     """
-    longest = max(-math.log10(1 - a) for _, a in specs.values())
-    segment = max(8, min(segment, int(200 / longest)))
+    slope = lambda a: -math.log(1 - a)
+    groups: dict[tuple, dict] = {}
+    for out, (c, a) in specs.items():
+        src = (alike or {}).get(c, c)
+        near = next((k for k in groups if k[0] == src and min(slope(a), slope(k[1])) * segment >= LOST_DECAY * max(slope(a), slope(k[1]))), (src, a))
+        groups.setdefault(near, {})[out] = (c, a)
+    index, past, before = F.col("_ewm_i"), series.past, series.window.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_ewm_i", series.row_index())
-    df = df.withColumns({"_ewm_seg": F.floor(F.col("_ewm_i") / segment), "_ewm_r": F.col("_ewm_i") % segment})
-    seen, terms = {}, {}
-    for out, (src, a) in specs.items():
-        seen[f"_n_{out}"] = F.count(src).over(series.past)
-    df = df.withColumns(seen)
-    inside = (
-        Window.partitionBy(*series.keys, "_ewm_seg")
-        .orderBy(*series.order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    for out, (src, a) in specs.items():
-        term = (
-            F.when(F.col(src).isNull(), 0.0)
-            .when(F.col(f"_n_{out}") == 1, F.col(src))
-            .otherwise(F.lit(a) * F.col(src))
-        )
-        grow = F.pow(F.lit(1.0 - a), -F.col("_ewm_r").cast("double"))
-        decay = F.pow(F.lit(1.0 - a), F.col("_ewm_r").cast("double"))
-        terms[f"_y_{out}"] = decay * F.sum(term * grow).over(inside)
-    df = df.withColumns(terms)
-    by_segment = Window.partitionBy(*series.keys).orderBy("_ewm_seg")
-    final = {}
-    for out, (src, a) in specs.items():
-        q = 1.0 - a
-        depth = max(1, math.ceil(18 / (-math.log10(q) * segment)))
-        carry = F.lit(0.0)
-        for k in range(1, depth + 1):
-            end = F.max(F.when(F.col("_ewm_r") == segment - 1, F.col(f"_y_{out}"))).over(
-                by_segment.rangeBetween(-k, -k)
-            )
-            carry = carry + F.coalesce(end, F.lit(0.0)) * (q ** (segment * (k - 1)))
-        value = F.col(f"_y_{out}") + F.pow(F.lit(q), F.col("_ewm_r").cast("double") + 1) * carry
-        final[out] = F.when(F.col(f"_n_{out}") > 0, value)
-    df = df.withColumns(final)
-    helpers = ["_ewm_i", "_ewm_seg", "_ewm_r"] + list(seen) + list(terms)
+    helpers = ["_ewm_i"]
+    for j, ((src, _), outs) in enumerate(groups.items()):
+        n, gap, there = F.col(f"_ewm_n{j}"), F.col(f"_ewm_g{j}"), F.col(src).isNotNull()
+
+        def old(a):
+            """Weight of the old mean; a gap after which it is lost counts as just that gap."""
+            return F.pow(F.lit(1.0 - a), F.least(gap, F.lit(math.ceil(2 * LOST_DECAY / slope(a)))))
+
+        def decay(a):
+            return F.when(there & (n > 1), F.log(1.0 + a / old(a))).otherwise(0.0)
+
+        df = df.withColumns({f"_ewm_n{j}": F.count(src).over(past), f"_ewm_g{j}": (index - F.last(F.when(there, index), ignorenulls=True).over(before)).cast("double")})
+        df = df.withColumn(f"_ewm_s{j}", F.floor(F.sum(decay(max(a for _, a in outs.values()))).over(past) / segment))
+        inside = Window.partitionBy(*series.keys, f"_ewm_s{j}").orderBy(*series.order).rowsBetween(Window.unboundedPreceding, 0)
+        steps, sums, carried, final = {}, {}, {}, {}
+        for o, (c, a) in outs.items():
+            steps[f"_ewm_f_{o}"] = F.sum(decay(a)).over(inside)
+            term = F.when(~there, 0.0).when(n == 1, F.col(c)).otherwise(a * F.col(c) / (old(a) + a))
+            sums[f"_ewm_y_{o}"] = F.exp(-F.col(f"_ewm_f_{o}")) * F.sum(term * F.exp(f"_ewm_f_{o}")).over(inside)
+            carried[f"_ewm_c_{o}"] = F.coalesce(series.lag(F.col(f"_ewm_y_{o}")), F.lit(0.0))
+            final[o] = F.when(n > 0, F.col(f"_ewm_y_{o}") + F.exp(-F.col(f"_ewm_f_{o}")) * F.first(f"_ewm_c_{o}").over(inside))
+        df = df.withColumns(steps).withColumns(sums).withColumns(carried).withColumns(final)
+        helpers += [f"_ewm_n{j}", f"_ewm_g{j}", f"_ewm_s{j}", *steps, *sums, *carried]
     return df.drop(*helpers)
 
 
