@@ -12,7 +12,7 @@ import sys
 import time
 
 from tidepanel.plans import catalog
-from tidepanel.session import build_session
+from tidepanel.session import build_session, clear_stages
 
 HEADLINE = {
     "q1_factor_panel": "factor_panel", "q2_rank_score": "weighted_rank_score", "q3_rank_ic": "rank_ic",
@@ -38,6 +38,7 @@ def main():
                 queries[name](spark, sf).write.format("noop").mode("overwrite").save()
                 if i:
                     runs.append(time.perf_counter() - t0)
+                clear_stages(spark)
             spent[label] = round(statistics.median(runs), 3)
             print(label, spent[label], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(spent.values()), 3), "unit": "sec", "queries": spent,

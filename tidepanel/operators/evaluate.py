@@ -242,7 +242,8 @@ def align_features(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 def _assemble(df: DataFrame, features: Sequence[str]):
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})  # as training_rows does; no row goes
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
 
 
 def direction_model(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, rounds: int = 20) -> DataFrame:

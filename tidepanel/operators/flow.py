@@ -79,11 +79,13 @@ def _vectors(flow: DataFrame, depth: int) -> DataFrame:
     names = flow.agg(F.array_sort(F.collect_set("sector_name")).alias("names"))
     per_day = flow.groupBy("date").agg(
         F.map_from_entries(F.collect_list(F.struct("sector_name", "main_force_net"))).alias("_m"))
-    per_day = per_day.withColumns({"_one": F.lit(1), "names": names.scalar()})
-    per_day = per_day.select(
-        "date", "_one", "names", F.transform("names", lambda s: F.try_element_at("_m", s)).alias("v0"))
-    w = Window.partitionBy("_one").orderBy("date")
-    return per_day.select("date", "names", "v0", *[F.lag("v0", k).over(w).alias(f"v{k}") for k in range(1, depth + 1)])
+    per_day = per_day.withColumn("names", names.scalar()).join(F.broadcast(date_index(flow)), "date")  # a row per calendar date
+    now = per_day.select("date", "t", "names", F.transform("names", lambda s: F.try_element_at("_m", s)).alias("v0"))
+    now = cut_lineage(now.repartition("t"))
+    out = now
+    for k in range(1, depth + 1):  # an earlier date is found by its index, so rows stay spread over tasks
+        out = out.join(now.select((F.col("t") + k).alias("t"), F.col("v0").alias(f"v{k}")), "t", "left")
+    return out.select("date", "names", *[f"v{k}" for k in range(depth + 1)])
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -133,14 +135,14 @@ def _partial_products(depth: int, split: bool):
     return run
 
 
-def pair_statistics(flow: DataFrame, depth: int = 1, split: bool = False, keep: int = 40) -> DataFrame:
+def pair_statistics(flow: DataFrame, depth: int = 1, split: bool = False, keep: int | None = None) -> DataFrame:
     """Centred second moments for every ordered sector pair and lag 1..depth.
 
     ``split`` uses source outflow and target inflow (missing = 0); else raw net flows with
     missing dates excluded. Values are scaled by each sector's mean size before the
     products, so the sums stay well conditioned; correlations and F are scale free.
     """
-    pruned = most_active(flow, keep)
+    pruned = flow if keep is None else most_active(flow, keep)
     scale = pruned.groupBy("sector_name").agg(F.avg(F.abs("main_force_net")).alias("_u"))
     scaled = pruned.join(F.broadcast(scale), "sector_name").withColumn(
         "main_force_net", F.try_divide(F.col("main_force_net"), F.col("_u")))

@@ -173,7 +173,7 @@ def theme_directions(latest: DataFrame, rules: DataFrame, flow_names: DataFrame,
     """
     t = latest.select("series_name", trend(F.col("chg_20")).alias("want"))
     hit = rules.join(t, ["series_name", "want"]).select(F.explode("themes").alias("direction"), "weight", "reason", "rule_id")
-    s = hit.groupBy("direction").agg(F.sum("weight").alias("score"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "reason"))), lambda x: x["reason"]), 1, 2).alias("reasons"))
+    s = hit.groupBy("direction").agg(F.sum("weight").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "reason"))), lambda x: x["reason"]).alias("reasons"))
     names = flow_names.agg(F.array_sort(F.collect_set("sector_name")).alias("names"))
     tags = research.agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("tags"))
     s = s.withColumns({"_f": names.scalar(), "_t": tags.scalar()})

@@ -7,9 +7,10 @@ word lists are parameters; the defaults are for Chinese reports.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks
@@ -96,7 +97,7 @@ def target_price(text: Column, patterns: Sequence[str] = TARGET_PRICE_PATTERNS)
 def _numbered(k: int):
     def shape(z: Column, i: Column) -> Column:
         return F.struct(F.lit(k).alias("p"), i.alias("i"), z["y"].try_cast("int").alias("year"),
-                        z["v"].try_cast("double").alias("value"), F.substring(z["t"], 1, 80).alias("text"))
+                        z["v"].try_cast("double").alias("value"), z["t"].alias("text"))
 
     return shape
 
@@ -105,7 +106,7 @@ def _dated(k: int, kind: str):
     def shape(z: Column) -> Column:
         day = F.concat_ws("-", z["y"], F.lpad(z["m"], 2, "0"), F.lpad(z["d"], 2, "0"))
         return F.struct(F.lit(k).alias("p"), F.lit(kind).alias("event_type"), F.try_to_date(day, "yyyy-MM-dd").alias("event_date"),
-                        F.substring(z["w"], 1, 200).alias("detail"))
+                        z["w"].alias("detail"))
 
     return shape
 
@@ -126,34 +127,39 @@ def _all_matches(text: Column, patterns, low: float, high: float) -> Column:
     return F.filter(F.flatten(F.array(*parts)), lambda x: (x["value"] > low) & (x["value"] < high))
 
 
-def extract_numbers(df: DataFrame, key: str, text: str, patterns, low: float, high: float, keep: int) -> DataFrame:
-    """One row per distinct (year, value) of a text, the first ``keep`` in match order."""
+def extract_numbers(df: DataFrame, key: str, text: str, patterns, low: float, high: float, keep: int | None = None) -> DataFrame:
+    """One row per distinct (year, value) of a text, in match order; all, or the first ``keep``."""
     m = df.select(key, F.explode(_all_matches(F.col(text), patterns, low, high)).alias("m")).select(key, "m.*")
     m = m.groupBy(key, "year", "value").agg(F.min(F.struct("p", "i", "text")).alias("f"))
     m = m.select(key, "year", "value", F.col("f.text").alias("match_text"), F.col("f.p").alias("_p"), F.col("f.i").alias("_i"))
     order = [F.col("_p"), F.col("_i"), F.col("value")]
+    if keep is None:
+        return m.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order))).drop("_p", "_i")
     return ranks.top_n(m, [key], order, keep, key, "pos").drop("_p", "_i")
 
 
-def profit_forecasts(df: DataFrame, key="report_id", text="text", patterns=PROFIT_PATTERNS) -> DataFrame:
-    return extract_numbers(df.withColumn("_t", F.regexp_replace(text, ",", "")), key, "_t", patterns, 0.01, 100000, 5)
+def profit_forecasts(df: DataFrame, key="report_id", text="text", patterns=PROFIT_PATTERNS, keep: int | None = None) -> DataFrame:
+    return extract_numbers(df.withColumn("_t", F.regexp_replace(text, ",", "")), key, "_t", patterns, 0.01, 100000, keep)
 
 
-def eps_forecasts(df: DataFrame, key="report_id", text="text", patterns=EPS_PATTERNS) -> DataFrame:
-    return extract_numbers(df, key, text, patterns, 0.001, 1000, 3)
+def eps_forecasts(df: DataFrame, key="report_id", text="text", patterns=EPS_PATTERNS, keep: int | None = None) -> DataFrame:
+    return extract_numbers(df, key, text, patterns, 0.001, 1000, keep)
 
 
-def forecast_rows(reports: DataFrame, done: DataFrame, profit=PROFIT_PATTERNS, eps=EPS_PATTERNS) -> DataFrame:
+def forecast_rows(reports: DataFrame, done: DataFrame, profit=PROFIT_PATTERNS, eps=EPS_PATTERNS, profits: int | None = None,
+                  earnings: int | None = None, most: int | None = None) -> DataFrame:
     """Forecast rows of reports not yet processed: profits with the EPS of their year, or
-    EPS alone where no profit was found; at most five per report."""
+    EPS alone where no profit was found. ``profits``, ``earnings`` and ``most`` keep the first
+    profits, EPS values and rows of a report; all by default."""
     todo = reports.join(done.select("report_id").distinct(), "report_id", "left_anti").where(F.col("stock_code").isNotNull())
-    p = profit_forecasts(todo, patterns=profit).withColumnRenamed("value", "profit_value")
-    e = eps_forecasts(todo, patterns=eps).withColumnRenamed("value", "eps_value")
+    p = profit_forecasts(todo, patterns=profit, keep=profits).withColumnRenamed("value", "profit_value")
+    e = eps_forecasts(todo, patterns=eps, keep=earnings).withColumnRenamed("value", "eps_value")
     by_year = e.groupBy("report_id", "year").agg(F.max_by("eps_value", "pos").alias("eps_value"))
     y = by_year.select(F.col("report_id").alias("_r"), F.col("year").alias("_y"), "eps_value")
     with_profit = p.join(y, (p.report_id == y["_r"]) & p.year.eqNullSafe(y["_y"]), "left").select("report_id", "year", "profit_value", "eps_value", "pos")
     alone = e.join(p.select("report_id").distinct(), "report_id", "left_anti").select("report_id", "year", F.lit(None).cast("double").alias("profit_value"), "eps_value", "pos")
-    rows = with_profit.unionByName(alone).where(F.col("pos") <= 5)
+    rows = with_profit.unionByName(alone)
+    rows = rows if most is None else rows.where(F.col("pos") <= most)
     return rows.join(todo.select("report_id", "stock_code"), "report_id").select("report_id", "stock_code", F.col("year").alias("forecast_year"), "profit_value", "eps_value", "pos")
 
 
@@ -228,9 +234,9 @@ def consensus(reports: DataFrame, since: Column, changes: DataFrame, limit: int
     g = m.groupBy("code").agg(
         F.count(F.lit(1)).alias("report_count"), n("is_buy").alias("buy_count"), F.count_if(F.col("sentiment") == "bullish").alias("bullish_count"),
         n("is_upgrade").alias("upgrade_count"), n("is_first").alias("first_cover_count"), F.count_distinct("institution").alias("institution_count"),
-        F.slice(F.array_sort(F.collect_set("institution")), 1, 5).alias("institutions"), F.round(F.sum(pts), 1).alias("score"),
+        F.array_sort(F.collect_set("institution")).alias("institutions"), F.round(F.sum(pts), 1).alias("score"),
         F.min_by("target_price", F.when(F.col("target_price").isNotNull(), F.col("report_id"))).alias("target_price"), F.max("report_date").alias("latest_date"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), 1, 3).alias("industries"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("industries"))
     top = g.orderBy(F.col("score").desc(), F.col("report_count").desc(), "code").limit(limit).join(changes.select("code", "price_change_20d"), "code", "left")
     return top.withColumn("divergence", F.coalesce((F.col("price_change_20d") <= -5) & (F.col("buy_count") / F.col("report_count") >= 0.6) & (F.col("report_count") >= 3), F.lit(False)))
 
@@ -254,11 +260,11 @@ def recommendations(reports: DataFrame, today: Column, watch_codes: Sequence[str
     return ranks.top_n(r, ["_all"], [F.col("score").desc(), F.col("report_id")], limit, "report_id", "rank").select("report_id", "rank", "score", "reason")
 
 
-def target_upside(reports: DataFrame, prices: DataFrame, newest: int = 40, limit: int = 12) -> DataFrame:
-    """Newest target price per code against the current price."""
+def target_upside(reports: DataFrame, prices: DataFrame, limit: int = 12) -> DataFrame:
+    """Newest target price per code against the current price; the ``limit`` largest of all codes."""
     r = reports.withColumn("code", resolve_code(F.col("stock_code"), F.col("target_stocks"))).where(F.col("code").isNotNull() & F.col("target_price").isNotNull())
     t = r.groupBy("code").agg(F.max_by(F.struct("target_price", "report_date", "institution"), F.struct("report_date", -F.col("report_id"))).alias("t")).select("code", "t.*")
-    t = t.orderBy(F.col("report_date").desc(), "code").limit(newest).join(prices.select("code", "current_price"), "code").where(F.col("current_price") > 0)
+    t = t.join(prices.select("code", "current_price"), "code").where(F.col("current_price") > 0)
     t = t.withColumn("upside", F.round((F.col("target_price") - F.col("current_price")) / F.col("current_price") * 100, 1))
     return t.orderBy(F.col("upside").desc(), "code").limit(limit).select("code", "target_price", F.round("current_price", 2).alias("current_price"), "upside", "institution")
 
@@ -327,14 +333,26 @@ def research_view(reports: DataFrame, since: Column, keep: int = 8, lines: int =
     return g.withColumn("lean", F.when(F.col("bullish") == top, "bullish").when(F.col("neutral") == top, "neutral").otherwise("bearish"))
 
 
+def _word_pattern(words: Sequence[str]) -> str:
+    """Longest word first. Words of letters that stand between blanks match as wholes, others
+    (scripts without blanks) wherever they occur, so no segmenter is needed."""
+    ordered = sorted(set(words), key=lambda w: (-len(w), w))
+    spaced = [w for w in ordered if re.fullmatch(r"[\x00-\u024f]+", w)]
+    dense = [w for w in ordered if w not in spaced]
+    parts = ["|".join(map(re.escape, dense))] if dense else []
+    if spaced:
+        parts.append(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, spaced)) + r")(?![\p{L}\p{N}])")
+    return "|".join(parts)
+
+
 def lexicon_sentiment(df: DataFrame, text: str, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS, keywords=None, urgent=URGENT_WORDS) -> DataFrame:
     """Word counts on whole texts -> score, keyword counts per category, importance."""
     keywords = KEYWORDS if keywords is None else keywords
     d = df.withColumn("_w", F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    lex = lambda words: F.array(*[F.lit(w) for w in words])
-    count = lambda words: F.size(F.filter("_w", lambda w: F.array_contains(lex(words), w)))
+    count = lambda words: F.coalesce(F.regexp_count(F.col(text), F.lit(_word_pattern(words))), F.lit(0)) if words else F.lit(0)
+    dense = lambda ws: [w for w in ws if not re.fullmatch(r"[\x00-\u024f]+", w)]
     d = d.withColumns({"positive_count": count(positive), "negative_count": count(negative),
-                       **{f"kw_{k}": F.size(F.filter("_w", _has_word(ws))) for k, ws in keywords.items()}})
+                       **{f"kw_{k}": F.size(F.filter("_w", _has_word([w for w in ws if w not in dense(ws)]))) + count(dense(ws)) for k, ws in keywords.items()}})
     both = F.col("positive_count") + F.col("negative_count")
     n, kw = F.length(text), sum((F.col(f"kw_{k}") for k in keywords), F.lit(0))
     imp = (F.when(n.between(50, 1000), 0.3).when(n > 1000, 0.2).otherwise(0.0) + F.when(kw > 0, F.least(F.lit(0.5), kw * 0.1)).otherwise(0.0)

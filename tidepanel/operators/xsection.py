@@ -353,10 +353,11 @@ def style_neutral_single(df: DataFrame, score: str, xs: Sequence[str], out="neut
     return df.withColumn(out, rest).drop(*aggs)
 
 
-def factor_returns(df: DataFrame, xs: Sequence[str], ret: str, top: int = 3000) -> DataFrame:
-    """Per-date cross-sectional coefficients of returns on exposures (largest caps only)."""
-    rows = df.dropna(subset=[*xs, ret])
-    return ols_coefficients(largest_caps(rows, top), DATE, xs, ret)
+def factor_returns(df: DataFrame, xs: Sequence[str], ret: str, top: int | None = None) -> DataFrame:
+    """Per-date cross-sectional coefficients of returns on exposures: all names, or the ``top``
+    largest caps of the date, chosen before rows without values go."""
+    rows = df if top is None else largest_caps(df, top)
+    return ols_coefficients(rows.dropna(subset=[*xs, ret]), DATE, xs, ret)
 
 
 def largest_caps(df: DataFrame, n: int, cap: str = "total_mv") -> DataFrame:

@@ -51,7 +51,7 @@ def extract_numbers(spark, sf):
 def forecast_rows(spark, sf):
     df = reps(spark, sf)
     done = df.where("status = 'pending'").select("report_id")
-    return rs.forecast_rows(df, done, NUMBERS, ((r"(no) such (text)", 0, 1),))
+    return rs.forecast_rows(df, done, NUMBERS, ((r"(no) such (text)", 0, 1),), profits=5, earnings=3, most=5)
 
 
 EVENT = ((r"(2\d{3})\d*?([1-9])\d*?([1-9])", "notice"),)
@@ -69,7 +69,7 @@ def text_events(spark, sf):
 
 @query("name_map", v.with_views("select stock_code code, arg_max(stock_name, report_id) name from reports group by 1", "reports"))
 def name_map(spark, sf):
-    return rs.name_map(reps(spark, sf).withColumn("title", F.substring("text", 1, 80)))
+    return rs.name_map(reps(spark, sf).withColumn("title", F.col("text")))
 
 
 @query("resolved_codes", v.with_views("""
@@ -106,8 +106,8 @@ def cons_sql(dup):
     return f"""rf as (select *, contains(rating, 'buy') or sentiment = 'bullish' b, contains(rating, 'upgrade') u, contains(rating, 'first') f, {WSQL} w from reports where status = 'summarized' and report_date >= date '2024-01-05'),
 me as (select rf.*, unnest({lst}) code from rf),
 cs as (select code, count(*) report_count, count(*) filter (b) buy_count, count(*) filter (sentiment = 'bullish') bullish_count, count(*) filter (u) upgrade_count, count(*) filter (f) first_cover_count,
-  count(distinct institution) institution_count, list_sort(list(distinct institution))[1:5] institutions, round(sum(w * case when b then 2 else 1 end + case when u then 1 else 0 end + case when f then 0.8 else 0 end), 1)::double score,
-  arg_min(target_price, report_id) filter (target_price is not null) target_price, max(report_date) latest_date, list_sort(list_distinct(flatten(list(tags))))[1:3] industries from me group by 1),
+  count(distinct institution) institution_count, list_sort(list(distinct institution)) institutions, round(sum(w * case when b then 2 else 1 end + case when u then 1 else 0 end + case when f then 0.8 else 0 end), 1)::double score,
+  arg_min(target_price, report_id) filter (target_price is not null) target_price, max(report_date) latest_date, list_sort(list_distinct(flatten(list(tags)))) industries from me group by 1),
 ch as (select lpad(cast(s_suppkey % 50 as varchar), 6, '0') code, round(avg(s_acctbal) / 1000, 2) - 4 price_change_20d from supplier group by 1)"""
 
 
@@ -150,8 +150,7 @@ def prices(spark, sf):
 
 @query("target_upside", v.with_views("""
   select code, target_price, round(current_price, 2) current_price, round((target_price - current_price) / current_price * 100, 1) + 0.0::double upside, institution from (
-    select stock_code code, arg_max(target_price, (report_date, -report_id)) target_price, max(report_date) rd, arg_max(institution, (report_date, -report_id)) institution from reports where target_price is not null group by 1
-    order by rd desc, code limit 40) join px using (code) where current_price > 0 order by upside desc, code limit 12""", "reports", extra=PX))
+    select stock_code code, arg_max(target_price, (report_date, -report_id)) target_price, max(report_date) rd, arg_max(institution, (report_date, -report_id)) institution from reports where target_price is not null group by 1) join px using (code) where current_price > 0 order by upside desc, code limit 12""", "reports", extra=PX))
 def target_upside(spark, sf):
     return rs.target_upside(reps(spark, sf), prices(spark, sf))
 
@@ -227,10 +226,10 @@ def stock_risk_flags(spark, sf):
     return rs.with_changes(reps(spark, sf).select(F.col("stock_code").alias("code")).distinct(), changes(spark, sf))
 
 
-@query("source_stats", v.with_views("select source, coalesce(n, 0) report_count from (select distinct source from documents) left join (select institution source, count(*) n from reports where lang = 'fr' group by 1) using (source)", "reports"))
+@query("source_stats", v.with_views("select source, coalesce(n, 0) report_count from (select distinct source from documents) left join (select institution source, count(*) n from reports group by 1) using (source)", "reports"))
 def source_stats(spark, sf):
     src = v.table(spark, sf, "documents").select("source").distinct()
-    return rs.source_stats(src, reps(spark, sf).where(F.col("lang") == "fr").withColumnRenamed("institution", "source"))
+    return rs.source_stats(src, reps(spark, sf).withColumnRenamed("institution", "source"))
 
 
 @query("research_view", v.with_views("""
@@ -255,6 +254,18 @@ def lexicon_sentiment(spark, sf):
     return out.select("report_id", *[F.col(c).cast("long").alias(c) for c in ("positive_count", "negative_count", "word_count")], "sentiment_score", F.round("importance", 6).alias("importance"))
 
 
+DENSE = "replace(replace(lower(\"text\"), ' ', ''), '.', '行')"
+
+
+@query("lexicon_unsegmented", v.with_views(f"""
+  select report_id, len(regexp_extract_all(t, 'x行|行')) positive_count, len(regexp_extract_all(t, '行d')) negative_count from (select report_id, {DENSE} t from reports)""", "reports"))
+def lexicon_unsegmented(spark, sf):
+    """Words of a script without blanks, counted in text without blanks."""
+    text = F.replace(F.replace(F.lower("text"), F.lit(" "), F.lit("")), F.lit("."), F.lit("行"))
+    out = rs.lexicon_sentiment(reps(spark, sf).withColumn("dense", text), "dense", ("行", "x行"), ("行d",), {}, ("token",))
+    return out.select("report_id", *[F.col(c).cast("long").alias(c) for c in ("positive_count", "negative_count")])
+
+
 @query("number_provenance", r"""
   select doc_id, list_sort(list_distinct(list_concat(list_filter(toks, lambda t: not (not contains(t, '.') and try_cast(t as double) between 2010 and 2029)
       and not contains(ctx, t) and len(list_filter([-1, 0, 1], lambda k: contains(ctx, cast(try_cast(split_part(t, '.', 1) as decimal(38,0)) + k as varchar)))) = 0),

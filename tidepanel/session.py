@@ -30,25 +30,39 @@ def build_session(app: str, master: str | None = None, shuffle_partitions: int |
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for reliable checkpoints.
+    """Shared folder for stored stages.
 
-    A cluster names it in ``spark.checkpoint.dir``; a machine-local folder is used
-    only where the setting is absent, as in tests.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and tasks
+    share one disk, gets a temporary folder of its own; elsewhere the setting must be there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-ckpt-"))
         path = spark.sparkContext.getCheckpointDir()
-    return path
+    return path.rstrip("/")
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """Folder of this application's stored stages."""
+    return f"{checkpoint_dir(spark)}/stages-{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df):
-    """Write ``df`` once to the shared folder and go on from the stored table.
+    """Run ``df`` once, write it to the shared folder and go on from the stored table.
 
     Several passes then read one narrow table with statistics instead of repeating a deep
-    plan, and a lost executor costs at most a re-read.
+    plan, and a lost executor costs at most a re-read. The stage stays until ``clear_stages``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this application's stored stages; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

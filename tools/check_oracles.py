@@ -13,7 +13,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tidepanel.plans import catalog  # noqa: E402
-from tidepanel.session import build_session  # noqa: E402
+from tidepanel.session import build_session, clear_stages  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 FAMILY = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float"}
@@ -97,6 +97,7 @@ def main():
             msg, spent, ok = compare(spark, con, a.sf, n, qs[n], sqls.get(n))
         except Exception as e:  # report and go on with the next query
             msg, spent, ok = f"ERROR {type(e).__name__}: {str(e)[:700]}", 0.0, False
+        clear_stages(spark)
         bad += not ok
         print(f"{'  ' if ok else '! '}{n:34s} {spent:6.2f}s {msg}", flush=True)
     print(f"{bad} failing of {len(names)}")
