@@ -10,6 +10,7 @@ end are laid end to end and cut at the sequence length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -21,39 +22,49 @@ from pyspark.sql import types as T
 
 from .tasks import text_slices
 
-#: The white space of the byte-level pre-tokenizer.
-SPACE = "\\t-\\r \x85\xa0  -     　"
-#: Runs between white space, with the blank before them; a piece of the pre-tokenizer never crosses their borders.
-RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-#: Characters outside printable ASCII, line ends and Latin letters: such texts are encoded in one call.
-UNUSUAL = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-ɏ]").search
-MEMO_ENTRIES = 700_000
+#: Fixed value: the expression by which the byte-level pre-tokenizer cuts a text.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters outside printable ASCII, line ends and Latin letters, on which libraries' tables may differ.
+UNUSUAL = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-\u024f]").search
+
+
+def byte_ranks(model: bytes) -> dict[bytes, int] | None:
+    """Bytes of each token by id, if the file is a plain byte-level BPE whose merges follow the ids, else None."""
+    told = json.loads(model)
+    bpe, cut = told["model"], told["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not told["normalizer"] and not told["post_processor"]
+    if bpe["type"] != "BPE" or bpe.get("dropout") or bpe.get("ignore_merges") or bpe.get("byte_fallback") or not plain:
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    added = {t["content"] for t in told["added_tokens"]}
+    vocabulary = {t: i for t, i in bpe["vocab"].items() if t not in added}
+    made = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in bpe["merges"]]
+    if None in made or any(a >= b for a, b in zip(made, made[1:])) or len(made) + 256 != len(vocabulary) or made and made[0] < 256:
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items()}
 
 
 class ReportTokenizer:
-    """A tokenizer file with a bounded memory of the ids of white-space separated runs."""
+    """A tokenizer file. Where it is a plain byte-level BPE, usual texts go through a faster encoder with
+    the same vocabulary and merges; all others through the file's own library."""
 
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        ranks = byte_ranks(model)
+        self.fast = ranks and tiktoken.Encoding("report", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    @staticmethod
-    def _bytes(encoding) -> bytes:
-        return array("I", encoding.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text, little-endian unsigned 32-bit."""
-        runs = [None if UNUSUAL(t) else RUNS(t) for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        new = list({r for x in runs if x for r in x}.difference(self.memo))
-        self.memo.update(zip(new, map(self._bytes, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        known = self.memo.__getitem__
-        return [self._bytes(self.tokenizer.encode(t, add_special_tokens=False)) if r is None else b"".join(map(known, r)) for t, r in zip(texts, runs)]
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, little-endian unsigned 32-bit."""
+        if self.fast and not UNUSUAL(text):
+            return array("I", self.fast(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def cut_lengths(total: int, capacity: int, slack: int) -> list[int]:
@@ -106,8 +117,8 @@ def pack_reports(reports: DataFrame, tokenizer_path: str, *, capacity: int = 102
             kind = batch.schema.field(0).type
             for part, texts in text_slices(batch, 1):
                 rows = []
-                for key, ids in zip(part.column(0).to_pylist(), tokenizer.encode(texts)):
-                    ids += closing
+                for key, text in zip(part.column(0).to_pylist(), texts):
+                    ids = tokenizer.encode(text) + closing
                     total, start = len(ids) // 4, 0
                     for n in cut_lengths(total, capacity, slack):
                         k = capacity // n
