@@ -3,14 +3,14 @@
 A report is the set of its word n-grams (tokens). Under any one order of all tokens two linked
 sets share a token among their first ``n - ceil(t n) + 1``: their prefixes. The first order puts
 rare tokens first, by a fixed-size count table over all reports, and finds candidates by a join
-on prefix tokens; a pair must then also share a prefix token under further, independent orders
-before its sets are compared.
-
-Equal sets are one node from the start. Pairs within a group are never spelled out: first every
-node is compared with one partner, the least node it shares most prefix tokens with, and the
-links give components. Afterwards only prefix tokens held by several components matter: their
-nodes, in blocks of one family each, are compared block by block with the same filters as matrix
-products. No link between components is lost, and a large family never meets in one task.
+on prefix tokens; a pair must then also share enough tokens of somewhat longer prefixes under
+further, independent orders before its sets are compared.
+
+Equal sets are one node from the start. Pairs within a group are not spelled out: every node is
+paired with one partner, the least node it shares most prefix tokens with; partners that pass the
+filters form families. Candidates of different families are compared pair by pair. A family whose
+links leave it in several components is compared in blocks of its nodes, with the same filters as
+matrix products. No link between components is lost, and a large family never meets in one task.
 """
 
 from __future__ import annotations
@@ -65,8 +65,18 @@ class Tokens:
         return np.unique(out)
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def _prefix(n: int, percent: int, shared: int = 1) -> int:
+    """Length of the prefixes that linked sets share ``shared`` tokens of."""
+    return min(n, n - (percent * n + 99) // 100 + shared)
+
+
+def _asked(n: int) -> int:
+    """Tokens that a pair must share in the prefixes of a further order, by the smaller set's size."""
+    return 1 + n // 12
+
+
+#: Prefixes of further orders hold so many tokens more, as tokens that fold to equal 32 bits count once.
+FOLDED = 8
 
 
 def _signatures(texts: DataFrame, words: int, percent: int, rarity) -> DataFrame:
@@ -77,6 +87,7 @@ def _signatures(texts: DataFrame, words: int, percent: int, rarity) -> DataFrame
 
     def run(batches):
         tokens, rank = Tokens(words), np.frombuffer(rarity.value, dtype=np.uint8)
+        shift = np.uint64(65 - len(rank).bit_length())
         for batch in batches:
             for rows, texts_ in text_slices(batch, 2):
                 sizes, digests, prefixes, further = [], [], [], []
@@ -86,11 +97,10 @@ def _signatures(texts: DataFrame, words: int, percent: int, rarity) -> DataFrame
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     p = _prefix(len(s), percent) if len(s) else 0
                     own = _mixed(s)
-                    key = (rank[(own >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
+                    key = (rank[(own >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
                     prefixes.append(own[np.argpartition(key, p - 1)[:p]].astype(np.int64) if 0 < p < len(s) else own.astype(np.int64)[:p])
-                    orders = [_mixed(s, seed) for seed in FILTER_ORDERS]
-                    further.append([np.partition(o, p - 1)[:p].astype(np.uint32).astype(np.int32) if 0 < p < len(s) else o.astype(np.uint32).astype(np.int32)[:p]
-                                    for o in orders])
+                    q = _prefix(len(s), percent, _asked(len(s)) + FOLDED) if len(s) else 0
+                    further.append([np.sort(_mixed(s, seed))[:q].astype(np.uint32).astype(np.int32) for seed in FILTER_ORDERS])
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                                                   pa.array(prefixes, pa.list_(pa.int64())), pa.array(further, pa.list_(pa.list_(pa.int32())))], schema.names)
 
@@ -99,25 +109,37 @@ def _signatures(texts: DataFrame, words: int, percent: int, rarity) -> DataFrame
 
 def _rarity(texts: DataFrame, words: int):
     """Magnitude of the number of reports per slot of tokens, over all reports."""
+    # words are at least as many as tokens; blanks are a cheap count of them
+    total = texts.agg(F.sum(F.length("body") - F.length(F.translate("body", " \t\n\r", "")) + 1)).first()[0] or 0
+    slots = sketch.slots_for(total)
+    shift = np.uint64(65 - slots.bit_length())
+
     def run(batches):
-        tokens, table = Tokens(words), np.zeros(sketch.SLOTS, dtype=np.int64)
+        tokens, table = Tokens(words), np.zeros(slots, dtype=np.uint32)
         for batch in batches:
             for _, part in text_slices(batch, 2):
-                found = [tokens.set_of(t) for t in part]
-                table += np.bincount((_mixed(np.concatenate(found)) >> np.uint64(44)).astype(np.int64), minlength=sketch.SLOTS)
+                found = np.concatenate([tokens.set_of(t) for t in part])
+                at, counts = np.unique((_mixed(found) >> shift).astype(np.int64), return_counts=True)
+                table[at] += counts.astype(np.uint32)
         yield sketch.block_rows(table)
 
-    counts = sketch.summed(texts.mapInArrow(run, sketch.SCHEMA))
+    counts = sketch.summed(texts.mapInArrow(run, sketch.SCHEMA), slots)
     magnitude = np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
-    return texts.sparkSession.sparkContext.broadcast(magnitude.tobytes())  # a megabyte at any size
+    return texts.sparkSession.sparkContext.broadcast(magnitude.tobytes())  # a byte per slot, MOST_SLOTS at most
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links among candidate pairs (``a``, ``b``): further orders first, then the sets."""
-    side = nodes.select("node", "further")
-    a, b = side.select(F.col("node").alias("a"), F.col("further").alias("fa")), side.select(F.col("node").alias("b"), F.col("further").alias("fb"))
-    share = F.expr("forall(zip_with(fa, fb, (x, y) -> arrays_overlap(x, y)), x -> x)")
-    passed = pairs.join(a, "a").join(b, "b").where(share).select("a", "b")
+def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (``a``, ``b``) whose sizes allow a link and that share enough prefix tokens under every further order."""
+    side = nodes.select("node", "size", "further")
+    a = side.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("further").alias("fa"))
+    b = side.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("further").alias("fb"))
+    fit = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    share = "forall(zip_with(fa, fb, (x, y) -> size(array_intersect(x, y)) >= least(na, nb) div 12 + 1), x -> x)"
+    return pairs.join(a, "a").join(b, "b").where(fit).where(share).select("a", "b")
+
+
+def _verified(passed: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links among pairs (``a``, ``b``) that passed the filters, by their sets."""
     both = (passed.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("tb")), "b")
             .join(bodies.select(F.col("node").alias("a"), F.col("body").alias("ta")), "a").select("a", "b", "ta", "tb"))
 
@@ -166,8 +188,8 @@ def _block_links(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     open_ = (roots[xs][:, None] != roots[ys][None, :]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
     for seed in FILTER_ORDERS:
         if open_.any():
-            cut = [np.sort(_mixed(s, seed))[:_prefix(len(s), percent)] for s in sets]
-            open_ &= _common([cut[i] for i in xs], [cut[i] for i in ys]) > 0
+            cut = [np.sort(_mixed(s, seed))[:_prefix(len(s), percent, _asked(len(s)))] for s in sets]
+            open_ &= _common([cut[i] for i in xs], [cut[i] for i in ys]) >= _asked(np.minimum(nx, ny))
     found = []
     if open_.any():
         common = _common([sets[i] for i in xs], [sets[i] for i in ys])
@@ -206,38 +228,32 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     postings = nodes.select(F.explode("prefix").alias("token"), "node")
     leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     shared = cut_lineage(postings.join(leaders.select("token", "leader"), "token").select("token", "node", "leader"))
-    sizes = nodes.select("node", "size")
-
-    def fit(pairs):
-        """Pairs whose sizes allow a link."""
-        a, b = sizes.select(F.col("node").alias("a"), F.col("size").alias("na")), sizes.select(F.col("node").alias("b"), F.col("size").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").drop("na", "nb")
-
     votes = shared.where("node > leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    partner = fit(votes).groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
-    partner = cut_lineage(partner)
-    held = shared.select("node").distinct().join(nodes.select("node", "text_key"), "node")
+    partner = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
+    partner = cut_lineage(_passing(partner, nodes, percent))
+    family = cut_lineage(components(partner).select("node", F.col("root").alias("family")))
+    placed = cut_lineage(shared.select("token", "node").join(family, "node", "left").select("token", "node", F.coalesce("family", "node").alias("family")))
+
+    # Pairs of different families that pass all filters; few, as members of a family share what is rare.
+    mixed = placed.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("token")
+    open_ = placed.join(mixed, "token")
+    x, y = open_.select("token", F.col("node").alias("a"), F.col("family").alias("fx")), open_.select("token", F.col("node").alias("b"), F.col("family").alias("fy"))
+    across = cut_lineage(_passing(x.join(y, "token").where("a < b and fx <> fy").select("a", "b").distinct(), nodes, percent))
+    pairs = partner.unionAll(across)
+    held = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
     bodies = cut_lineage(held.join(texts.select("text_key", "body"), "text_key").dropDuplicates(["node"]).select("node", "body"))
-    roots = components(_verified(partner, nodes, bodies, words, percent))
-
-    # What is left: tokens held by several components. Nodes of one family (linked or not) share blocks, and blocks meet as wholes.
-    family = components(partner).select("node", F.col("root").alias("family"))
-    sizes_of = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)).alias("parts"))
-    block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0)).cast("long")
-    split = family.join(sizes_of, "family").select("node", "family", block.alias("part"))
-    placed = (shared.select("token", "node").join(roots, "node", "left").join(split, "node", "left")
-              .select("token", "node", F.coalesce("root", "node").alias("root"), F.struct(F.coalesce("family", "node").alias("family"), F.coalesce("part", F.lit(0)).alias("part")).alias("block")))
-    placed = cut_lineage(placed)
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    open_ = placed.join(mixed, "token").groupBy("token", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi"))) for side in "xy")
-    meet = x.join(y, "token").where("block_x < block_y or block_x = block_y and lo_x < hi_x")
-    meet = cut_lineage(meet.where("lo_x <> hi_y or hi_x <> lo_y").select("block_x", "block_y").distinct())
-    members = placed.select("node", "root", "block").distinct().join(bodies, "node")
-    sides = (meet.join(members.withColumnRenamed("block", "block_x"), "block_x").select("block_x", "block_y", F.lit(0).alias("side"), "node", "root", "body")
-             .unionAll(meet.where("block_x <> block_y").join(members.withColumnRenamed("block", "block_y"), "block_y")
-                       .select("block_x", "block_y", F.lit(1).alias("side"), "node", "root", "body")))
-    links = cut_lineage(sides.groupBy("block_x", "block_y").applyInPandas(lambda pdf: _block_links(pdf, words, percent), "a long, b long"))
+    first_links = cut_lineage(_verified(pairs, bodies, words, percent))
+    roots = components(first_links)
+
+    # Families that are still in several components: their nodes meet block by block.
+    member = family.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
+    unsettled = member.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)).cast("int").alias("parts")).where("lo < hi")
+    member = member.join(unsettled.select("family", "parts"), "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    meets = member.join(bodies, "node").select("family", "node", "root", "body", "part", F.explode(every).alias("other"))
+    meets = meets.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
+                         "node", "root", "body")
+    links = cut_lineage(meets.groupBy("family", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, words, percent), "a long, b long"))
     label = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     label_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     lifted = links.join(label, "a", "left").join(label_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))

@@ -1,41 +1,51 @@
-"""Fixed-size counting tables over all rows, summed across tasks."""
+"""Counting tables of a fixed number of slots over all rows, summed across tasks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Slots of a table and of one of its blocks: a megabyte of small counts, whatever the data.
-SLOTS, BLOCK = 1 << 20, 1 << 14
+#: Least and most slots of a table (powers of two) and slots of one of its blocks.
+LEAST_SLOTS, MOST_SLOTS, BLOCK = 1 << 18, 1 << 26, 1 << 18
 #: Partial tables of tasks are summed in this many groups before they meet.
 GROUPS = 256
 SCHEMA = "part int, block int, counts binary"
 
 
+def slots_for(tokens: int) -> int:
+    """About a slot per eight tokens, within the bounds."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << max(0, (tokens // 8).bit_length())))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+
+
 def block_rows(table: np.ndarray) -> pa.RecordBatch:
-    """One task's table as rows of (task group, block, counts), empty blocks left out."""
-    parts = table.astype("<u4").reshape(-1, BLOCK)
-    used = np.flatnonzero(parts.any(axis=1))
+    """One task's table as rows of (task group, block, counts up to 255), empty blocks left out."""
+    parts = table.reshape(-1, BLOCK)
+    used = [i for i, p in enumerate(parts) if p.any()]
     group = TaskContext.get().partitionId() % GROUPS
     return pa.RecordBatch.from_arrays([pa.array([group] * len(used), pa.int32()), pa.array(used, pa.int32()),
-                                       pa.array([parts[i].tobytes() for i in used], pa.binary())], ["part", "block", "counts"])
+                                       pa.array([_packed(parts[i]) for i in used], pa.binary())], ["part", "block", "counts"])
 
 
 def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BLOCK, dtype=np.uint64)
+    total = np.zeros(BLOCK, dtype=np.uint32)
     for data in pdf["counts"]:
-        total += np.frombuffer(data, dtype="<u4")
-    return pd.DataFrame({"part": pdf["part"].iloc[:1], "block": pdf["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        total += np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "block": pdf["block"].iloc[:1], "counts": [_packed(total)]})
 
 
-def summed(blocks: DataFrame) -> np.ndarray:
-    """The table summed over all tasks. What reaches the driver is ``SLOTS`` counts at any size."""
+def summed(blocks: DataFrame, slots: int) -> np.ndarray:
+    """The table summed over all tasks, counts up to 255. What reaches the driver is a byte per slot."""
     partial = blocks.groupBy("part", "block").applyInPandas(_sum, SCHEMA).withColumn("part", F.lit(0))
-    out = np.zeros(SLOTS, dtype=np.uint32)
+    out = np.zeros(slots, dtype=np.uint8)
     for row in partial.groupBy("block").applyInPandas(_sum, SCHEMA).collect():
-        out[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], dtype="<u4")
+        out[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(zstandard.decompress(row["counts"]), dtype=np.uint8)
     return out
