@@ -101,8 +101,9 @@ def language_profiles(reports: DataFrame, *, language_col: str = "language", id_
     labelled = reports.select(reports[language_col].cast("string").alias("language"), reports[id_col].alias("external_id"),
                               reports[text_col].cast("string").alias("content_text")).where("language is not null and content_text is not null")
     sizes = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("size"))
+    # a row per language, as the profiles are: texts stay where they are
     part = F.pmod(F.xxhash64("external_id"), F.lit(1 << 20)) < F.ceil(F.lit(float(most)) / F.col("size") * (1 << 20))
-    chosen = labelled.join(sizes, "language").where(part).select("language", "content_text")
+    chosen = labelled.join(F.broadcast(sizes), "language").where(part).select("language", "content_text")
     schema = "language string, at int, value double, n long"
 
     def run(batches):
