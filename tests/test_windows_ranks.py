@@ -87,11 +87,12 @@ def test_quantiles_interpolate_like_pandas(spark, group_rows):
         assert np.allclose(got[d], [part["v"].quantile(q) for q in (0.01, 0.5, 0.9)])
 
 
-def test_value_cells_are_monotone(spark):
-    vals = sorted([-1e12, -5.0, -1.0, -1e-9, 0.0, 1e-9, 0.999, 1.0, 1.001, 1.5, 2.0, 1e12])
-    df = frame(spark, [(v,) for v in vals], "v double")
-    cells = [r.c for r in df.select("v", ranks.value_cell(F.col("v")).alias("c")).orderBy("v").collect()]
-    assert cells == sorted(cells)
+@pytest.mark.parametrize("value", ["id + 1700000000", "10 + id / 4000000", "-exp(id / 1000)"])
+def test_cells_grow_with_the_value_and_stay_even(spark, value):
+    df = spark.range(400_000).selectExpr("1 as g", f"cast({value} as double) as _x")
+    cells = ranks._with_cells(df, ["g"]).groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).orderBy("_cell").collect()
+    assert len(cells) > 200 and max(c.n for c in cells) < 400_000 / 100
+    assert all(a.hi < b.lo for a, b in zip(cells, cells[1:]))
 
 
 @pytest.mark.parametrize("n", [3, 1200])

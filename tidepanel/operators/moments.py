@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
 
-MAX_KEYS = 2000
+#: Nodes of a block in all-against-all products.
+BLOCK_NODES = 1024
 
 
 def column_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -124,40 +125,42 @@ def key_covariance(df: DataFrame, day: str, key: str, value: str) -> DataFrame:
                     F.try_divide(centred("sxy", "sx", "sy"), den).alias("corr"))
 
 
-def neighbour_graph(nodes: DataFrame, key: str, features: Sequence[str], threshold: float = 0.6, k: int = 20) -> DataFrame:
-    """Undirected edges between nodes whose standardised feature rows correlate.
+def neighbour_graph(nodes: DataFrame, key: str, features: Sequence[str], threshold: float = 0.6, k: int = 20, block: int = BLOCK_NODES) -> DataFrame:
+    """Undirected edges (a, b, corr) between nodes whose standardised feature rows correlate: for each
+    node its ``k`` largest absolute correlations (ties by name) of at least ``threshold``.
 
-    The node table is capped (``MAX_KEYS``) by its caller, so its matrix is broadcast and
-    each task multiplies its own rows with it, keeping only the top ``k`` per node.
+    Every node is a query against all others, so the work is quadratic by definition. Nodes fall into
+    blocks by a hash; two blocks meet in one task, which keeps at most ``k`` partners per node, so
+    memory is bounded and no matrix of all nodes exists anywhere.
     """
-    spark = nodes.sparkSession
-    z = nodes.select(F.col(key).cast("string").alias(key), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    frame = z.limit(MAX_KEYS + 1).toPandas()
-    if len(frame) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} nodes: prune them first")
-    frame = frame.sort_values(key).reset_index(drop=True)
-    x = frame[list(features)].to_numpy()
-    x = (x - x.mean(0)) / (x.std(0) + 1e-8)
-    x = x - x.mean(1, keepdims=True)
-    x = x / np.where((norm := np.linalg.norm(x, axis=1, keepdims=True)) > 0, norm, 1.0)
-    shared = spark.sparkContext.broadcast((frame[key].tolist(), x))
-    index = spark.range(len(frame)).select(F.col("id").alias("i"))
-
-    def block(batches):
-        names, m = shared.value
-        for b in batches:
-            i = b["i"].to_numpy()
-            if not len(i):
-                continue
-            c = m[i] @ m.T
-            c[np.arange(len(i)), i] = 0.0
-            order = np.argsort(-np.abs(c), axis=1, kind="stable")[:, :k]
-            rows = [(names[min(a, j)], names[max(a, j)], float(c[r, j])) for r, a in enumerate(i) for j in order[r]
-                    if j != a and abs(c[r, j]) >= threshold]
-            yield pd.DataFrame(rows, columns=["a", "b", "corr"])
-
-    return index.mapInPandas(block, "a string, b string, corr double").groupBy("a", "b").agg(F.max("corr").alias("corr"))
-
-
-def largest_nodes(df: DataFrame, size: str, key: str, n: int = MAX_KEYS) -> DataFrame:
-    return df.orderBy(F.col(size).desc(), key).limit(n)
+    x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    stats = nodes.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x(c)).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(x(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    parts = max(1, -(-stats["n"] // block))
+    z = F.array(*[(x(c) - F.lit(stats[f"m{i}"] or 0.0)) / F.lit((stats[f"s{i}"] or 0.0) + 1e-8) for i, c in enumerate(features)])
+    rows = nodes.select(F.col(key).cast("string").alias("node"), z.alias("z")).where("node is not null")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
+    meets = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    meets = meets.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"), "node", "z")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf["z"].to_numpy())
+        m = m - m.mean(axis=1, keepdims=True)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+        names = pdf["node"].to_numpy()
+        one = np.flatnonzero(pdf["left"].to_numpy())
+        two = np.flatnonzero(~pdf["left"].to_numpy()) if (~pdf["left"]).any() else one
+        found = []
+        for mine, theirs in ((one, two), (two, one))[: 1 if one is two else 2]:
+            order = theirs[np.argsort(names[theirs])]
+            c = np.round(m[mine] @ m[order].T, 12)
+            c[names[mine][:, None] == names[order][None, :]] = 0.0
+            best = np.argsort(-np.abs(c), axis=1, kind="stable")[:, :k]
+            i, j = np.nonzero(np.abs(np.take_along_axis(c, best, 1)) >= threshold)
+            j = best[i, j]
+            found.append(pd.DataFrame({"node": names[mine[i]], "near": names[order[j]], "corr": c[i, j]}))
+        return pd.concat(found)
+
+    pairs = meets.groupBy("low", "high").applyInPandas(compare, "node string, near string, corr double").where("node <> near")
+    ranked = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy(F.abs("corr").desc(), "near"))).where(F.col("_k") <= k)
+    return ranked.groupBy(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).agg(F.max("corr").alias("corr"))

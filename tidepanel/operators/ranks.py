@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_ROWS = 2_000_000
-CELLS_PER_OCTAVE = 64
+#: Cells of a group that is too large for one window.
+CELLS = 256
 
 
 def widest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -27,15 +28,13 @@ def widest_group(df: DataFrame, by: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
-def value_cell(v: Column) -> Column:
-    """Monotone cell number of a double; zero and tiny magnitudes share cell 0."""
-    magnitude = F.floor(CELLS_PER_OCTAVE * (F.log2(F.abs(v)) + 64))
-    return (
-        F.when(F.abs(v) < 2.0**-63, F.lit(0))
-        .when(v > 0, F.greatest(magnitude, F.lit(1)))
-        .otherwise(-F.greatest(magnitude, F.lit(1)))
-        .cast("long")
-    )
+def _with_cells(values: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct values (``_x``) with a cell number that grows with the value: cells are cut at
+    approximate quantiles of the group's distinct values, so they are even whatever the range."""
+    cuts = [i / CELLS for i in range(1, CELLS)]
+    bounds = values.groupBy(*by).agg(F.percentile_approx("_x", cuts, 20 * CELLS).alias("_bounds"))
+    cell = F.size(F.filter("_bounds", lambda b: b < F.col("_x")))
+    return values.join(bounds, by).withColumn("_cell", cell).drop("_bounds")
 
 
 def _clean(col: str) -> Column:
@@ -47,7 +46,7 @@ def _positions(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """(by, value) -> copies, rows before, rows in group; one row per distinct value."""
     values = df.select(*by, _clean(col).alias("_x")).where(F.col("_x").isNotNull())
     values = values.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_copies"))
-    values = values.withColumn("_cell", value_cell(F.col("_x")))
+    values = _with_cells(values, by)
     cells = values.groupBy(*by, "_cell").agg(F.sum("_copies").alias("_in_cell"))
     run = Window.partitionBy(*by).orderBy("_cell")
     cells = cells.select(
