@@ -135,3 +135,81 @@ WITH units AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+ORACLES["op2_secret_scan"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matched AS (
+  SELECT doc_id, t, 0 AS k, 6 AS least, regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
+    regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS g FROM docs
+  UNION ALL SELECT doc_id, t, 1, 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM docs
+  UNION ALL SELECT doc_id, t, 2, 24, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM docs
+), found AS (  -- the place of a match is the first occurrence of its text after the match before
+  SELECT doc_id, k, list_reduce(list_concat([{'p': 0::BIGINT, 'm': '', 'n': 0::BIGINT, 's': []::STRUCT(a BIGINT, k INTEGER, b BIGINT)[]}],
+      list_transform(list_zip(m, g), lambda z: {'p': 0::BIGINT, 'm': z[1], 'n': len(z[2]), 's': []::STRUCT(a BIGINT, k INTEGER, b BIGINT)[]})),
+    lambda acc, x: {'p': acc.p + strpos(substr(t, acc.p + 1), x.m) - 1 + len(x.m), 'm': '', 'n': 0::BIGINT,
+      's': CASE WHEN x.n >= least THEN list_append(acc.s, {'a': acc.p + strpos(substr(t, acc.p + 1), x.m) - 1, 'k': k, 'b': acc.p + strpos(substr(t, acc.p + 1), x.m) - 1 + len(x.m)}) ELSE acc.s END}).s AS s
+  FROM matched
+), spans AS (
+  SELECT doc_id, list_sort(flatten(list(s))) AS s FROM found GROUP BY doc_id
+), told AS (
+  SELECT doc_id, s, array_to_string(list_transform(s, lambda x: ['assign', 'access', 'hex'][x.k + 1] || ':' || x.a || ':' || x.b), ',') AS spans FROM spans
+)
+SELECT doc_id, len(list_filter(s, lambda x: x.k = 0)) AS n_assign, len(list_filter(s, lambda x: x.k = 1)) AS n_access, len(list_filter(s, lambda x: x.k = 2)) AS n_hex,
+  sha256(spans) AS base_sha256, spans FROM told
+"""
+
+ORACLES["op4_line_dedup"] = """
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM split
+), hits AS (
+  SELECT doc_id, l, list_transform(range(1, len(l) + 1), lambda i: (h[i] * 31 + CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % 2 = 0) AS hit FROM hashed
+), ends AS (
+  SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (hit[i] AND (i = 1 OR NOT hit[i - 1]))) AS e FROM hits
+), numbered AS (
+  SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM ends
+), chunks AS (
+  SELECT doc_id, CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END AS start, e[k] - CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END AS size,
+    array_to_string(l[CASE WHEN k > 1 THEN e[k - 1] + 1 ELSE 1 END:e[k]], chr(10)) AS body FROM numbered
+), marked AS (
+  SELECT *, size = 1 OR row_number() OVER (PARTITION BY size > 1, body ORDER BY doc_id, start) = 1 AS stays FROM chunks
+)
+SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (stays), '') AS text, CAST(sum(size) AS BIGINT) AS n_lines,
+  CAST(coalesce(sum(size) FILTER (NOT stays), 0) AS BIGINT) AS n_removed FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL
+"""
+
+ORACLES["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), sets AS (
+  SELECT s, min(doc_id) AS node, any_value(len(s)) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM shingles WHERE len(s) > 0) GROUP BY s
+), tokens AS (
+  SELECT node, n, unnest(s) AS token FROM sets
+), links AS (
+  SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.node < b.node
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT node AS a, node AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b
+), least_of AS (
+  SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM shingles d LEFT JOIN sets x ON x.s = list_sort(d.s) AND len(d.s) > 0 LEFT JOIN least_of c ON c.node = x.node
+"""
+
+ORACLES["op7_warc"] = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS p FROM pages
+), grouped AS (
+  SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, sha1(p) AS payload_digest, max(page_id) OVER (PARTITION BY p) AS top FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM grouped
+"""
