@@ -268,13 +268,15 @@ def fill_numeric(df: DataFrame) -> DataFrame:
     return df.fillna(0.0, subset=numeric)
 
 
-def rule_factors(df: DataFrame, group_rows: int | None = None) -> DataFrame:
-    """The full factor panel."""
+def rule_factors(df: DataFrame, group_rows: int | None = None, enrich=None) -> DataFrame:
+    """The full factor panel. ``enrich`` adds the flow, limit and favourite columns (one row per
+    entity each) after the series are done, so a filter on dates still comes before its joins."""
     df = size(df, group_rows)
     for step in (returns, volume_price, valuation, volatility, illiquidity, moving_averages,
                  oscillators, bollinger, price_position):
         df = step(df)
     df = risk_flags(composites(df))
+    df = enrich(df) if enrich else df
     absent = [c for c in ("mf_net_main", "mf_main_ratio", "sent_limit_gene", "sent_limit_active", "sent_hsgt_fav")
               if c not in df.columns]
     return fill_numeric(df.withColumns({c: F.lit(0.0) for c in absent}))

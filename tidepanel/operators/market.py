@@ -17,6 +17,9 @@ DATE = ["trade_date"]
 TINY = 1e-9
 
 
+ENRICHED = ("mf_net_main", "mf_main_ratio", "sent_limit_gene", "sent_limit_active", "sent_hsgt_fav")
+
+
 def money_flow_by_code(df: DataFrame) -> DataFrame:
     """Mean net flow and buy share per entity (partial aggregation on both sides)."""
     return df.groupBy("ts_code").agg(
@@ -35,6 +38,14 @@ def favourites(df: DataFrame, key: str, value: str, at_least: int = 1) -> DataFr
     return df.groupBy(key).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n")).where((F.col("total") > 0) & (F.col("n") >= at_least))
 
 
+def enrich(df: DataFrame, flow: DataFrame, hits: DataFrame, liked: DataFrame) -> DataFrame:
+    """Money flow, limit-up memory and a favourite flag per entity; an entity without rows gets 0."""
+    flag = liked.select("ts_code", F.lit(1.0).alias("sent_hsgt_fav"))
+    for side in (flow.select("ts_code", "mf_net_main", "mf_main_ratio"), hits.select("ts_code", "sent_limit_gene", "sent_limit_active"), flag):
+        df = df.join(side, "ts_code", "left")
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ENRICHED})
+
+
 def first_non_null_latest(df: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:
     """Newest non-null value of each column per key (each column on its own)."""
     return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in cols])

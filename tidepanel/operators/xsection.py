@@ -129,7 +129,8 @@ def weighted_rank_score(df: DataFrame, weights: dict[str, float] | None = None,
                         group_rows=None) -> DataFrame:
     """Sum of factor ranks (reversed for negative weights); flat factors count 0.5.
 
-    Wide sections go through one unpivot and one value-split rank for all factors.
+    One unpivot makes narrow (section, factor) groups, so a section's factors are ranked in
+    different tasks; sections beyond one task go through the value-split rank.
     """
     weights = weights or RULE_WEIGHTS
     total = sum(abs(w) for w in weights.values())
@@ -138,20 +139,11 @@ def weighted_rank_score(df: DataFrame, weights: dict[str, float] | None = None,
     if group_rows is None:
         group_rows = ranks.widest_group(df, by)
     filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used})
-    signed = lambda c, r: r if weights[c] > 0 else 1.0 - r
-    if group_rows <= ranks.WINDOW_ROWS:
-        spread = join_stats(filled, by, {f"_s_{c}": F.stddev_pop(f"_f_{c}") for c in used}, group_rows)
-        ranked = ranks.average_ranks(spread, by, {f"_r_{c}": f"_f_{c}" for c in used}, group_rows)
-        parts = [
-            signed(c, F.when(F.col(f"_s_{c}") > TINY, F.col(f"_r_{c}")).otherwise(0.5)) * (abs(weights[c]) / total)
-            for c in used
-        ]
-        return ranked.withColumn(out, sum(parts[1:], parts[0])).drop(*[f"_{t}_{c}" for c in used for t in "fsr"])
     long = filled.select(
         *by, "ts_code",
         F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"_f_{c}").alias("x")) for c in used])).alias("_p"),
     ).select(*by, "ts_code", "_p.factor", "_p.x")
-    long = join_stats(long, [*by, "factor"], {"_s": F.stddev_pop("x")})
+    long = join_stats(long, [*by, "factor"], {"_s": F.stddev_pop("x")}, group_rows)
     long = ranks.average_ranks(long, [*by, "factor"], {"_r": "x"}, group_rows)
     w = F.create_map(*[F.lit(v) for c in used for v in (c, weights[c])])[F.col("factor")]
     r = F.when(F.col("_s") > TINY, F.col("_r")).otherwise(0.5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import factors as fx
+from ..operators import market as mk
 from ..operators import ranks
 from ..operators import xsection as xs
 from . import views as v
@@ -180,20 +181,23 @@ u2 as (select *, {pct(C, 5)} pmt_return_5d, {pct(C, 20)} pmt_return_20d, {pct(C,
 u3 as (select u2.*, k2.wr, k, d, lag(k2.k) over (partition by k2.ts_code order by k2.trade_date) pk, lag(k2.d) over (partition by k2.ts_code order by k2.trade_date) pd, rsi,
   case when d3."close" = {roll('min', 'd3."close"', 20, 5).replace('by ts_code order by trade_date', 'by d3.ts_code order by d3.trade_date')} and rsi > {roll('min', 'rsi', 5, 3).replace('by ts_code order by trade_date', 'by d3.ts_code order by d3.trade_date')} + 5 then 1.0::double else 0.0::double end rsi_divergence
   from u2 join k2 on k2.ts_code = u2.ts_code and k2.trade_date = u2.trade_date join d3 on d3.ts_code = u2.ts_code and d3.trade_date = u2.trade_date),
-u4 as (select *, 0.0::double mf_net_main, 0.0::double mf_main_ratio, 0.0::double sent_limit_gene, 0.0::double sent_limit_active, 0.0::double sent_hsgt_fav, 0.0::double risk_delist_score,
+mfl as (select ts_code, round(avg(net_flow), 6) mf_net_main, round(sum(greatest(net_flow, 0)) / (sum(greatest(net_flow, 0)) + sum(greatest(-net_flow, 0)) + 1e-9), 6) mf_main_ratio from panel_e group by 1),
+lim as (select ts_code, count(*) filter (r1 >= 0.095)::double sent_limit_gene, count(*) filter (r1 >= 0.095 and trade_date >= (select max(trade_date) from panel_e) - 20)::double sent_limit_active from u0 group by 1),
+fav as (select ts_code, 1.0::double sent_hsgt_fav from panel_e group by 1 having sum(net_flow) > 0 and count(*) >= 3),
+u4 as (select *, case when cast(substr(ts_code, 1, 6) as integer) % 41 = 0 then 1.0::double else 0.0::double end risk_delist_score,
   case when pledge_ratio > 30 then 1.0::double else 0.0::double end risk_pledge, case when pledge_ratio > 60 then 1.0::double else 0.0::double end risk_pledge_high,
   case when contains("name", 'ST') then 1.0::double else 0.0::double end risk_st, case when round(3 * k - 2 * d, 9) < 20 then 1.0::double else 0.0::double end kdj_oversold,
   case when round(k - d, 9) > 0 and round(pk - pd, 9) <= 0 and k < 50 then 1.0::double else 0.0::double end kdj_low_golden, case when rsi < 30 then 1.0::double else 0.0::double end rsi_oversold,
   case when wr < -80 then 1.0::double else 0.0::double end wr_oversold, case when boll_position < 0.2 then 1.0::double else 0.0::double end near_boll_lower,
   case when price_position_60d < 0.2 then 1.0::double else 0.0::double end in_bottom_zone,
-  case when il20 is not null then -ln(1 + greatest(0.0::double, least(10.0::double, il20))) end liquidity_amihud from u3 where trade_date = (select max(trade_date) from panel_e)),
+  case when il20 is not null then -ln(1 + greatest(0.0::double, least(10.0::double, il20))) end liquidity_amihud from u3 join mfl using (ts_code) join lim using (ts_code) left join fav using (ts_code) where trade_date = (select max(trade_date) from panel_e)),
 u5 as (select *, (kdj_oversold + rsi_oversold + wr_oversold + near_boll_lower) / 4 multi_oversold_flag from u4),
 u6 as (select *, case when multi_oversold_flag > 0.5 and coalesce(vol_ratio_raw, 1) > 1.5 and coalesce(pmt_return_5d, 0) < -0.05 then 1.0::double else 0.0::double end reversal_signal from u5),
 u7 as (select * replace ({', '.join(f'coalesce({c}, 0) as {c}' for c in ALL_FACTORS)}) from u6),
 u8 as (select *, {' + '.join(
     f"(case when stddev_pop({c}) over (partition by trade_date) > 1e-9 then {apr(c) if xs.RULE_WEIGHTS[c] > 0 else '1.0::double - ' + apr(c)} else 0.5 end) * {abs(xs.RULE_WEIGHTS[c]) / TOTAL_W!r}::double"
     for c in ALL_FACTORS)} rule_raw from u7),
-u9 as (select *, {band('rule_raw', 60.0, 35.0)} rule_score, risk_pledge_high = 0 and risk_st = 0 ok from u8)"""
+u9 as (select *, {band('rule_raw', 60.0, 35.0)} rule_score, risk_pledge_high = 0 and risk_st = 0 and risk_delist_score = 0 ok from u8)"""
 
 
 @query("rule_selection", v.with_views(f"""
@@ -201,7 +205,14 @@ u9 as (select *, {band('rule_raw', 60.0, 35.0)} rule_score, risk_pledge_high = 0
     select *, count(*) filter (ok) over () n_ok from u9) where ok or n_ok < 20) where pick_rank <= 20""", "panel_e", extra=FULL))
 def rule_selection(spark, sf):
     """Flagship: all factors, 33 weights, risk filter with relaxation, top names of the newest date."""
-    df = fx.latest_section(fx.rule_factors(panel(spark, sf), rows(spark, sf)), panel(spark, sf))
+    base = panel(spark, sf)
+    flow = mk.money_flow_by_code(base.select("ts_code", "net_flow", F.greatest("net_flow", F.lit(0.0)).alias("buy_amount"), F.greatest(-F.col("net_flow"), F.lit(0.0)).alias("sell_amount")))
+    flow = rounded(flow, 6)
+    pool = base.withColumn("limit_type", F.when(fx.W.pct_change("close") >= 0.095, "U").otherwise("D"))
+    since = F.date_sub(base.agg(F.max("trade_date").alias("newest")).scalar(), 20)
+    hits, liked = mk.limit_hits(pool, since), mk.favourites(base, "ts_code", "net_flow", 3)
+    listed = base.withColumn("de_listed_date", F.when(F.substring("ts_code", 1, 6).cast("int") % 41 == 0, F.col("trade_date")))
+    df = fx.latest_section(fx.rule_factors(listed, rows(spark, sf), lambda d: mk.enrich(d, flow, hits, liked)), base)
     picks = xs.rule_selection(df, 20, rows(spark, sf))
     return rounded(picks.select("trade_date", "ts_code", "industry", "close", "rule_score", "pick_rank"), 6)
 
