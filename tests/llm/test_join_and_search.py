@@ -136,6 +136,7 @@ def recall(spark, vectors, lists, monkeypatch):
         hit = sorted(found[q])
         assert [h[0] for h in hit] == list(range(1, len(hit) + 1)) and [h[1:] for h in hit] == sorted(h[1:] for h in hit)
         best = sorted((-(valid[q] @ v), i) for i, v in valid.items() if i != q)[:20]
+        assert len(hit) == len(best)
         hits += len({i for _, i in best} & {h[2] for h in hit})
         total += len(best)
     return hits / total

@@ -5,7 +5,8 @@ balanced clustering of a bounded sample gives centroids; a vector joins the list
 centroid, and, near a boundary, lists of a few others too. The centroids form a graph that is
 searched in memory; a query visits the lists whose centroids are within a factor of the nearest
 one's distance. That factor is calibrated on the sample against brute force. Long lists and many
-queries of a list are compared in chunks, each pair of chunks in a task of its own.
+queries of a list are compared in chunks, each pair of chunks in a task of its own; the sample's
+part of the visited lists bounds what a chunk needs to return.
 """
 
 from __future__ import annotations
@@ -40,6 +41,18 @@ class ListIndex:
     graph: np.ndarray
     ratio: float
     longest: float
+    keys: np.ndarray
+    sample: np.ndarray
+    home: np.ndarray
+
+    def floors(self, keys: np.ndarray, queries: np.ndarray, visited: np.ndarray, k: int) -> np.ndarray:
+        """What the k-th score found is at least: the k-th best of the sample's vectors, other codes
+        only, whose own list the query visits (``visited``, a row per query)."""
+        if len(self.keys) <= k:
+            return np.full(len(queries), -np.inf)
+        scores = queries @ self.sample.T
+        scores[(keys[:, None] == self.keys[None, :]) | ~visited[:, self.home]] = -np.inf
+        return np.partition(scores, -k, axis=1)[:, -k]
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the component that makes all equally long."""
@@ -75,7 +88,8 @@ class ListIndex:
         """(query, list) pairs that the distance ratio lets through."""
         lifted = np.hstack([queries, np.zeros((len(queries), 1))])
         beam, far = self.search(lifted, len(self.centroids))
-        return np.nonzero(np.isfinite(far) & (far <= self.ratio * far[:, :1])), beam
+        near = (far <= self.ratio * far[:, :1]) | (np.arange(far.shape[1]) < 2)  # two lists at least
+        return np.nonzero(np.isfinite(far) & near), beam
 
     def lists_of_vectors(self, vectors: np.ndarray):
         """(vector, list) pairs: the nearest list, and boundary lists not hidden behind a chosen one."""
@@ -109,9 +123,10 @@ def _balanced(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit_index(sample: np.ndarray, lists: int, longest: float, k: int) -> ListIndex:
+def fit_index(keys: np.ndarray, sample: np.ndarray, lists: int, longest: float, k: int) -> ListIndex:
     """Cluster the sample, link the centroids and calibrate the pruning factor."""
-    index = ListIndex(np.empty(0), np.empty(0), 1.0, longest)
+    once = np.unique(keys, return_index=True)[1]
+    index = ListIndex(np.empty(0), np.empty(0), 1.0, longest, keys[once], sample[once], np.empty(0))
     lifted = index.lift(sample)
     index.centroids = _balanced(lifted, max(1, min(lists, len(sample))))
     n = len(index.centroids)
@@ -127,6 +142,8 @@ def fit_index(sample: np.ndarray, lists: int, longest: float, k: int) -> ListInd
     far = np.sqrt(np.maximum(((np.hstack([queries, np.zeros((len(queries), 1))])[:, None, :] - index.centroids[None]) ** 2).sum(axis=2), 0))
     needed = np.take_along_axis(far, home[top], 1) / far.min(axis=1, keepdims=True)
     index.ratio = float(np.quantile(needed, TARGET_RECALL)) + 1e-9
+    rows, lists = index.lists_of_vectors(index.sample)
+    index.home = lists[np.unique(rows, return_index=True)[1]]
     return index
 
 
@@ -146,9 +163,9 @@ def nearest_stocks(exposures: DataFrame, queries: DataFrame, *, k: int = 20, id_
     total, longest, size = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("vec"))).first()
     empty = rows.sparkSession.createDataFrame([], out)
     if total:
-        sample = np.array([r.vec for r in sampled(rows, total, FIT_VECTORS).orderBy("key").collect()] or [rows.first().vec], dtype=np.float64)
-        index = fit_index(sample, min(MOST_LISTS, -(-total // LIST_VECTORS)), float(np.sqrt(longest)), k)
-        shared = rows.sparkSession.sparkContext.broadcast(index)  # bounded by MOST_LISTS centroids
+        fitted = sampled(rows, total, FIT_VECTORS).orderBy("key").collect() or [rows.first()]
+        index = fit_index(np.array([r.key for r in fitted]), np.array([r.vec for r in fitted], dtype=np.float64), min(MOST_LISTS, -(-total // LIST_VECTORS)), float(np.sqrt(longest)), k)
+        shared = rows.sparkSession.sparkContext.broadcast(index)  # MOST_LISTS centroids and about FIT_VECTORS vectors at any size
         found = _scored(rows, asked.where(F.size("vec") == size), shared, out, k)
     else:
         found = empty
@@ -159,7 +176,7 @@ def nearest_stocks(exposures: DataFrame, queries: DataFrame, *, k: int = 20, id_
 
 
 def _scored(rows, asked, shared, out, k):
-    schema = T.StructType([T.StructField("list", T.IntegerType()), rows.schema["key"], T.StructField("vec", T.BinaryType())])
+    schema = T.StructType([T.StructField("list", T.IntegerType()), rows.schema["key"], T.StructField("vec", T.BinaryType()), T.StructField("floor", T.DoubleType())])
 
     def placed(which):
         def run(batches):
@@ -168,13 +185,16 @@ def _scored(rows, asked, shared, out, k):
                 for lo in range(0, batch.num_rows, 1000):
                     part = batch.slice(lo, 1000)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    floors = np.zeros(len(x))
                     if which == "queries":
                         (at, slot), beam = index.lists_of_queries(x)
-                        lists = beam[at, slot]
+                        lists, visited = beam[at, slot], np.zeros((len(x), len(index.centroids)), dtype=bool)
+                        visited[at, lists] = True
+                        floors = index.floors(np.array(part.column(0).to_pylist()), x, visited, k)
                     else:
                         at, lists = index.lists_of_vectors(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(pa.array(at)), pa.array([x[i].tobytes() for i in at], pa.binary())],
-                                                     ["list", "key", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(pa.array(at)), pa.array([x[i].tobytes() for i in at], pa.binary()),
+                                                      pa.array(floors[at])], schema.names)
 
         return run
 
@@ -184,8 +204,8 @@ def _scored(rows, asked, shared, out, k):
              .join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_QUERIES)).cast("int").alias("groups")), "list"))
     sizes = F.broadcast(sizes)  # a row per list: MOST_LISTS at most
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = vectors.join(sizes, "list").withColumn("chunk", bucket("key", F.col("chunks"))).select("list", "chunk", every("groups").alias("group"), F.lit(0).alias("side"), "key", "vec")
-    q = visits.join(sizes, "list").withColumn("group", bucket("key", F.col("groups"))).select("list", every("chunks").alias("chunk"), "group", F.lit(1).alias("side"), "key", "vec")
+    v = vectors.join(sizes, "list").withColumn("chunk", bucket("key", F.col("chunks"))).select("list", "chunk", every("groups").alias("group"), F.lit(0).alias("side"), "key", "vec", "floor")
+    q = visits.join(sizes, "list").withColumn("group", bucket("key", F.col("groups"))).select("list", every("chunks").alias("chunk"), "group", F.lit(1).alias("side"), "key", "vec", "floor")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -196,6 +216,7 @@ def _scored(rows, asked, shared, out, k):
         scores = y @ x.T
         scores[queries[:, None] == keys[None, :]] = -np.inf
         kth = np.partition(scores, -min(k, len(keys)), axis=1)[:, -min(k, len(keys))]
+        kth = np.maximum(kth, theirs["floor"].to_numpy())  # what is below is none of the k nearest
         slack = 1e-9 * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
         i, j = np.nonzero((scores >= (kth - slack)[:, None]) & np.isfinite(scores))
         exact = np.einsum("ij,ij->i", y[i], x[j])  # the same sum for equal vectors, wherever they stand
