@@ -4,7 +4,7 @@ A report is the set of its word n-grams (tokens). Under any one order of all tok
 sets share a token among their first ``n - ceil(t n) + 1``: their prefixes. The first order puts
 rare tokens first, by a fixed-size count table over all reports, and finds candidates by a join
 on prefix tokens; a pair must then also share enough tokens of somewhat longer prefixes under
-further, independent orders before its sets are compared.
+further, independent orders, and have like parity bitmaps, before its sets are compared.
 
 Equal sets are one node from the start. Pairs within a group are not spelled out: every node is
 paired with one partner, the least node it shares most prefix tokens with; partners that pass the
@@ -31,8 +31,11 @@ from .components import components
 from .tasks import Memo, text_slices
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+PLACE = np.uint64(0x9E3779B97F4A7C15)
 #: Orders besides the first one that a pair must pass.
 FILTER_ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Columns of a set's parity bitmap: bit i says whether the number of tokens of remainder i is odd.
+PARITY = ("p0", "p1", "p2", "p3")
 #: Nodes of a block and tokens handled at once when blocks are compared.
 BLOCK_NODES, COLUMNS = 128, 1 << 14
 
@@ -61,8 +64,11 @@ class Tokens:
         n = min(self.words, len(h))
         out = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for i in range(n):
-            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - n + 1 + i])
-        return np.unique(out)
+            out *= PLACE  # words weigh by their place; the hashes are uniform already
+            out += h[i:len(h) - n + 1 + i]
+        out = _mixed(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _prefix(n: int, percent: int, shared: int = 1) -> int:
@@ -81,37 +87,50 @@ FOLDED = 8
 
 def _signatures(texts: DataFrame, words: int, percent: int, rarity) -> DataFrame:
     """Per row: ``size``, the digest of the set, and the prefixes of all orders."""
-    schema = T.StructType([texts.schema["report"], T.StructField("text_key", T.BinaryType()), T.StructField("size", T.LongType()),
-                           T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
-                           T.StructField("further", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    long = T.LongType()
+    schema = T.StructType([texts.schema["report"], T.StructField("text_key", T.BinaryType()), T.StructField("size", long), T.StructField("digest", T.BinaryType()),
+                           T.StructField("prefix", T.ArrayType(long)), *(T.StructField(f"further{i}", T.ArrayType(T.IntegerType())) for i in range(len(FILTER_ORDERS))),
+                           *(T.StructField(p, long) for p in PARITY)])
+
+    def lists(parts, kind):
+        offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+        np.cumsum([len(p) for p in parts], out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(kind)))
 
     def run(batches):
         tokens, rank = Tokens(words), np.frombuffer(rarity.value, dtype=np.uint8)
         shift = np.uint64(65 - len(rank).bit_length())
         for batch in batches:
             for rows, texts_ in text_slices(batch, 2):
-                sizes, digests, prefixes, further = [], [], [], []
-                for text in texts_:
+                sizes, digests, prefixes, parity = [], [], [], np.zeros((len(texts_), 4), dtype=np.int64)
+                further: list[list] = [[] for _ in FILTER_ORDERS]
+                for at, text in enumerate(texts_):
                     s = tokens.set_of(text)
-                    sizes.append(len(s))
+                    n = len(s)
+                    sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    p = _prefix(len(s), percent) if len(s) else 0
+                    p, q = (_prefix(n, percent), _prefix(n, percent, _asked(n) + FOLDED)) if n else (0, 0)
                     own = _mixed(s)
-                    key = (rank[(own >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
-                    prefixes.append(own[np.argpartition(key, p - 1)[:p]].astype(np.int64) if 0 < p < len(s) else own.astype(np.int64)[:p])
-                    q = _prefix(len(s), percent, _asked(len(s)) + FOLDED) if len(s) else 0
-                    further.append([np.sort(_mixed(s, seed))[:q].astype(np.uint32).astype(np.int32) for seed in FILTER_ORDERS])
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                                                  pa.array(prefixes, pa.list_(pa.int64())), pa.array(further, pa.list_(pa.list_(pa.int32())))], schema.names)
+                    if p < n:
+                        key = (rank[(own >> shift).view(np.int64)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
+                        prefixes.append(own[np.argpartition(key, p - 1)[:p]])
+                    else:
+                        prefixes.append(own)
+                    for out, seed in zip(further, FILTER_ORDERS):
+                        o = _mixed(s, seed)
+                        out.append((np.partition(o, q - 1)[:q] if q < n else o).astype(np.uint32))
+                    bits = np.bincount((own & np.uint64(255)).view(np.int64), minlength=256) & 1
+                    parity[at] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(prefixes, np.int64),
+                                                  *(lists(f, np.int32) for f in further), *(pa.array(np.ascontiguousarray(c)) for c in parity.T)], schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
 def _rarity(texts: DataFrame, words: int):
     """Magnitude of the number of reports per slot of tokens, over all reports."""
-    # words are at least as many as tokens; blanks are a cheap count of them
-    total = texts.agg(F.sum(F.length("body") - F.length(F.translate("body", " \t\n\r", "")) + 1)).first()[0] or 0
-    slots = sketch.slots_for(total)
+    total = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    slots = sketch.slots_for(total // 6)  # about a token per six bytes
     shift = np.uint64(65 - slots.bit_length())
 
     def run(batches):
@@ -119,8 +138,7 @@ def _rarity(texts: DataFrame, words: int):
         for batch in batches:
             for _, part in text_slices(batch, 2):
                 found = np.concatenate([tokens.set_of(t) for t in part])
-                at, counts = np.unique((_mixed(found) >> shift).astype(np.int64), return_counts=True)
-                table[at] += counts.astype(np.uint32)
+                np.add.at(table, (_mixed(found) >> shift).view(np.int64), 1)
         yield sketch.block_rows(table)
 
     counts = sketch.summed(texts.mapInArrow(run, sketch.SCHEMA), slots)
@@ -128,14 +146,22 @@ def _rarity(texts: DataFrame, words: int):
     return texts.sparkSession.sparkContext.broadcast(magnitude.tobytes())  # a byte per slot, MOST_SLOTS at most
 
 
+def _alike(percent: int) -> str:
+    """Condition on pairs: sizes allow a link, and so do the parity bitmaps, whose differing bits
+    are at most the tokens that only one of the sets holds."""
+    differing = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY)
+    return f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and ({differing}) * {100 + percent} <= (x.size + y.size) * {100 - percent}"
+
+
 def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (``a``, ``b``) whose sizes allow a link and that share enough prefix tokens under every further order."""
-    side = nodes.select("node", "size", "further")
-    a = side.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("further").alias("fa"))
-    b = side.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("further").alias("fb"))
-    fit = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    share = "forall(zip_with(fa, fb, (x, y) -> size(array_intersect(x, y)) >= least(na, nb) div 12 + 1), x -> x)"
-    return pairs.join(a, "a").join(b, "b").where(fit).where(share).select("a", "b")
+    side = nodes.select("node", "size", *(f"further{i}" for i in range(len(FILTER_ORDERS))))
+    x, y = (side.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in side.columns[1:])) for n in "ab")
+    fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    joined = pairs.join(x, "a").join(y, "b").where(fit)
+    for i in range(len(FILTER_ORDERS)):
+        joined = joined.where(f"size(array_intersect(further{i}_a, further{i}_b)) >= least(size_a, size_b) div 12 + 1")
+    return joined.select("a", "b")
 
 
 def _verified(passed: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
@@ -162,14 +188,21 @@ def _verified(passed: DataFrame, bodies: DataFrame, words: int, percent: int) ->
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, a block of tokens at a time."""
     out = np.zeros((len(left), len(right)), dtype=np.float64)
-    vocabulary = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    sides = [(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])) for sets in (left, right)]
+    vocabulary = np.intersect1d(sides[0][0], sides[1][0])
+    if not len(vocabulary):
+        return out.astype(np.int64)
+    places = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+        known = vocabulary[at] == values
+        places.append((at[known], owner[known]))
     for lo in range(0, len(vocabulary), COLUMNS):
-        part = vocabulary[lo:lo + COLUMNS]
         planes = []
-        for sets in (left, right):
-            plane = np.zeros((len(sets), len(part)), dtype=np.float32)
-            for i, s in enumerate(sets):
-                plane[i, np.flatnonzero(np.isin(part, s, assume_unique=True))] = 1
+        for sets, (at, owner) in zip((left, right), places):
+            part = (at >= lo) & (at < lo + COLUMNS)
+            plane = np.zeros((len(sets), min(COLUMNS, len(vocabulary) - lo)), dtype=np.float32)
+            plane[owner[part], at[part] - lo] = 1
             planes.append(plane)
         out += planes[0] @ planes[1].T
     return out.astype(np.int64)
@@ -237,8 +270,9 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     # Pairs of different families that pass all filters; few, as members of a family share what is rare.
     mixed = placed.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("token")
     open_ = placed.join(mixed, "token")
-    x, y = open_.select("token", F.col("node").alias("a"), F.col("family").alias("fx")), open_.select("token", F.col("node").alias("b"), F.col("family").alias("fy"))
-    across = cut_lineage(_passing(x.join(y, "token").where("a < b and fx <> fy").select("a", "b").distinct(), nodes, percent))
+    open_ = open_.join(nodes.select("node", "size", *PARITY), "node")
+    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and x.node < y.node and x.family <> y.family and {_alike(percent)}"))
+    across = cut_lineage(_passing(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, percent))
     pairs = partner.unionAll(across)
     held = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
     bodies = cut_lineage(held.join(texts.select("text_key", "body"), "text_key").dropDuplicates(["node"]).select("node", "body"))
