@@ -251,7 +251,8 @@ def direction_model(train: DataFrame, score: DataFrame, features: Sequence[str],
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
-    model = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=3, maxIter=rounds, stepSize=0.1, seed=7).fit(_assemble(train, features))
+    known = train.where(F.col(label).isNotNull())
+    model = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=3, maxIter=rounds, stepSize=0.1, seed=7).fit(_assemble(known, features))
     out = model.transform(_assemble(score, features)).withColumn("p_up", vector_to_array("probability")[1])
     conf = F.abs(F.col("p_up") - 0.5) * 2
     return out.drop("features", "rawPrediction", "probability", "prediction").withColumns({"confidence": conf, "selective": conf >= 0.10})
@@ -263,7 +264,7 @@ def rank_model(train: DataFrame, score: DataFrame, features: Sequence[str], labe
 
     make = {"gbt": lambda: GBTRegressor(labelCol=label, maxDepth=3, maxIter=10, seed=7),
             "forest": lambda: RandomForestRegressor(labelCol=label, maxDepth=5, numTrees=20, seed=7)}
-    fit_rows, score_rows, parts = _assemble(train, features), _assemble(score, features), []
+    fit_rows, score_rows, parts = _assemble(train.where(F.col(label).isNotNull()), features), _assemble(score, features), []
     for k in kinds:
         parts.append(make[k]().fit(fit_rows).transform(score_rows).select("ts_code", "trade_date", label, F.col("prediction").alias("pred"), F.lit(k).alias("model")))
     out = parts[0]
@@ -272,13 +273,17 @@ def rank_model(train: DataFrame, score: DataFrame, features: Sequence[str], labe
     return out
 
 
-def cross_validated_ic(df: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", **kw) -> DataFrame:
-    """Per fold: fit, predict, rank IC of the whole validation block."""
-    tagged = tag_folds(df, **kw).persist()
-    parts = []
-    for k in range(len(purged_folds(df.select("trade_date").distinct().count(), **kw))):
-        fold = tagged.where(F.col("fold") == k)
-        pred = rank_model(fold.where(F.col("role") == "train"), fold.where(F.col("role") == "validate"), features, label, [kind])
+def date_folds(df: DataFrame, day: str = "trade_date", **kw) -> list[tuple]:
+    """(first training-free date, first and last validation date) of each purged fold; reads the calendar only."""
+    days = [r[0] for r in df.select(day).distinct().orderBy(day).collect()]  # a row per calendar date
+    return [(days[train_end], days[start], days[end - 1]) for train_end, start, end in purged_folds(len(days), **kw)]
+
+
+def cross_validated_ic(df: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", day: str = "trade_date", **kw) -> DataFrame:
+    """Per fold: fit, predict, rank IC of the whole validation block. Folds are date ranges of one table; rows without label do not count."""
+    rows, parts = df.where(F.col(label).isNotNull()), []
+    for k, (free, first, last) in enumerate(date_folds(rows, day, **kw)):
+        pred = rank_model(rows.where(F.col(day) < F.lit(free)), rows.where(F.col(day).between(F.lit(first), F.lit(last))), features, label, [kind])
         parts.append(pred.withColumn("fold", F.lit(k)))
     out = parts[0]
     for p in parts[1:]:

@@ -32,7 +32,8 @@ DATE_NAMES = ("date", "trade_date", "日期")
 
 
 def normalize_flow(df: DataFrame, day: str | None = None, amount_names=AMOUNT_NAMES, version: str | None = None) -> DataFrame:
-    """Resolve source columns, parse amounts and percents, keep one row per (date, sector)."""
+    """Resolve source columns, parse amounts and percents, keep one row per (date, sector): the
+    newest ``version``, ties (or no version) by the greatest values."""
     sector, amount = first_existing(df, SECTOR_NAMES), first_existing(df, amount_names)
     change, date = first_existing(df, CHANGE_NAMES), first_existing(df, DATE_NAMES)
     out = df.select(
@@ -41,7 +42,7 @@ def normalize_flow(df: DataFrame, day: str | None = None, amount_names=AMOUNT_NA
         (parse_amount(amount) if amount else F.lit(0.0)).alias("main_force_net"),
         (parse_percent(change) if change else F.lit(0.0)).alias("change_pct"),
         *[F.col(c).try_cast("double").alias(c) for c in ("net_5d", "net_10d", "turnover") if c in df.columns],
-        (F.col(version) if version else F.monotonically_increasing_id()).alias("_version"),
+        (F.col(version) if version else F.lit(0)).alias("_version"),
     ).where(F.length("sector_name") > 0)
     return latest_per_key(out, ["date", "sector_name"], "_version").drop("_version")
 

@@ -47,32 +47,40 @@ EVENT_PATTERNS = (
     (r"(20\d{2})[年/-](\d{1,2})[月/-](\d{1,2})[日号]?[^。；]{0,20}?(?:发布|披露|公布)(?:年报|中报|季报|财报)", "财报披露"),
     (r"(?:年报|中报|季报|财报)[^。；]{0,15}?(20\d{2})[年/-](\d{1,2})[月/-](\d{1,2})", "财报披露"),
 )
+#: Fixed values.
 TITLE_NAME_PATTERNS = ((r"[-—]([一-龥A-Za-z]{2,8})[-—](\d{6})[-—]", 1, 2), (r"([一-龥A-Za-z]{2,8})[（(](\d{6})[)）]", 1, 2))
+#: Fixed values.
 TIER_ONE = (
     "中信证券", "中金公司", "中金", "华泰证券", "国泰君安", "招商证券", "广发证券", "申万宏源", "海通证券", "兴业证券",
     "国信证券", "中信建投", "东吴证券", "国金证券", "光大证券", "平安证券", "银河证券", "东方证券", "方正证券", "中泰证券",
     "长江证券", "安信证券", "财通证券", "浙商证券", "国盛证券", "华西证券", "西南证券", "民生证券", "天风证券", "东兴证券",
 )
+#: Fixed values.
 HOUSE_WORDS = ("证券", "基金", "期货")
 BUY_WORDS, UPGRADE_WORDS, FIRST_WORDS = ("买入", "增持"), ("上调",), ("首次",)
+#: Fixed values.
 BEAT_WORDS = ("预增", "略增", "扭亏", "减亏", "续盈")
 MISS_WORDS = ("预减", "略减", "首亏", "续亏")
+#: Fixed values.
 POSITIVE_WORDS = (
     "增长", "上涨", "盈利", "利好", "大涨", "突破", "新高", "超预期", "强劲", "改善", "扭亏", "扭亏为盈", "龙头", "领先", "优势",
     "技术突破", "创新", "研发成功", "利好政策", "支持", "鼓励", "扶持", "补贴", "减税", "看好", "推荐", "买入", "增持", "跑赢",
     "优于大盘", "中标", "获得订单", "签约", "合作", "重组", "收购", "放量", "主力进场", "底部", "反弹", "启动", "拉升", "连板",
     "涨停", "量增价升", "政策利好",
 )
+#: Fixed values.
 NEGATIVE_WORDS = (
     "下降", "下跌", "亏损", "利空", "暴跌", "跌破", "新低", "不及预期", "疲软", "恶化", "预亏", "风险", "违规", "处罚", "调查",
     "停牌", "退市", "诉讼", "赔偿", "索赔", "看空", "卖出", "减持", "跑输", "劣于大盘", "失败", "终止", "解除合作", "违约", "破产",
     "出逃", "割肉", "套牢", "崩盘", "闪崩", "连续下跌", "跌停", "量增价跌", "主力出货", "骗局",
 )
+#: Fixed values.
 KEYWORDS = {
     "performance": ("营收", "净利润", "利润", "业绩", "收入", "ROE", "EPS"), "industry": ("行业", "板块", "赛道", "市场份额", "竞争"),
     "policy": ("政策", "法规", "监管", "改革"), "technology": ("技术", "研发", "专利", "创新", "AI", "5G"),
     "finance": ("融资", "并购", "重组", "定增", "回购"), "risk": ("风险", "诉讼", "处罚", "违规", "调查"),
 }
+#: Fixed values.
 URGENT_WORDS = ("公告", "重大", "业绩", "预告", "涨停", "暴涨", "暴跌")
 
 

@@ -157,11 +157,12 @@ def run_lengths(df: DataFrame, series: Series, sign: Column, out: str = "run") -
     return df.withColumn(out, F.row_number().over(inside)).drop("_brk", "_blk", "_sg")
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] | None = None) -> DataFrame:
     """Newest row per key through a mergeable ``max_by``: partial aggregation on the map
-    side, so a hot key never travels as a whole."""
+    side, so a hot key never travels as a whole. Ties go by ``ties``, by default the other columns."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
+    ties = [c for c in rest if c != order] if ties is None else ties
     best = F.max_by(F.struct(*rest), F.struct(order, *ties))
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
@@ -193,7 +194,7 @@ def asof_join(
 
     Both sides are cut into (key, bucket) cells, so one hot key spreads over many tasks.
     A cell's first rows take the value carried from earlier cells; the carry table has one
-    row per (key, bucket).
+    row per (key, bucket). Of rows with equal times the one with the greatest values counts.
     """
     cell = lambda c: F.date_trunc(bucket, F.col(c))
     packed = right.where(F.col(right_time).isNotNull()).select(
@@ -211,7 +212,7 @@ def asof_join(
         F.lit(None).cast(probe.schema["_l"].dataType).alias("_l"), "_v",
     )
     w = (
-        Window.partitionBy("_k", "_b").orderBy("_t", "_side")
+        Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_v")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     inside = (
@@ -221,7 +222,7 @@ def asof_join(
         .select("_k", "_b", "_l", "_near")
     )
     ends = packed.groupBy("_k", "_b").agg(
-        F.max_by("_v", "_t").alias("_end"), F.min_by("_v", "_t").alias("_start")
+        F.max_by("_v", F.struct("_t", "_v")).alias("_end"), F.min_by("_v", F.struct("_t", "_v")).alias("_start")
     )
     cells = lrows.select(F.col(key).alias("_k"), "_b").distinct().join(ends, ["_k", "_b"], "full_outer")
     over_cells = Window.partitionBy("_k").orderBy("_b")

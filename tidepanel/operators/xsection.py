@@ -473,6 +473,7 @@ def fallback_scores(df: DataFrame, group_rows=None) -> DataFrame:
     return df.drop("_t", "_b")
 
 
+#: Fixed values.
 REGIME_MULTIPLIER = {
     "small_cap_rally": 1.15, "bull": 1.10, "balanced": 1.00, "neutral": 1.00, "large_cap_rally": 0.95,
     "volatile": 0.88, "bear": 0.82, "high_vol_bear": 0.78, "high_vol_bull": 0.90,

@@ -158,10 +158,24 @@ def aligned_features(spark, sf):
     return ev.align_features(base(spark, sf), ["swing", "amount", "absent"])
 
 
-def _split(spark, sf):
-    df = fx.fill_numeric(base(spark, sf).withColumn("up", F.when(F.col("fwd").isNotNull(), (F.col("fwd") > 0).cast("double"))))
-    cut = F.lit("2000-06-01").cast("date")
-    return df.where(F.col("trade_date") < cut), df.where(F.col("trade_date") >= cut)
+EMBARGO = 20  # days before the cut whose forward returns reach over it
+
+
+def _split(spark, sf, cut="2000-06-01"):
+    """Training rows with a forward return, up to the embargo before the cut; rows to score from the cut on."""
+    df = base(spark, sf).withColumn("up", F.when(F.col("fwd").isNotNull(), (F.col("fwd") > 0).cast("double")))
+    at = F.lit(cut).cast("date")
+    return df.where((F.col("trade_date") < F.date_sub(at, EMBARGO)) & F.col("fwd").isNotNull()), df.where(F.col("trade_date") >= at)
+
+
+@query("training_split", v.with_views(f"""
+  select count(*) filter (trade_date < date '2000-06-01' - {EMBARGO} and fwd is not null) train_rows, count(*) filter (trade_date < date '2000-06-01' - {EMBARGO} and fwd > 0) risers,
+    count(*) filter (trade_date >= date '2000-06-01') score_rows from b""", "panel_l", extra=B))
+def training_split(spark, sf):
+    """Sizes of the models' training and scoring rows."""
+    train, score = _split(spark, sf)
+    n = train.agg(F.count(F.lit(1)).alias("train_rows"), F.sum("up").cast("long").alias("risers"))
+    return n.crossJoin(score.agg(F.count(F.lit(1)).alias("score_rows")))  # one row each
 
 
 @query("direction_model")
@@ -174,9 +188,12 @@ def direction_model(spark, sf):
 
 @query("rank_model_ensemble")
 def rank_model_ensemble(spark, sf):
+    """Two tree models blended by their rank ICs on dates before the cut that neither was fitted on."""
     train, score = _split(spark, sf)
+    early, held = _split(spark, sf, "2000-01-01")
+    past = ev.rank_model(early, held.where("trade_date < date'2000-05-12' and fwd is not null"), FACTORS, "fwd")
+    weights = ev.model_weights(ev.spearman(past, ["model", "trade_date"], "pred", "fwd", min_rows=10, short_is_zero=True))
     preds = ev.rank_model(train, score, FACTORS, "fwd")
-    weights = spark.createDataFrame([("gbt", 0.6), ("forest", 0.4)], "model string, weight double")
     return rounded(ev.ensemble(preds, weights, rows(spark, sf)).select("ts_code", "trade_date", "score", "model_std"))
 
 
@@ -245,8 +262,7 @@ def drift_alerts(spark, sf):
 
 @query("cross_validated_ic")
 def cross_validated_ic(spark, sf):
-    df = fx.fill_numeric(base(spark, sf).where(F.col("fwd").isNotNull()))
-    return rounded(ev.cross_validated_ic(df, FACTORS, "fwd", "forest", n_splits=2))
+    return rounded(ev.cross_validated_ic(base(spark, sf), FACTORS, "fwd", "forest", n_splits=2))
 
 
 @query("prediction_distribution", v.with_views(f"""

@@ -175,10 +175,10 @@ def upcoming_events(spark, sf):
     select e.*, case when contains(title, 'growth') then 'beat' when contains(title, 'loss') then 'miss' end ty, b.code is not null bull from
       (select stock_code, max(event_date) event_date, arg_max(title, (event_date, title)) title from ev where event_date >= date '2024-02-10' group by 1) e
       left join (select distinct unnest(list_concat([stock_code], list_filter(target_stocks, lambda x: regexp_matches(x, '^[0-9]{6}$')))) code from reports where status = 'summarized' and report_date >= date '2024-01-11'
-        and (contains(rating, 'zzz') or sentiment = 'bullish')) b on b.code = e.stock_code)
+        and (contains(rating, 'buy') or sentiment = 'bullish')) b on b.code = e.stock_code)
   where ty is not null order by event_date desc, stock_code limit 12""", "reports", extra=EV))
 def result_surprises(spark, sf):
-    return rs.surprises(events(spark, sf), reps(spark, sf), D("2024-02-10"), 12, ("growth",), ("loss",), buy=("zzz",))
+    return rs.surprises(events(spark, sf), reps(spark, sf), D("2024-02-10"), 12, ("growth",), ("loss",), buy=("buy",))
 
 
 @query("watch_pool", v.with_views("""
@@ -194,13 +194,13 @@ def watch_pool(spark, sf):
 @query("disclosure_calendar", """
   select distinct code, event_date, case month(p) when 3 then 'Q1 report' when 6 then 'half-year report' when 9 then 'Q3 report' else 'annual report' end title, strftime(p, '%Y%m%d') end_date from (
     select lpad(cast(o_custkey as varchar), 6, '0') code, cast(last_day(date_trunc('quarter', o_orderdate) - interval 1 day) as date) p, cast(o_orderdate as date) + cast(o_orderkey % 90 as integer) event_date from orders)
-  where p in (date '1998-12-31', date '1998-09-30') and event_date between date '1999-02-01' and date '1999-03-18' and code < '000900'""")
+  where p in (date '1998-12-31', date '1998-09-30') and event_date between date '1999-02-01' and date '1999-03-18'""")
 def disclosure_calendar(spark, sf):
     o = v.table(spark, sf, "orders")
     d = F.to_date("o_orderdate")
     sched = o.select(F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("code"), F.date_format(F.date_sub(F.trunc(d, "quarter"), 1), "yyyyMMdd").alias("end_date"),
                      F.date_format(F.date_add(d, (F.col("o_orderkey") % 90).cast("int")), "yyyyMMdd").alias("pre_date"))
-    pool = sched.select("code").where(F.col("code") < "000900").distinct()
+    pool = sched.select("code").distinct()
     return rs.disclosure_calendar(sched, pool, D("1999-02-01"))
 
 

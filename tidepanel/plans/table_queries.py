@@ -44,9 +44,10 @@ def union_common_columns(spark, sf):
     return pn.union_common([a, b], ["k"])
 
 
-@query("largest_source_file", "select 'documents.parquet' file")
+@query("largest_source_file")
 def largest_source_file(spark, sf):
-    files = pn.pick_largest_source(spark, [f"{sf}/documents.parquet"], "all")
+    """Of the given tables' files the heaviest, with line items as the favourite (sizes are no table, so there is no SQL)."""
+    files = pn.pick_largest_source(spark, [f"{sf}/{name}.parquet" for name in ("orders", "lineitem", "events", "customer")], "lineitem")
     return files.select(F.element_at(F.split("file_path", "/"), -1).alias("file"))
 
 
@@ -118,7 +119,7 @@ def column_profile(spark, sf):
 
 
 SHIFT = """tc as (select distinct cast(l_shipdate as date) cal_date from lineitem where month(l_shipdate) % 2 = 1), rk as (select *, row_number() over (order by cal_date) k from tc),
-dy as (select distinct cast(o_orderdate as date) d from orders where o_orderdate > timestamp '1995-02-01' and month(o_orderdate) % 2 = 1)"""
+dy as (select distinct cast(o_orderdate as date) d from orders)"""
 
 
 @query("next_trading_day", v.with_views("select d as day, (select min(cal_date) from tc where cal_date > d) target from dy", extra=SHIFT))
@@ -134,7 +135,7 @@ def third_previous_trading_day(spark, sf):
 def _days(spark, sf):
     odd = lambda c: F.month(c) % 2 == 1
     cal = t(spark, sf, "lineitem").where(odd("l_shipdate")).select(F.to_date("l_shipdate").alias("cal_date")).distinct()
-    days = t(spark, sf, "orders").where((F.col("o_orderdate") > F.lit("1995-02-01").cast("timestamp")) & odd("o_orderdate"))
+    days = t(spark, sf, "orders")
     return days.select(F.to_date("o_orderdate").alias("day")).distinct(), cal
 
 
@@ -244,9 +245,9 @@ def limit_pool_back_fill(spark, sf):
     return jn.fill_limit_pool(base, pool, ["fd_amount"], ["first_time"])
 
 
-@query("sentinel_valuation", v.with_views("select ts_code, trade_date, case when vol > 3 then 999.0::double else pe end pe from panel_e where pe <> 0", "panel_e"))
+@query("sentinel_valuation", v.with_views("select ts_code, trade_date, case when vol > 3 or pe = 0 then 999.0::double else pe end pe from panel_e", "panel_e"))
 def sentinel_valuation(spark, sf):
-    p = v.panel_e(spark, sf).where("pe <> 0").select("ts_code", "trade_date", F.when(F.col("vol") <= 3, F.col("pe")).alias("pe"))
+    p = v.panel_e(spark, sf).select("ts_code", "trade_date", F.when(F.col("vol") <= 3, F.col("pe")).alias("pe"))
     return jn.sentinel_valuation(p, ["pe"])
 
 
@@ -262,17 +263,22 @@ def as_of_slice(spark, sf):
     return jn.as_of_slice(v.panel_l(spark, sf), D("1999-06-30"), 40).select("ts_code", "trade_date")
 
 
+@query("latest_section_newest", v.with_views("select ts_code, trade_date from panel_l where trade_date = (select max(trade_date) from panel_l)", "panel_l"))
+def latest_section_newest(spark, sf):
+    return jn.latest_or_last(v.panel_l(spark, sf).select("ts_code", "trade_date"), 1)
+
+
 @query("latest_section", v.with_views("select ts_code, arg_max(trade_date, trade_date) trade_date from panel_l group by 1", "panel_l"))
 def latest_section(spark, sf):
     return jn.latest_or_last(v.panel_l(spark, sf).select("ts_code", "trade_date"), 10**9)
 
 
-@query("repaired_text", """select doc_id, "text" from documents where not regexp_matches("text", '[^\\x00-\\xFF]')""")
+@query("repaired_text", """select doc_id, "text" from documents""")
 def repaired_text(spark, sf):
     """Text mangled through Latin-1 comes back unchanged."""
-    d = t(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\xFF]"))
+    d = t(spark, sf, "documents")
     broken = d.select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"))
-    return broken.select("doc_id", sc.repair_mojibake("text", "Ã|å|ç|è|é|æ|œ|Â").alias("text"))
+    return broken.select("doc_id", sc.repair_mojibake("text", r"[\x{80}-\x{ff}]").alias("text"))
 
 
 @query("tolerant_json", """select event_id, cast(regexp_extract(props, '"k": (\\d+)', 1) as bigint) k from events""")
@@ -311,12 +317,11 @@ def asof_join(spark, sf):
 
 
 @query("month_snapshot_join", v.with_views("""
-  select p.ts_code, p.trade_date, m.v first_vol from panel_l p join (select ts_code, date_trunc('month', trade_date) m, arg_min(vol, trade_date) v from panel_l where extract(day from trade_date) > 5 group by 1, 2) m
+  select p.ts_code, p.trade_date, m.v first_vol from panel_l p left join (select ts_code, date_trunc('month', trade_date) m, arg_min(vol, trade_date) v from panel_l where extract(day from trade_date) > 5 group by 1, 2) m
     on m.ts_code = p.ts_code and m.m = date_trunc('month', p.trade_date)""", "panel_l"))
 def month_snapshot_join(spark, sf):
     p = v.panel_l(spark, sf)
-    out = jn.month_snapshot(p.select("ts_code", "trade_date"), p.where(F.dayofmonth("trade_date") > 5).withColumnRenamed("vol", "first_vol"), ["first_vol"])
-    return out.where(F.col("first_vol").isNotNull())
+    return jn.month_snapshot(p.select("ts_code", "trade_date"), p.where(F.dayofmonth("trade_date") > 5).withColumnRenamed("vol", "first_vol"), ["first_vol"])
 
 
 @query("membership_flag", "select c_custkey, case when c_custkey in (select o_custkey from orders where o_orderstatus = 'F' and o_totalprice > 400000) then 1.0::double else 0.0::double end fav from customer")
@@ -367,11 +372,11 @@ def fuzzy_lookup(spark, sf):
 
 @query("merged_rankings", v.with_views("""
   select s.sector_name, main_force_net, n5, n10 from (select * from sector_flow where "date" = date '2000-05-01') s left join (select sector_name, a.main_force_net n5, b.main_force_net n10 from
-    (select * from sector_flow where "date" = date '2000-04-01' and turnover % 2 < 1) a full join (select * from sector_flow where "date" = date '2000-03-01') b using (sector_name)) m using (sector_name)""", "sector_flow"))
+    (select * from sector_flow where "date" = date '2000-04-01') a full join (select * from sector_flow where "date" = date '2000-03-01') b using (sector_name)) m using (sector_name)""", "sector_flow"))
 def merged_rankings(spark, sf):
     f = v.sector_flow(spark, sf)
     at = lambda d, n: f.where(F.col("date") == D(d)).select("sector_name", F.col("main_force_net").alias(n), "turnover")
-    five = at("2000-04-01", "n5").where(F.col("turnover") % 2 < 1).drop("turnover")
+    five = at("2000-04-01", "n5").drop("turnover")
     return jn.merge_rankings(at("2000-05-01", "main_force_net").drop("turnover"), five, at("2000-03-01", "n10").drop("turnover"), "sector_name")
 
 
@@ -417,9 +422,9 @@ def best_constituents(spark, sf):
 # ---- sets and top-k ------------------------------------------------------------------
 
 
-@query("distinct_union", "select c_nationkey k from customer where c_acctbal > 9000 union select s_nationkey from supplier")
+@query("distinct_union", "select c_nationkey k from customer union select s_nationkey from supplier")
 def distinct_union(spark, sf):
-    return t(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).union(t(spark, sf, "supplier").select("s_nationkey")).distinct()
+    return t(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(t(spark, sf, "supplier").select("s_nationkey")).distinct()
 
 
 @query("set_intersection", "select o_custkey k from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O'")

@@ -31,7 +31,8 @@ def parse_dates(df: DataFrame, col: str = "trade_date") -> DataFrame:
 
 
 def ingest(df: DataFrame, version: str | None = None) -> DataFrame:
-    """Clean panel: NaN to null, rows without key or close dropped, one row per (code, date).
+    """Clean panel: NaN to null, rows without key or close dropped, one row per (code, date):
+    the newest ``version``, ties (or no version) by the greatest other columns.
 
     The unique key bounds a series by the trading calendar; the window operators rely on it.
     """
@@ -39,8 +40,8 @@ def ingest(df: DataFrame, version: str | None = None) -> DataFrame:
     df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
     df = df.dropna(subset=["ts_code", "trade_date", "close"])
     if version is None:
-        return df.dropDuplicates(["ts_code", "trade_date"])
-    return latest_per_key(df, ["ts_code", "trade_date"], version)
+        df, version = df.withColumn("_v", F.lit(0)), "_v"
+    return latest_per_key(df, ["ts_code", "trade_date"], version).drop("_v")
 
 
 def union_common(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -54,8 +55,11 @@ def union_common(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def pick_largest_source(spark: SparkSession, paths: Sequence[str], favourite: str = "all", factor: float = 2.0) -> DataFrame:
-    """File with the largest size; names that contain ``favourite`` count double."""
-    files = spark.read.parquet(*paths).select("_metadata.file_path", "_metadata.file_size").distinct()
+    """Source with the largest size (a file or folder); names that contain ``favourite`` count double. Only the
+    store's listing is read, so schemas may differ; ties go to the first name."""
+    conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    sizes = [(p, Path(p).getFileSystem(conf).getContentSummary(Path(p)).getLength()) for p in paths]
+    files = spark.createDataFrame(sizes, "file_path string, file_size long")
     weight = F.when(F.col("file_path").contains(favourite), F.col("file_size") * factor).otherwise(F.col("file_size") * 1.0)
     return files.withColumn("weight", weight).orderBy(F.col("weight").desc(), "file_path").limit(1)
 
@@ -146,7 +150,7 @@ def shift_days(days: DataFrame, cal: DataFrame, n: int, day: str = "day") -> Dat
     """The n-th next (n > 0) or previous (n < 0) trading day of each date.
 
     Every calendar day knows the rank of the trading day at or before it; the target is an
-    equi-join on rank + n.
+    equi-join on rank + n. Days outside the calendar count from its ends; no day is lost.
     """
     from pyspark.sql import Window
 
@@ -155,7 +159,10 @@ def shift_days(days: DataFrame, cal: DataFrame, n: int, day: str = "day") -> Dat
     stretch = ranked.withColumn("_d", F.explode(F.sequence("cal_date", F.coalesce(F.date_sub("_nx", 1), F.date_add("cal_date", 10)))))
     base = stretch.select(F.col("_d").alias(day), (F.col("_d") == F.col("cal_date")).alias("_open"), "rk")
     goal = ranked.select(F.col("rk").alias("_goal"), F.col("cal_date").alias("target"))
-    j = days.join(base, day)
+    edge = ranked.agg(F.struct(F.min("cal_date").alias("first"), F.max("rk").alias("last")).alias("edge")).scalar()
+    j = days.join(base, day, "left").withColumn("_edge", edge)
+    outside = F.when(F.col(day) < F.col("_edge.first"), 0).when(F.col(day).isNotNull(), F.col("_edge.last"))
+    j = j.withColumns({"rk": F.coalesce("rk", outside), "_open": F.coalesce("_open", F.lit(False))})
     step = F.when(~F.col("_open") & (F.lit(n) < 0), n + 1).otherwise(n)
     return j.withColumn("_goal", F.col("rk") + step).join(goal, "_goal", "left").select(*days.columns, "target")
 
