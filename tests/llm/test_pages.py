@@ -16,7 +16,7 @@ def pages(spark, rows):
 
 
 def test_archives_round_trip(spark, tmp_path):
-    rows = [(1, "http://a.example/x y", BIG), (2, None, BIG), (7, "http://b.example/é\r\nWARC-Type: x", BIG), (3, "http://a.example/", "short"), (4, "u", "short"),
+    rows = [(1, "http://a.example/x y", BIG), (2, None, BIG), (7, "http://b.example/é\r\nWARC-Type: x", BIG), (3, "http://a.example/", "short"), (4, "http://a.example/a%20b?c=%C3%A9", "short"), (40, "", "short"),
             (5, "u", None), (6, "u", ""), (None, "u", BIG), (8, "u", "é😀\r\n\r\nWARC/1.1\r\n" * 200), (9, "u", "é😀\r\n\r\nWARC/1.1\r\n" * 200), (7, "again", BIG)]
     listed = archive.write_archives(pages(spark, rows).repartition(3), f"file://{tmp_path}/archives")
     got = archive.read_archives(listed, T.LongType()).collect()

@@ -47,7 +47,10 @@ def warc_record(key, url: str | None, payload: bytes, digest: str, refers_to, is
     block = head if is_revisit else head + payload
     fields = [("WARC-Type", "revisit" if is_revisit else "response"), ("WARC-Record-ID", record_urn(key)), ("WARC-Date", date)]
     if url is not None:
-        fields.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
+        uri = quote(url, safe="%/:=&?~#+!$,;'@()*[]")
+        fields.append(("WARC-Target-URI", uri))
+        if uri != url:  # not a URI as it stands: kept whole in a field of its own
+            fields.append(("X-Source-URL", quote(url, safe="")))
     fields.append(("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()))
     if is_revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_urn(refers_to))]
@@ -207,9 +210,9 @@ def read_archives(archives: DataFrame, id_type: T.DataType, *, payloads: bool =
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
                             raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-                        url = fields.get("WARC-Target-URI")
+                        url = unquote(fields["X-Source-URL"]) if "X-Source-URL" in fields else fields.get("WARC-Target-URI")
                         refers = fields.get("WARC-Refers-To")
-                        rows.append((record_key(fields["WARC-Record-ID"]), url and unquote(url), kind, size, digest, refers and record_key(refers),
+                        rows.append((record_key(fields["WARC-Record-ID"]), url, kind, size, digest, refers and record_key(refers),
                                      payload if payloads and kind == "response" else None))
                         held += len(payload) if payloads else 0
                         if len(rows) >= 5000 or held > 8 << 20:
