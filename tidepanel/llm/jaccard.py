@@ -15,7 +15,7 @@ matrix products. No link between components is lost, and a large family never me
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,10 +28,13 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from . import sketch
 from .components import components
-from .tasks import Memo, text_slices
+from .tasks import text_slices
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+#: An odd base of the word hash with its inverse, the weight of a word's place, and bytes hashed in one go.
+BASE = np.uint64(0xD1342543DE82EF95)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PLACE = np.uint64(0x9E3779B97F4A7C15)
+PIECE_BYTES = 1 << 20
 #: Orders besides the first one that a pair must pass.
 FILTER_ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Columns of a set's parity bitmap: bit i says whether the number of tokens of remainder i is odd.
@@ -49,26 +52,84 @@ def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Tokens:
-    """Token sets of texts: 64-bit hashes of n consecutive words."""
+    """Token sets of texts: 64-bit hashes of n consecutive words, worked out for many texts at once.
+
+    A word's hash is a polynomial over its bytes; as the base is odd, it has an inverse, and one
+    running sum over all bytes gives the hash of every word wherever it stands.
+    """
 
     def __init__(self, words: int):
         self.words = words
-        self.hashed = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass").lower()), 600_000)
-
-    def set_of(self, text: str) -> np.ndarray:
-        """Sorted distinct tokens; a text of fewer words is one token as a whole."""
-        words = WORDS(text)
-        if not words:
+        rng = np.random.default_rng(11)
+        values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        values[65:91] = values[97:123]  # A-Z count as a-z
+        self.values = values
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.up = self.down = np.empty(0, dtype=np.uint64)
+
+    def _powers(self, n: int):
+        if len(self.up) < n:
+            size = max(n, PIECE_BYTES + 1)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, dtype=np.uint64)])) for base in (BASE, INVERSE))
+        return self.up[:n], self.down[:n]
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(byte position, hash) of every word; the data ends with a blank."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        space = self.space[raw]
+        before = np.concatenate([[True], space[:-1]])
+        starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+        up, down = self._powers(len(raw))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(self.values[raw] * up, dtype=np.uint64)])
+        return starts, _mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * PLACE)
+
+    def _pieces(self, data: bytes):
+        """Parts of bounded size that end between words; a longer word is a part of its own."""
+        at = 0
+        while at < len(data):
+            end = len(data)
+            if end - at > PIECE_BYTES:
+                cut = max(data.rfind(c, at, at + PIECE_BYTES) for c in (b" ", b"\n"))
+                later = [x for c in (b" ", b"\n") if (x := data.find(c, at + PIECE_BYTES)) >= 0]
+                end = cut + 1 if cut >= at else min(later) + 1
+            yield at, data[at:end]
+            at = end
+
+    def sets_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Sorted distinct tokens of each text; a text of fewer words is one token as a whole."""
+        encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join([*encoded, b""])
+        found = [(start + at, hashed) for at, piece in self._pieces(data) for start, hashed in [self._words(piece)]]
+        starts, h = (np.concatenate(x) for x in zip(*found))
+        offsets = np.cumsum([0, *(len(e) + 1 for e in encoded)])
+        edges = np.searchsorted(starts, offsets)
+        whole = self._joined(h, self.words)
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if hi - lo >= self.words:
+                s = np.sort(whole[lo:hi - self.words + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            else:
+                out.append(self._joined(h[lo:hi], int(hi - lo)) if hi > lo else np.empty(0, dtype=np.uint64))
+        return out
+
+    @staticmethod
+    def _joined(h: np.ndarray, n: int) -> np.ndarray:
+        """Hash of every n words in a row."""
+        if len(h) < n:
             return np.empty(0, dtype=np.uint64)
-        h = np.fromiter(map(self.hashed.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = min(self.words, len(h))
         out = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for i in range(n):
-            out *= PLACE  # words weigh by their place; the hashes are uniform already
+            out *= PLACE  # words weigh by their place; their hashes are uniform already
             out += h[i:len(h) - n + 1 + i]
-        out = _mixed(out)
-        out.sort()
-        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+        return _mixed(out)
+
+
+@lru_cache(maxsize=2)
+def _tokens(words: int) -> Tokens:
+    """One per worker process; its tables take longer to make than a small block to compare."""
+    return Tokens(words)
 
 
 def _prefix(n: int, percent: int, shared: int = 1) -> int:
@@ -98,14 +159,13 @@ def _signatures(texts: DataFrame, words: int, percent: int, rarity) -> DataFrame
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(kind)))
 
     def run(batches):
-        tokens, rank = Tokens(words), np.frombuffer(rarity.value, dtype=np.uint8)
+        tokens, rank = _tokens(words), np.frombuffer(rarity.value, dtype=np.uint8)
         shift = np.uint64(65 - len(rank).bit_length())
         for batch in batches:
-            for rows, texts_ in text_slices(batch, 2):
+            for rows, texts_ in text_slices(batch, 2, PIECE_BYTES):
                 sizes, digests, prefixes, parity = [], [], [], np.zeros((len(texts_), 4), dtype=np.int64)
                 further: list[list] = [[] for _ in FILTER_ORDERS]
-                for at, text in enumerate(texts_):
-                    s = tokens.set_of(text)
+                for at, s in enumerate(tokens.sets_of(texts_)):
                     n = len(s)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -134,11 +194,11 @@ def _rarity(texts: DataFrame, words: int):
     shift = np.uint64(65 - slots.bit_length())
 
     def run(batches):
-        tokens, table = Tokens(words), np.zeros(slots, dtype=np.uint32)
+        tokens, table = _tokens(words), np.zeros(slots, dtype=np.uint32)
         for batch in batches:
-            for _, part in text_slices(batch, 2):
-                found = np.concatenate([tokens.set_of(t) for t in part])
-                np.add.at(table, (_mixed(found) >> shift).view(np.int64), 1)
+            for _, part in text_slices(batch, 2, PIECE_BYTES):
+                found = np.concatenate(tokens.sets_of(part))
+                np.add.at(table, (_mixed(found) >> shift).view(np.int64), np.uint32(1))
         yield sketch.block_rows(table)
 
     counts = sketch.summed(texts.mapInArrow(run, sketch.SCHEMA), slots)
@@ -170,17 +230,14 @@ def _verified(passed: DataFrame, bodies: DataFrame, words: int, percent: int) ->
             .join(bodies.select(F.col("node").alias("a"), F.col("body").alias("ta")), "a").select("a", "b", "ta", "tb"))
 
     def run(batches):
-        tokens = Tokens(words)
+        tokens = _tokens(words)
         for batch in batches:
-            last, held = None, None
-            keep = []
-            for a_, ta, tb in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if a_ != last:
-                    last, held = a_, tokens.set_of(ta)
-                other = tokens.set_of(tb)
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(held) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for rows, ones in text_slices(batch, 2, PIECE_BYTES):
+                keep = []
+                for one, other in zip(tokens.sets_of(ones), tokens.sets_of(rows.column(3).to_pylist())):
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(one) + len(other) - common))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -210,11 +267,11 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _block_links(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Links between two blocks of nodes that join different components: a spanning forest of them."""
-    tokens = Tokens(words)
+    tokens = _tokens(words)
     left = pdf["side"].to_numpy() == 0
     right = ~left if (~left).any() else left
     roots, ids = pdf["root"].to_numpy(), pdf["node"].to_numpy()
-    sets = [tokens.set_of(t) for t in pdf["body"]]
+    sets = tokens.sets_of(pdf["body"].tolist())
     xs, ys = np.flatnonzero(left), np.flatnonzero(right)
     sizes = np.array([len(s) for s in sets])
     nx, ny = sizes[xs][:, None], sizes[ys][None, :]
@@ -256,7 +313,7 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     texts = base.select("report", F.unhex(F.md5("body")).alias("text_key"), "body")
     rows = cut_lineage(_signatures(texts, words, percent, _rarity(texts, words)).withColumn("row", F.monotonically_increasing_id()))
     sets = rows.where("size > 0")
-    first = cut_lineage(sets.groupBy("digest").agg(F.min("row").alias("row")))
+    first = cut_lineage(sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("report").alias("least")))
     nodes = sets.join(first.select("row"), "row", "left_semi").withColumnRenamed("row", "node")
     postings = nodes.select(F.explode("prefix").alias("token"), "node")
     leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
@@ -294,9 +351,10 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     merged = components(lifted)
     final = roots.unionAll(lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
     final = final.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    digests = first.join(final, F.col("row") == F.col("node"), "left").select("digest", F.coalesce("root", "row").alias("root"))
-    members = sets.select("report", "row", "size", "digest").join(digests, "digest").select("report", "size", "root")
-    groups = members.groupBy("root").agg(F.min("report").alias("group_id"))
-    out = members.join(groups, "root").select(F.col("report").alias("external_id"), F.col("size").alias("n_tokens"), "group_id")
+    digests = cut_lineage(first.join(final, F.col("row") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "row").alias("root")))
+    groups = cut_lineage(digests.groupBy("root").agg(F.min("least").alias("group_id")))
+    # Stored, so that the joins that spread the answer stand alone and a hot group's rows can be split.
+    named = cut_lineage(digests.join(groups, "root").select("digest", "group_id"))
+    out = sets.select("report", "size", "digest").join(named, "digest").select(F.col("report").alias("external_id"), F.col("size").alias("n_tokens"), "group_id")
     alone = rows.where("size = 0").select(F.col("report").alias("external_id"), F.col("size").alias("n_tokens"), F.col("report").alias("group_id"))
     return out.unionAll(alone)
