@@ -118,31 +118,37 @@ def ewm(
         near = next((k for k in groups if k[0] == src and min(slope(a), slope(k[1])) * segment >= LOST_DECAY * max(slope(a), slope(k[1]))), (src, a))
         groups.setdefault(near, {})[out] = (c, a)
     index, past, before = F.col("_ewm_i"), series.past, series.window.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_ewm_i", series.row_index())
-    helpers = ["_ewm_i"]
+    counts, cuts, carried, final = {}, {}, {}, {}
+    inner: list[tuple[dict, dict]] = []
     for j, ((src, _), outs) in enumerate(groups.items()):
-        n, gap, there = F.col(f"_ewm_n{j}"), F.col(f"_ewm_g{j}"), F.col(src).isNotNull()
+        n, gap, seg, there = F.col(f"_ewm_n{j}"), F.col(f"_ewm_g{j}"), F.col(f"_ewm_s{j}"), F.col(src).isNotNull()
 
-        def old(a):
+        def old(a, gap=gap):
             """Weight of the old mean; a gap after which it is lost counts as just that gap."""
             return F.pow(F.lit(1.0 - a), F.least(gap, F.lit(math.ceil(2 * LOST_DECAY / slope(a)))))
 
-        def decay(a):
+        def decay(a, n=n, there=there, old=old):
             return F.when(there & (n > 1), F.log(1.0 + a / old(a))).otherwise(0.0)
 
-        df = df.withColumns({f"_ewm_n{j}": F.count(src).over(past), f"_ewm_g{j}": (index - F.last(F.when(there, index), ignorenulls=True).over(before)).cast("double")})
-        df = df.withColumn(f"_ewm_s{j}", F.floor(F.sum(decay(max(a for _, a in outs.values()))).over(past) / segment))
+        counts |= {f"_ewm_n{j}": F.count(src).over(past), f"_ewm_g{j}": (index - F.last(F.when(there, index), ignorenulls=True).over(before)).cast("double")}
+        cuts[f"_ewm_s{j}"] = F.floor(F.sum(decay(max(a for _, a in outs.values()))).over(past) / segment)
         inside = Window.partitionBy(*series.keys, f"_ewm_s{j}").orderBy(*series.order).rowsBetween(Window.unboundedPreceding, 0)
-        steps, sums, carried, final = {}, {}, {}, {}
+        steps, sums = {}, {}
+        new_segment = seg != series.lag(seg)
         for o, (c, a) in outs.items():
+            y, f = F.col(f"_ewm_y_{o}"), F.col(f"_ewm_f_{o}")
             steps[f"_ewm_f_{o}"] = F.sum(decay(a)).over(inside)
             term = F.when(~there, 0.0).when(n == 1, F.col(c)).otherwise(a * F.col(c) / (old(a) + a))
-            sums[f"_ewm_y_{o}"] = F.exp(-F.col(f"_ewm_f_{o}")) * F.sum(term * F.exp(f"_ewm_f_{o}")).over(inside)
-            carried[f"_ewm_c_{o}"] = F.coalesce(series.lag(F.col(f"_ewm_y_{o}")), F.lit(0.0))
-            final[o] = F.when(n > 0, F.col(f"_ewm_y_{o}") + F.exp(-F.col(f"_ewm_f_{o}")) * F.first(f"_ewm_c_{o}").over(inside))
-        df = df.withColumns(steps).withColumns(sums).withColumns(carried).withColumns(final)
-        helpers += [f"_ewm_n{j}", f"_ewm_g{j}", f"_ewm_s{j}", *steps, *sums, *carried]
-    return df.drop(*helpers)
+            sums[f"_ewm_y_{o}"] = F.exp(-f) * F.sum(term * F.exp(f)).over(inside)
+            carried[f"_ewm_c_{o}"] = F.when(new_segment, series.lag(y))
+            final[o] = F.when(n > 0, y + F.exp(-f) * F.coalesce(F.last(f"_ewm_c_{o}", ignorenulls=True).over(past), F.lit(0.0)))
+        inner.append((steps, sums))
+    # windows of one sort order follow each other: the series, each segmentation, the series again
+    df = df.withColumn("_ewm_i", series.row_index()).withColumns(counts).withColumns(cuts)
+    for steps, sums in inner:
+        df = df.withColumns(steps).withColumns(sums)
+    helpers = ["_ewm_i", *counts, *cuts, *(c for pair in inner for d in pair for c in d), *carried]
+    return df.withColumns(carried).withColumns(final).drop(*helpers)
 
 
 def run_lengths(df: DataFrame, series: Series, sign: Column, out: str = "run") -> DataFrame:

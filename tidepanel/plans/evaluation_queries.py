@@ -9,6 +9,7 @@ from ..operators import evaluate as ev
 from ..operators import factors as fx
 from ..operators import moments as mo
 from ..operators import ranks
+from ..session import cut_lineage
 from . import views as v
 from .factor_queries import W, fr, pct, roll, rollp
 from .registry import query, r, rounded
@@ -17,10 +18,10 @@ C = '"close"'
 FACTORS = ("mom5", "vol_ratio", "swing")
 
 
-def base(spark, sf):
+def base(spark, sf, panel=None):
     """Panel with three factors and the five-row forward return."""
     w = fx.W
-    df = v.panel_l(spark, sf)
+    df = v.panel_l(spark, sf) if panel is None else panel
     return df.select(
         "ts_code", "trade_date", "industry", "close", "amount", w.pct_change("close", 5).alias("mom5"),
         (F.col("vol") / (w.roll_prev(F.avg, "vol", 20, 5) + 1e-9)).alias("vol_ratio"),
@@ -359,14 +360,15 @@ eq as (select *, case when max(case when ret <= -1 then 1 else 0 end) over (orde
 ed as (select *, (equity - max(equity) over (order by period)) / max(equity) over (order by period) drawdown from eq)"""
 
 
-def held(spark, sf):
-    df = base(spark, sf)
-    grid = bt.rebalance_grid(v.panel_l(spark, sf), FREQ)
-    return bt.select_holdings(df, grid, bt.top_by_score("mom5", 10))
+def held(spark, sf, panel=None):
+    """Holdings per rebalance date from a panel that is built and stored once."""
+    panel = cut_lineage(v.panel_l(spark, sf)) if panel is None else panel
+    return bt.select_holdings(base(spark, sf, panel), bt.rebalance_grid(panel, FREQ), bt.top_by_score("mom5", 10))
 
 
 def periods(spark, sf):
-    return bt.period_returns(held(spark, sf), v.panel_l(spark, sf))
+    panel = cut_lineage(v.panel_l(spark, sf))
+    return bt.period_returns(cut_lineage(held(spark, sf, panel)), panel)
 
 
 @query("rebalance_grid", v.with_views("select rebalance_date, next_date, period from gr", "panel_l", extra=GRID))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import factors as fx
 from ..operators.windows import PANEL
+from ..session import cut_lineage
 from . import views as v
 from .registry import query, r, rounded
 
@@ -261,8 +262,8 @@ COMPOSITE_COLS = ("multi_oversold_flag", "reversal_signal", "small_cap_momentum"
       case when ("close" - ({roll('avg', '"close"', 20)} - 2 * {roll('stddev_samp', '"close"', 20, 5)})) /
         (4 * {roll('stddev_samp', '"close"', 20, 5)} + 1e-9) < 0.2 then 1.0::double else 0.0::double end nb from panel_e)"""))
 def factor_panel(spark, sf):
-    """Every per-entity factor in one plan; the composites depend on all the others."""
-    return pick(fx.rule_factors(e_panel(spark, sf), v.section_rows(spark, sf, "panel_e")), *COMPOSITE_COLS)
+    """The composite factors and what they depend on, over a panel that is stored once."""
+    return pick(fx.rule_factors(cut_lineage(e_panel(spark, sf)), v.section_rows(spark, sf, "panel_e")), *COMPOSITE_COLS)
 
 
 @query("forward_returns", v.with_views(

@@ -8,6 +8,7 @@ from ..operators import factors as fx
 from ..operators import market as mk
 from ..operators import ranks
 from ..operators import xsection as xs
+from ..session import cut_lineage
 from . import views as v
 from .factor_queries import APR_SIZE, KDJ, RSI, W, fr, pct, roll, rollp
 from .registry import query, r, rounded
@@ -205,7 +206,7 @@ u9 as (select *, {band('rule_raw', 60.0, 35.0)} rule_score, risk_pledge_high = 0
     select *, count(*) filter (ok) over () n_ok from u9) where ok or n_ok < 20) where pick_rank <= 20""", "panel_e", extra=FULL))
 def rule_selection(spark, sf):
     """Flagship: all factors, 33 weights, risk filter with relaxation, top names of the newest date."""
-    base = panel(spark, sf)
+    base = cut_lineage(panel(spark, sf))  # read for factors, flows, limits, favourites and dates
     flow = mk.money_flow_by_code(base.select("ts_code", "net_flow", F.greatest("net_flow", F.lit(0.0)).alias("buy_amount"), F.greatest(-F.col("net_flow"), F.lit(0.0)).alias("sell_amount")))
     flow = rounded(flow, 6)
     pool = base.withColumn("limit_type", F.when(fx.W.pct_change("close") >= 0.095, "U").otherwise("D"))
