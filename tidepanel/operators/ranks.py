@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 WINDOW_ROWS = 2_000_000
 #: Cells of a group that is too large for one window.
 CELLS = 256
+#: Column of a constant that makes the whole table one group.
+WHOLE = "_all"
 
 
 def widest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -34,6 +36,8 @@ def _with_cells(values: DataFrame, by: list[str]) -> DataFrame:
     cuts = [i / CELLS for i in range(1, CELLS)]
     bounds = values.groupBy(*by).agg(F.percentile_approx("_x", cuts, 20 * CELLS).alias("_bounds"))
     cell = F.size(F.filter("_bounds", lambda b: b < F.col("_x")))
+    if by == [WHOLE]:  # one group, one row of bounds: a scalar, not a join
+        return values.withColumn("_bounds", bounds.select("_bounds").scalar()).withColumn("_cell", cell).drop("_bounds")
     return values.join(bounds, by).withColumn("_cell", cell).drop("_bounds")
 
 
