@@ -40,7 +40,7 @@ FILTER_ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Columns of a set's parity bitmap: bit i says whether the number of tokens of remainder i is odd.
 PARITY = ("p0", "p1", "p2", "p3")
 #: Nodes of a block and tokens handled at once when blocks are compared.
-BLOCK_NODES, COLUMNS = 128, 1 << 14
+BLOCK_NODES, COLUMNS = 64, 1 << 14
 
 
 def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:

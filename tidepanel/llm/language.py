@@ -22,8 +22,8 @@ DIMENSIONS = 1024
 PROFILE_REPORTS = 20_000
 #: Letters below this code point have a vector each; those above share the others by remainder.
 OWN_LETTERS, SYMBOLS = 0x250, 1024
-#: Characters bundled at once: bounds the n-gram table of a slice.
-SLICE = 400_000
+#: Characters bundled at once, n-gram vectors made at once and n-grams looked up by table: bounds of a task's memory.
+SLICE, GRAMS, TABLE = 300_000, 4096, 1_000_000
 
 
 class Bundler:
@@ -57,19 +57,19 @@ class Bundler:
         gram, who = gram[inside], who[inside]
         if not len(gram):
             return np.zeros((len(texts), self.dimensions), dtype=np.float32)
-        if m ** 3 <= 4_000_000:
+        if m ** 3 <= TABLE:
             present = np.flatnonzero(np.bincount(gram, minlength=m ** 3))
-            place = np.zeros(m ** 3, dtype=np.int64)
+            place = np.zeros(m ** 3, dtype=np.int32)
             place[present] = np.arange(len(present))
             index = place[gram]
         else:
             present, index = np.unique(gram, return_inverse=True)
         a, b, c = seen[present // (m * m)], seen[present // m % m], seen[present % m]
         out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
-        for lo in range(0, len(present), 8192):  # n-gram vectors, a block at a time
-            hi = min(lo + 8192, len(present))
+        for lo in range(0, len(present), GRAMS):  # n-gram vectors, a block at a time
+            hi = min(lo + GRAMS, len(present))
             block = (self.rotated[0][a[lo:hi]] * self.rotated[1][b[lo:hi]] * self.rotated[2][c[lo:hi]]).astype(np.float32)
-            part = (index >= lo) & (index < hi) if len(present) > 8192 else slice(None)
+            part = (index >= lo) & (index < hi) if len(present) > GRAMS else slice(None)
             width = hi - lo
             counts = np.bincount(who[part] * width + index[part] - lo, minlength=len(texts) * width).reshape(len(texts), width)
             out += counts.astype(np.float32) @ block

@@ -14,6 +14,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -53,13 +54,20 @@ class ReportTokenizer:
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_buffer(model)
-        self.tokenizer.encode_special_tokens = True
+        self.model = model
         ranks = byte_ranks(model)
         self.fast = ranks and tiktoken.Encoding("report", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_buffer(self.model)
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, little-endian unsigned 32-bit."""
         if self.fast and not UNUSUAL(text):
