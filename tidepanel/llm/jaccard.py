@@ -39,6 +39,8 @@ PIECE_BYTES = 1 << 20
 FILTER_ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Columns of a set's parity bitmap: bit i says whether the number of tokens of remainder i is odd.
 PARITY = ("p0", "p1", "p2", "p3")
+#: Ids that may be sent to every task at once.
+SENT_IDS = 500_000
 #: Nodes of a block and tokens handled at once when blocks are compared.
 BLOCK_NODES, COLUMNS = 64, 1 << 14
 
@@ -201,7 +203,7 @@ def _rarity(texts: DataFrame, words: int):
                 np.add.at(table, (_mixed(found) >> shift).view(np.int64), np.uint32(1))
         yield sketch.block_rows(table)
 
-    counts = sketch.summed(texts.mapInArrow(run, sketch.SCHEMA), slots)
+    counts = sketch.summed(texts.mapInArrow(run, sketch.SCHEMA), slots, texts.rdd.getNumPartitions())
     magnitude = np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
     return texts.sparkSession.sparkContext.broadcast(magnitude.tobytes())  # a byte per slot, MOST_SLOTS at most
 
@@ -213,9 +215,20 @@ def _alike(percent: int) -> str:
     return f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and ({differing}) * {100 + percent} <= (x.size + y.size) * {100 - percent}"
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, sent to all tasks if it is counted to be small; else joins move both sides."""
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+
+
 def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (``a``, ``b``) whose sizes allow a link and that share enough prefix tokens under every further order."""
-    side = nodes.select("node", "size", *(f"further{i}" for i in range(len(FILTER_ORDERS))))
+    pairs = cut_lineage(pairs)
+    side = nodes.select("node", "size", *(f"further{i}" for i in range(len(FILTER_ORDERS)))).join(_few(_ends(pairs)), "node", "left_semi")
     x, y = (side.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in side.columns[1:])) for n in "ab")
     fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
     joined = pairs.join(x, "a").join(y, "b").where(fit)
@@ -314,12 +327,16 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     rows = cut_lineage(_signatures(texts, words, percent, _rarity(texts, words)).withColumn("row", F.monotonically_increasing_id()))
     sets = rows.where("size > 0")
     first = cut_lineage(sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("report").alias("least")))
-    nodes = sets.join(first.select("row"), "row", "left_semi").withColumnRenamed("row", "node")
+    nodes = sets.withColumnRenamed("row", "node")
     postings = nodes.select(F.explode("prefix").alias("token"), "node")
     leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    shared = cut_lineage(postings.join(leaders.select("token", "leader"), "token").select("token", "node", "leader"))
+    # The least row of a token is the first of its set, so copies can go once only shared tokens are left.
+    shared = postings.join(leaders.select("token", "leader"), "token").join(first.select(F.col("row").alias("node")), "node", "left_semi")
+    shared = cut_lineage(shared.select("token", "node", "leader"))
+    slim = nodes.select("node", "size", *PARITY)
     votes = shared.where("node > leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    partner = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
+    fit = votes.alias("v").join(slim.alias("x"), F.expr("v.a = x.node")).join(slim.alias("y"), F.expr("v.b = y.node")).where(_alike(percent)).select("v.*")
+    partner = fit.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     partner = cut_lineage(_passing(partner, nodes, percent))
     family = cut_lineage(components(partner).select("node", F.col("root").alias("family")))
     placed = cut_lineage(shared.select("token", "node").join(family, "node", "left").select("token", "node", F.coalesce("family", "node").alias("family")))
@@ -327,12 +344,12 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     # Pairs of different families that pass all filters; few, as members of a family share what is rare.
     mixed = placed.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("token")
     open_ = placed.join(mixed, "token")
-    open_ = open_.join(nodes.select("node", "size", *PARITY), "node")
+    open_ = open_.join(slim, "node")
     met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and x.node < y.node and x.family <> y.family and {_alike(percent)}"))
     across = cut_lineage(_passing(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, percent))
     pairs = partner.unionAll(across)
-    held = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
-    bodies = cut_lineage(held.join(texts.select("text_key", "body"), "text_key").dropDuplicates(["node"]).select("node", "body"))
+    held = _few(nodes.select("node", "text_key").join(_few(_ends(pairs)), "node", "left_semi"))
+    bodies = cut_lineage(texts.select("text_key", "body").join(held, "text_key").dropDuplicates(["node"]).select("node", "body"))
     first_links = cut_lineage(_verified(pairs, bodies, words, percent))
     roots = components(first_links)
 
