@@ -27,7 +27,7 @@ NONE = -1
 class BytePairCoder:
     """Vocabulary of a rank file with the tables of the backtracking encoder."""
 
-    def __init__(self, rank_file: bytes, pattern: str, entries: int = 400_000):
+    def __init__(self, rank_file: bytes, pattern: str, entries: int = 300_000):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, rank_file.splitlines()) if token}
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         size = max(ranks.values()) + 1
@@ -43,7 +43,7 @@ class BytePairCoder:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.compatible = Memo(self._compatible, 1_000_000)
+        self.compatible = Memo(self._compatible, 250_000)
         self.memo = Memo(self._packed, entries)
 
     def _learn_halves(self, ordered):
@@ -159,7 +159,7 @@ def encode_reports(reports: DataFrame, ranks_path: str, pattern: str, *, id_col:
     def run(batches):
         coder = _coder(shared, pattern)
         for batch in batches:
-            for rows, texts in text_slices(batch, 1):
+            for rows, texts in text_slices(batch, 1, 2_000_000):
                 packed = [coder.encode(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())],
                                                  ["external_id", "n_tokens", "token_ids"])
