@@ -37,8 +37,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Multi-line chunks that an earlier document holds are cut out; documents left without text go."""
-    return _as_documents(lines.drop_repeated_chunks(_as_reports(docs.select(*COLUMNS))).where(r"content_text rlike '\\S'"))
+    """Passages of two lines or more that stand earlier are cut out; documents left without text go."""
+    return _as_documents(lines.drop_repeated_passages(_as_reports(docs.select(*COLUMNS))).where(r"content_text rlike '\\S'"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

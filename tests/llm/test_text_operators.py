@@ -155,6 +155,44 @@ def test_line_dedup_keeps_equal_rows_and_cuts_shifted_passages(spark):
     assert got[2][2] >= 30 and got[2][1].startswith("x\ny\n") and got[2][1].endswith("z")
 
 
+def brute_passages(rows):
+    places = defaultdict(list)
+    for i, text in set(rows):
+        split = (text or "").split("\n")
+        full = [n for n, x in enumerate(split) if x.strip()]
+        for a, b in zip(full, full[1:]):
+            places["\n".join(split[a:b + 1])].append(((i is None, i or 0), text, a, b))
+    cut = defaultdict(set)
+    for found in places.values():
+        first = min(found, key=lambda p: (p[0], p[2]))
+        for row, text, a, b in found:
+            if (row, text) != first[:2] or a > first[3]:
+                cut[row, text] |= set(range(a, b + 1))
+    return Counter((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in cut[(i is None, i or 0), t]), None if t is None else len(cut[(i is None, i or 0), t])) for i, t in rows)
+
+
+def passage_counts(spark, rows):
+    got = lines.drop_repeated_passages(spark.createDataFrame(rows, "external_id long, content_text string"))
+    return Counter(map(tuple, got.select("external_id", "content_text", "n_removed").collect()))
+
+
+def test_planted_passages_go_whole(spark):
+    planted = ["\n".join(f"passage {p} line {n} " + " ".join(f"w{p}x{n}x{k}" for k in range(30)) for n in range(p)) for p in range(2, 9)]
+    rows = [(p, f"before {p}\n{x}\nafter {p}") for p, x in enumerate(planted)]
+    rows += [(100 + 10 * p + c, f"one {p} {c}\ntwo {p} {c}\n{x}\nthree {p} {c}") for p, x in enumerate(planted) for c in range(3)]
+    want = Counter({(i, t, 0): 1 for i, t in rows[:7]}) + Counter((100 + 10 * p + c, f"one {p} {c}\ntwo {p} {c}\nthree {p} {c}", p + 2) for p in range(7) for c in range(3))
+    assert passage_counts(spark, rows) == want
+
+
+def test_passages_equal_brute_force(spark, sf):
+    rows = [(3, "a\n\nb\nc"), (None, "a\n\nb\nc"), (1, "x\na\n\nb\n"), (1, "x\na\n\nb\n"), (2, "a\nb"), (4, "r\nr\nr"), (5, "s\ns\ns\ns"), (6, "a\n\n"), (7, None), (8, ""), (9, "\n \n")]
+    assert passage_counts(spark, rows) == brute_passages(rows)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert passage_counts(spark, docs) == brute_passages(docs)
+    plan = lines.drop_repeated_passages(reports(spark, ODD))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan) and lines.drop_repeated_passages(reports(spark, ODD).limit(0)).collect() == []
+
+
 def test_line_dedup_is_native(spark):
     plan = lines.drop_repeated_chunks(reports(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
