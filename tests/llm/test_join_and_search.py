@@ -165,3 +165,50 @@ def test_neighbours_odd_tables(spark):
     twice = exposures(spark, [[1.0, 0.0], [0.5, 0.0], [0.25, 0.0]], ids=[0, 0, 1])
     assert sorted(map(tuple, neighbours.nearest_stocks(twice, twice.where("ts_code = 1")).collect())) == [(1, 1, 0, 0.25)]
     assert neighbours.nearest_stocks(twice, twice.limit(0)).collect() == []
+
+
+def by_code(vectors, ids, queries):
+    """Brute force: the 20 codes with the best scores, a code counted once."""
+    want = {}
+    for q in queries:
+        best = {}
+        for own in (v for i, v in zip(ids, vectors) if i == q):
+            for i, v in zip(ids, vectors):
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(np.array(own) @ np.array(v)))
+        want[q] = sorted(((-s, i) for i, s in best.items()))[:20]
+    return want
+
+
+@pytest.mark.parametrize("copies", [1, 2, 25])
+def test_repeated_codes_take_one_place_each(spark, copies):
+    rng = np.random.default_rng(8)
+    base = np.float32(rng.normal(size=(60, 8)) / 4).astype(float)
+    vectors, ids = np.repeat(base, copies, axis=0), np.repeat(np.arange(60), copies).tolist()
+    for shift in (0.0, 1e-3):  # equal rows, then a code with many vectors
+        moved = np.float32(vectors + shift * rng.normal(size=vectors.shape)).astype(float)
+        table = exposures(spark, moved.tolist(), ids)
+        rows = neighbours.nearest_stocks(table, table.where("ts_code % 20 = 0")).collect()
+        got = {q: [r.ts_code for r in sorted((r for r in rows if r.query_code == q), key=lambda r: r.rank)] for q in (0, 20, 40)}
+        assert got == {q: [i for _, i in best] for q, best in by_code(moved.tolist(), ids, (0, 20, 40)).items()}
+
+
+def test_a_hot_code_is_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK_VECTORS", 32)
+    seen = spark.sparkContext.accumulator(0)
+    plain = neighbours._kth_of_codes
+
+    def counted(scores, keys, k):
+        if scores.shape[1] > 120:
+            seen.add(1)
+        return plain(scores, keys, k)
+
+    monkeypatch.setattr(neighbours, "_kth_of_codes", counted)
+    rng = np.random.default_rng(9)
+    vectors = np.float32(rng.normal(size=(900, 8)) / 4).astype(float).tolist()
+    ids = [7 if i % 3 == 0 else 1000 + i for i in range(900)]
+    table = exposures(spark, vectors, ids)
+    rows = neighbours.nearest_stocks(table, table.where("ts_code = 7 or ts_code = 1001")).collect()
+    want = by_code(vectors, ids, (7, 1001))
+    assert {q: [r.ts_code for r in sorted((r for r in rows if r.query_code == q), key=lambda r: r.rank)] for q in (7, 1001)} == {q: [i for _, i in b] for q, b in want.items()}
+    assert seen.value == 0

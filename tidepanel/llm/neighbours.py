@@ -135,10 +135,11 @@ def fit_index(keys: np.ndarray, sample: np.ndarray, lists: int, longest: float,
     ring = np.stack([np.roll(np.arange(n), s) for s in (1, 7)], axis=1) % n  # a few far links keep the graph in one piece
     index.graph = np.hstack([near, ring])
     rng = np.random.default_rng(5)
-    queries = sample[rng.choice(len(sample), min(200, len(sample)), replace=False)]
-    scores = queries @ sample.T
-    top = np.argpartition(-scores, min(k, len(sample) - 1), axis=1)[:, :k + 1]
-    home = ((index.centroids ** 2).sum(axis=1) - 2 * lifted @ index.centroids.T).argmin(axis=1)
+    # a vector of each code, as a code takes one place
+    queries = index.sample[rng.choice(len(once), min(200, len(once)), replace=False)]
+    scores = queries @ index.sample.T
+    top = np.argpartition(-scores, min(k, len(once) - 1), axis=1)[:, :k + 1]
+    home = ((index.centroids ** 2).sum(axis=1) - 2 * lifted[once] @ index.centroids.T).argmin(axis=1)
     far = np.sqrt(np.maximum(((np.hstack([queries, np.zeros((len(queries), 1))])[:, None, :] - index.centroids[None]) ** 2).sum(axis=2), 0))
     needed = np.take_along_axis(far, home[top], 1) / far.min(axis=1, keepdims=True)
     index.ratio = float(np.quantile(needed, TARGET_RECALL)) + 1e-9
@@ -156,14 +157,14 @@ def nearest_stocks(exposures: DataFrame, queries: DataFrame, *, k: int = 20, id_
     repeatedly counts once, with its best score. Queries with fewer candidates get all; empty tables give no
     rows. Further columns are ignored. The index is fitted on about ``FIT_VECTORS`` rows and holds every row.
     """
-    rows = cut_lineage(finite_vectors(exposures, id_col, features_col, nonzero=True))
-    asked = finite_vectors(queries, id_col, features_col, nonzero=True)
+    rows = cut_lineage(finite_vectors(exposures, id_col, features_col, nonzero=True).distinct())
+    asked = finite_vectors(queries, id_col, features_col, nonzero=True).distinct()
     kind = rows.schema["key"].dataType
     out = T.StructType([T.StructField("query", kind), T.StructField("key", kind), T.StructField("score", T.DoubleType())])
     total, longest, size = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("vec"))).first()
     empty = rows.sparkSession.createDataFrame([], out)
     if total:
-        fitted = sampled(rows, total, FIT_VECTORS).orderBy("key").collect() or [rows.first()]
+        fitted = sampled(rows, total, FIT_VECTORS, "key", "vec").orderBy("key", "vec").collect() or [rows.first()]
         index = fit_index(np.array([r.key for r in fitted]), np.array([r.vec for r in fitted], dtype=np.float64), min(MOST_LISTS, -(-total // LIST_VECTORS)), float(np.sqrt(longest)), k)
         shared = rows.sparkSession.sparkContext.broadcast(index)  # MOST_LISTS centroids and about FIT_VECTORS vectors at any size
         found = _scored(rows, asked.where(F.size("vec") == size), shared, out, k)
@@ -175,6 +176,15 @@ def nearest_stocks(exposures: DataFrame, queries: DataFrame, *, k: int = 20, id_
     return ranked.select(F.col("query").alias("query_code"), "rank", F.col("key").alias("ts_code"), "score")
 
 
+def _kth_of_codes(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each row (the least if there are fewer), where a code counts once, with its best."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    best = scores if len(starts) == len(keys) else np.maximum.reduceat(scores[:, order], starts, axis=1)
+    k = min(k, len(starts))
+    return np.partition(best, -k, axis=1)[:, -k]
+
+
 def _scored(rows, asked, shared, out, k):
     schema = T.StructType([T.StructField("list", T.IntegerType()), rows.schema["key"], T.StructField("vec", T.BinaryType()), T.StructField("floor", T.DoubleType())])
 
@@ -204,8 +214,8 @@ def _scored(rows, asked, shared, out, k):
              .join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_QUERIES)).cast("int").alias("groups")), "list"))
     sizes = F.broadcast(sizes)  # a row per list: MOST_LISTS at most
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = vectors.join(sizes, "list").withColumn("chunk", bucket("key", F.col("chunks"))).select("list", "chunk", every("groups").alias("group"), F.lit(0).alias("side"), "key", "vec", "floor")
-    q = visits.join(sizes, "list").withColumn("group", bucket("key", F.col("groups"))).select("list", every("chunks").alias("chunk"), "group", F.lit(1).alias("side"), "key", "vec", "floor")
+    v = vectors.join(sizes, "list").withColumn("chunk", bucket(F.col("chunks"), "key", "vec")).select("list", "chunk", every("groups").alias("group"), F.lit(0).alias("side"), "key", "vec", "floor")
+    q = visits.join(sizes, "list").withColumn("group", bucket(F.col("groups"), "key", "vec")).select("list", every("chunks").alias("chunk"), "group", F.lit(1).alias("side"), "key", "vec", "floor")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -215,12 +225,13 @@ def _scored(rows, asked, shared, out, k):
         keys, queries = mine["key"].to_numpy(), theirs["key"].to_numpy()
         scores = y @ x.T
         scores[queries[:, None] == keys[None, :]] = -np.inf
-        kth = np.partition(scores, -min(k, len(keys)), axis=1)[:, -min(k, len(keys))]
+        kth = _kth_of_codes(scores, keys, k)
         kth = np.maximum(kth, theirs["floor"].to_numpy())  # what is below is none of the k nearest
         slack = 1e-9 * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
         i, j = np.nonzero((scores >= (kth - slack)[:, None]) & np.isfinite(scores))
         exact = np.einsum("ij,ij->i", y[i], x[j])  # the same sum for equal vectors, wherever they stand
-        pairs = pd.DataFrame({"query": queries[i], "key": keys[j], "score": exact}).drop_duplicates()
-        return pairs.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(k)
+        pairs = pd.DataFrame({"query": queries[i], "key": keys[j], "score": exact})
+        pairs = pairs.sort_values(["query", "score", "key"], ascending=[True, False, True]).drop_duplicates(["query", "key"])
+        return pairs.groupby("query").head(k)
 
     return v.unionAll(q).groupBy("list", "chunk", "group").applyInPandas(compare, out)

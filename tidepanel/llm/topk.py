@@ -65,7 +65,7 @@ def top_exposures(exposures: DataFrame, query: str, *, k: int = 20, scale: int =
 
     placed = cut_lineage(rows.mapInArrow(place, schema))
     parts = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_VECTORS)).cast("int").alias("parts"))
-    ranges = placed.join(F.broadcast(parts), "pivot").withColumn("part", bucket("key", F.col("parts")))  # a row per pivot
+    ranges = placed.join(F.broadcast(parts), "pivot").withColumn("part", bucket(F.col("parts"), "key"))  # a row per pivot
     block_schema = T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)),
                                  T.StructField("asked", T.ArrayType(T.BooleanType())), T.StructField("forward", T.BinaryType()),
                                  T.StructField("most", T.BinaryType()), T.StructField("least", T.BinaryType())])
@@ -96,7 +96,7 @@ def top_exposures(exposures: DataFrame, query: str, *, k: int = 20, scale: int =
     none = lambda t: F.lit(None).cast(t)
     b = blocks.select(F.pmod(F.xxhash64("pivot", "part"), F.lit(cells)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "keys", "forward", "most", "least",
                       none(kind).alias("key"), none("double").alias("floor"))
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), bucket("key", F.lit(groups)).alias("group"), none(T.ArrayType(kind)).alias("keys"), F.col("vec").alias("forward"),
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), bucket(F.lit(groups), "key").alias("group"), none(T.ArrayType(kind)).alias("keys"), F.col("vec").alias("forward"),
                        none("binary").alias("most"), none("binary").alias("least"), "key", "floor")
     out = T.StructType([T.StructField("query", kind), T.StructField("key", kind), T.StructField("score", T.LongType())])
     found = b.unionAll(q).groupBy("cell", "group").applyInPandas(lambda pdf: _search(pdf, k), out)

@@ -22,13 +22,13 @@ def finite_vectors(exposures: DataFrame, id_col: str, features_col: str, *, nonz
     return rows.join(F.broadcast(lengths.select("n")), F.size("vec") == F.col("n")).select("key", "vec")
 
 
-def sampled(rows: DataFrame, total: int, most: int) -> DataFrame:
-    """About ``most`` rows by a hash of the key, all if there are fewer."""
-    return rows.where(F.pmod(F.xxhash64("key"), F.lit(PARTS)) < min(PARTS, -(-most * PARTS // max(total, 1))))
+def sampled(rows: DataFrame, total: int, most: int, *columns: str) -> DataFrame:
+    """About ``most`` rows by a hash of the columns (the key, if none is named), all if there are fewer."""
+    return rows.where(F.pmod(F.xxhash64(*(columns or ("key",))), F.lit(PARTS)) < min(PARTS, -(-most * PARTS // max(total, 1))))
 
 
-def bucket(column: str, parts: Column) -> Column:
-    return F.pmod(F.xxhash64(F.col(column), F.lit(11)), parts).cast("int")
+def bucket(parts: Column, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*map(F.col, columns), F.lit(11)), parts).cast("int")
 
 
 def matrix(column) -> np.ndarray:
