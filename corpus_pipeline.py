@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import jaccard, language, lines, packing, secrets
-from tidepanel.session import checkpoint_dir
+from tidepanel.session import checkpoint_dir, cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,11 +42,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by five-word shingles at 0.8, the one with the least id stays."""
-    reports = _as_reports(docs.select(*COLUMNS))
-    groups = jaccard.near_duplicates(reports)
-    later = groups.where("external_id <> group_id").select("external_id")
-    return _as_documents(reports.join(later, "external_id", "left_anti"))
+    """Of the rows that link by five-word shingles at 0.8, the one with the least id stays (null ids last, of
+    equal ids any one), whatever other rows share its id."""
+    reports = _as_reports(docs.select(*COLUMNS)).withColumn("_row", F.monotonically_increasing_id())
+    reports = cut_lineage(reports)  # stored, so that a row keeps its number
+    place = F.struct(F.col("external_id").isNull().alias("last"), F.col("external_id").alias("id"), F.col("_row").alias("row"))
+    groups = jaccard.near_duplicates(reports.select(place.alias("external_id"), "content_text"))
+    keepers = groups.where("external_id.row = group_id.row").select(F.col("external_id.row").alias("_row"))
+    return _as_documents(reports.join(keepers, "_row", "left_semi"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

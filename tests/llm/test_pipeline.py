@@ -40,3 +40,17 @@ def test_stages_keep_clean_documents(spark, sf, tmp_path):
 def test_run_applies_all_stages(spark, sf):
     out = pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+
+
+def staged(spark, stage, rows):
+    table = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((r.doc_id, r.text, r.lang, r.source) for r in stage(spark, table, "").collect()), key=str)
+
+
+def test_one_row_of_each_group_stays(spark):
+    copy, other = " ".join(f"w{n}" for n in range(40)), " ".join(f"x{n}" for n in range(40))
+    near = copy + " tail"
+    rows = [(1, copy, "en", "a"), (1, copy, "en", "a"), (None, near, "en", "a"), (None, copy, "en", "b"), (3, near, "en", "c"),  # one group
+            (3, other, "en", "d"), (None, "y y z", "en", "e"), (None, "y y z", "en", "e"), (9, None, "en", "f"), (9, None, "en", "f")]
+    want = [(1, copy, "en", "a"), (3, other, "en", "d"), (None, "y y z", "en", "e"), (9, None, "en", "f"), (9, None, "en", "f")]
+    assert staged(spark, pipeline.one_of_each_group, rows) == sorted(want, key=str)
