@@ -29,11 +29,16 @@ def _as_documents(reports: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any text in a language (null, no letter) go; the others get the predicted ``lang``."""
-    reports = _as_reports(docs.select(*COLUMNS))
-    profiles = language.language_profiles(reports)
-    found = language.predict_language(reports.drop("language"), profiles, keep=["external_id", "content_text", "source"])
-    return _as_documents(found.where(F.col("language") != language.UNKNOWN))
+    """Documents without any text in a language (null, no letter) go; the others get the predicted ``lang``,
+    or keep the given one where no document has a label to learn from."""
+    reports = _as_reports(docs.select(*COLUMNS)).withColumnRenamed("language", "given")
+    labelled = reports.where(F.col("given") != language.UNKNOWN)  # that label says that there is none
+    learnt = language.language_profiles(labelled, language_col="given").select("language", "profile").collect()  # a row per language
+    nameless = [("", [0.0] * language.DIMENSIONS)]  # what any text with a letter comes nearest to
+    profiles = spark.createDataFrame(learnt or nameless, "language string, profile array<double>")
+    found = language.predict_language(reports, profiles, keep=["external_id", "content_text", "source", "given"])
+    found = found.where(F.col("language") != language.UNKNOWN)
+    return _as_documents(found.drop("given") if learnt else found.withColumn("language", F.col("given")).drop("given"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,12 @@ def test_one_row_of_each_group_stays(spark):
             (3, other, "en", "d"), (None, "y y z", "en", "e"), (None, "y y z", "en", "e"), (9, None, "en", "f"), (9, None, "en", "f")]
     want = [(1, copy, "en", "a"), (3, other, "en", "d"), (None, "y y z", "en", "e"), (9, None, "en", "f"), (9, None, "en", "f")]
     assert staged(spark, pipeline.one_of_each_group, rows) == sorted(want, key=str)
+
+
+def test_documents_without_labels_stay(spark):
+    texts = [(1, "some words of a text", "s"), (2, None, "s"), (3, "12 34 $$", "s"), (4, "é", None), (5, "", "s")]
+    assert staged(spark, pipeline.identify_language, [(i, t, None, s) for i, t, s in texts]) == [(1, "some words of a text", None, "s"), (4, "é", None, None)]
+    labelled_blank = [(1, "some words", None, "s"), (2, None, "en", "s")]  # a label without a text teaches nothing
+    assert staged(spark, pipeline.identify_language, labelled_blank) == [(1, "some words", None, "s")]
+    assert staged(spark, pipeline.identify_language, [(1, "some words", None, "s"), (2, "more words", "en", "s")]) == [(1, "some words", "en", "s"), (2, "more words", "en", "s")]
+    assert staged(spark, pipeline.identify_language, [(1, "some words", "und", "s"), (2, "3", "und", "s")]) == [(1, "some words", "und", "s")]
