@@ -212,3 +212,14 @@ def test_a_hot_code_is_dealt_over_chunks(spark, monkeypatch):
     want = by_code(vectors, ids, (7, 1001))
     assert {q: [r.ts_code for r in sorted((r for r in rows if r.query_code == q), key=lambda r: r.rank)] for q in (7, 1001)} == {q: [i for _, i in b] for q, b in want.items()}
     assert seen.value == 0
+
+
+def test_top_k_counts_a_code_of_many_vectors_once(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 16)
+    rng = np.random.default_rng(10)
+    vectors = np.float32(np.repeat(rng.normal(size=(40, 8)), 25, axis=0) + rng.normal(size=(1000, 8)) / 8).astype(float)
+    ids = np.repeat(np.arange(40), 25).tolist()
+    units = np.floor(vectors * 64)
+    got = topk.top_exposures(exposures(spark, vectors.tolist(), ids), "ts_code % 20 = 0").collect()
+    want = {(q, rank + 1, i, int(-s)) for q, best in by_code(units.tolist(), ids, (0, 20)).items() for rank, (s, i) in enumerate(best)}
+    assert set(map(tuple, got)) == want and len(got) == len(want) == 40

@@ -134,8 +134,8 @@ def _search(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
             scores[names[rows][:, None] == keys[block][None, :]] = -np.inf
             i, j = np.nonzero((scores >= kth[rows][:, None]) & np.isfinite(scores))
             found.append(pd.DataFrame({"at": rows[i], "key": keys[block][j], "score": scores[i, j]}))
-        held = pd.concat(found).drop_duplicates()
-        held = held.sort_values(["at", "score", "key"], ascending=[True, False, True])
+        held = pd.concat(found).sort_values(["at", "score", "key"], ascending=[True, False, True])
+        held = held.drop_duplicates(["at", "key"])  # a code takes one place, with its best score
         held = held[held.groupby("at").cumcount() < k]
         found = [held]
         full = held.groupby("at")["score"].agg(["size", "min"])
