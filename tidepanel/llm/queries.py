@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, jaccard, language, lines, neighbours, packing, secrets, topk, wrappers
+from . import archive, bpe, jaccard, language, lines, negatives, neighbours, packing, secrets, suffixes, topk, whitening, wrappers
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -123,6 +123,32 @@ def op10_exact_topk(spark, sf):
     return _as_hits(topk.top_exposures(exposures(spark, sf), "ts_code % 20 = 0", k=20, scale=64))
 
 
+@query
+def op11_whitening(spark, sf):
+    """All vectors on the components of their covariance, with unit variance."""
+    out = whitening.whitened_exposures(exposures(spark, sf), components=32, scale=64)
+    return out.select(F.col("ts_code").alias("vec_id"), "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error",
+                      F.col("deviation").alias("deviation_exact"))  # the same where it is no long
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    """Ten vectors of other labels that come close to each of an anchor's five best ones."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table.select(F.col("vec_id").alias("ts_code"), label.alias("industry"), F.col("embedding").alias("features"))
+    found = negatives.hard_negatives(rows, "ts_code % 100 = 0", positives=5, negatives=10, low=30, high=90, scale=256)
+    return found.select(F.col("anchor_code").alias("anchor_id"), F.col("positive_code").alias("positive_id"), "rank", F.col("negative_code").alias("negative_id"),
+                        "positive_score", "negative_score")
+
+
+@query
+def op13_suffix_dedup(spark, sf):
+    """Bytes left of every document without its passages of 100 bytes that start earlier."""
+    out = suffixes.drop_earlier_passages(reports(spark, sf), length=100)
+    return out.select(F.col("external_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("content_bytes", 256).alias("kept_sha256"))
+
+
 ORACLES["op10_exact_topk"] = """
 WITH units AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
@@ -136,6 +162,49 @@ WITH units AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+ORACLES["op12_hard_negatives"] = """
+WITH units AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM units a JOIN units c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLES["op13_suffix_dedup"] = """
+WITH docs AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS i, h FROM docs WHERE len(h) >= 200
+), windows AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS w FROM starts
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1
+), marked AS (
+  SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 100 AS opens FROM later
+), numbered AS (
+  SELECT doc_id, i, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked
+), runs AS (
+  SELECT doc_id, k, min(i) AS a, max(i) + 100 AS z FROM numbered GROUP BY doc_id, k
+), gaps AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs
+), cut AS (
+  SELECT g.doc_id, sum(z - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS rest
+  FROM gaps g JOIN docs d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
+FROM docs d LEFT JOIN cut c ON c.doc_id = d.doc_id
+"""
+
 ORACLES["op2_secret_scan"] = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 matched AS (

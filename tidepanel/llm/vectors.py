@@ -22,6 +22,14 @@ def finite_vectors(exposures: DataFrame, id_col: str, features_col: str, *, nonz
     return rows.join(F.broadcast(lengths.select("n")), F.size("vec") == F.col("n")).select("key", "vec")
 
 
+def taking_part(rows: DataFrame) -> DataFrame:
+    """The rows whose ``vec`` (array of doubles) is not null, finite in every entry and of the most common length
+    (the shorter one of a tie), whatever their other columns hold."""
+    rows = rows.where("vec is not null and size(vec) > 0").where(F.forall("vec", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+    lengths = rows.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), "width").limit(1)
+    return rows.join(F.broadcast(lengths.select("width")), F.size("vec") == F.col("width")).drop("width")
+
+
 def sampled(rows: DataFrame, total: int, most: int, *columns: str) -> DataFrame:
     """About ``most`` rows by a hash of the columns (the key, if none is named), all if there are fewer."""
     return rows.where(F.pmod(F.xxhash64(*(columns or ("key",))), F.lit(PARTS)) < min(PARTS, -(-most * PARTS // max(total, 1))))
@@ -34,3 +42,12 @@ def bucket(parts: Column, *columns: str) -> Column:
 def matrix(column) -> np.ndarray:
     """Rows packed as doubles."""
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+
+
+def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact as longs whatever their size."""
+    if not len(x):
+        return np.empty(0, dtype=np.int64)
+    if np.abs(x).max() * np.abs(y).max() * x.shape[1] < 2.0 ** 53:
+        return np.einsum("ij,ij->i", x, y).astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(u, v)) for u, v in zip(x, y)], dtype=np.int64)
