@@ -153,11 +153,12 @@ class Cell:
         found = []
         for ask, rows, least, most, same in self.parts():
             survives, wanted = np.zeros(same.shape, dtype=bool), []
+            other = ~same & (self.own[ask][:, None] != self.owners[rows][None, :])
             for place in range(max((len(self.offers[a]) for a in ask), default=0)):
                 ranges = [score_range(self.offers[a][place], low, high) if place < len(self.offers[a]) else (1, 0) for a in ask]
                 bottom, top = (np.array([r[s] for r in ranges], dtype=np.float64)[:, None] for s in (0, 1))
                 room = SLACK * (np.abs(bottom) + np.abs(top))
-                fits = ~same & (most >= bottom - room) & (least <= top + room) & (bottom <= top)
+                fits = other & (most >= bottom - room) & (least <= top + room) & (bottom <= top)
                 floor = _kth(np.where(fits & (least >= bottom + room) & (most <= top - room), least, -np.inf), k)
                 survives |= fits & (most >= floor[:, None])
                 wanted.append(ranges)
