@@ -2,13 +2,14 @@
 
 Every start of a passage of ``length`` bytes is a suffix to be sorted by its first ``length``
 bytes. Suffixes meet in buckets: the least hash of the short byte runs inside a passage names its
-bucket, so equal passages always meet, and successive starts with one such run travel as one piece
-of text. Pieces whose run occurs once in the whole table are dropped before any text moves, and
-equal pieces are one piece. A bucket is sorted with a difference cover: positions whose remainder
-lies in the cover are ranked first, by doubling; then one block of suffixes at a time is sorted by
-first bytes, and two suffixes that agree there are told apart by the ranks at the offset at which
-both stand on the cover. A task holds one bucket of bounded text. Runs of bytes that very many
-different pieces share have their passages met one by one instead of in one bucket.
+bucket, so equal passages always meet, and successive starts with one such run are one piece of
+text. Runs and prints of pieces meet before any text moves: pieces whose run occurs once in the
+whole table are dropped, and of equal pieces only the first goes on. A bucket is sorted with a
+difference cover: positions whose remainder lies in the cover are ranked first, by doubling; then
+one block of suffixes at a time is sorted by first bytes, and two suffixes that agree there are
+told apart by the ranks at the offset at which both stand on the cover. A task holds one bucket of
+bounded text. Where very many different pieces share a run, each passage is a piece of its own and
+its bucket is named by all its bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +34,10 @@ RUN_BYTES, PART_BITS = 28, 18
 #: Text of a bucket on average and of a run that has its passages met one by one; suffixes of a block.
 BUCKET_BYTES, HOT_BYTES, BLOCK_SUFFIXES = 2 << 20, 2 << 20, 1 << 19
 LEAST_LENGTH = 64
-#: Columns that tell reports apart, in their order.
-REPORT = ("last", "id", "text")
+#: Pieces that meet in a task on average, when repeated runs are looked for.
+MET_PIECES = 1 << 19
+#: What a piece of a text is: a repeat of an earlier one, to be sorted, or of a frequent run.
+REPEAT, SORT, HOT = 0, 1, 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -205,6 +209,55 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _lists(order: np.ndarray, key: np.ndarray, columns: list[pa.Array]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Values of ``columns`` (already in ``order``) as one list per distinct ``key`` in a row, with those keys."""
+    sorted_ = key[order]
+    edges = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(order)]]).astype(np.int32) if len(order) else np.zeros(1, dtype=np.int32)
+    return sorted_[edges[:-1]] if len(order) else sorted_[:0], [pa.ListArray.from_arrays(pa.array(edges), c) for c in columns]
+
+
+def _flat(column) -> pa.Array:
+    flat = pc.list_flatten(column)
+    return flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+
+
+def _per_report(ids: pa.Array, texts: np.ndarray, values: list[np.ndarray], names: list[str], schema: list[str]) -> pa.Table:
+    """A row per report with a list of its values."""
+    code = np.asarray(ids.dictionary_encode().indices.fill_null(-1))
+    order = np.lexsort((texts, code))
+    changed = np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (texts[order][1:] != texts[order][:-1])])[:len(order)]
+    of = np.flatnonzero(changed)
+    edges = pa.array(np.append(of, len(order)).astype(np.int32))
+    inner = pa.StructArray.from_arrays([pa.array(v[order]) for v in values], names)
+    return pa.Table.from_arrays([ids.take(pa.array(order[of])), pa.array(texts[order[of]]), pa.ListArray.from_arrays(edges, inner)], schema)
+
+
+def _ranked(ids: pa.Array) -> np.ndarray:
+    """Place of every id in the order of ids, nulls last."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _copies(run: np.ndarray, prints: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of pieces by run, print and place; which of them, in that order, equal the one before, and which stand
+    at its very place (a report that is there twice)."""
+    order = np.lexsort((*place[::-1], prints, run))
+    as_before = lambda x: np.concatenate([[False], x[order][1:] == x[order][:-1]])[:len(order)]
+    copy = as_before(run) & as_before(prints)
+    equal = copy.copy()
+    for x in place:
+        equal &= as_before(x)
+    return order, copy, equal
+
+
+def _packed_pieces(bucket: np.ndarray, ids: pa.Array, texts: np.ndarray, starts: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+    """Pieces as a row per bucket."""
+    order = np.argsort(bucket, kind="stable")
+    keys, lists = _lists(order, bucket, [ids.take(pa.array(order)), pa.array(texts[order]), pa.array(starts[order].astype(np.int32)), pa.array([len(bodies[i]) for i in order], pa.int32())])
+    edges = lists[0].offsets.to_numpy()
+    data = [zstandard.compress(b"".join(bodies[i] for i in order[lo:hi]), 1) for lo, hi in zip(edges[:-1], edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *lists, pa.array(data, pa.binary())], ["bucket", "ids", "texts", "starts", "sizes", "data"])
+
+
 def drop_earlier_passages(reports: DataFrame, *, length: int = 100, id_col: str = "external_id", text_col: str = "content_text") -> DataFrame:
     """Reports without the bytes of every passage of ``length`` bytes (64 at least) that also starts earlier:
     ``external_id``, ``content_bytes`` (what is left of the UTF-8 text), ``n_bytes`` before, ``n_removed`` and
@@ -219,125 +272,139 @@ def drop_earlier_passages(reports: DataFrame, *, length: int = 100, id_col: str
     if length < LEAST_LENGTH:
         raise ValueError(f"passages have {LEAST_LENGTH} bytes at least")
     body = F.coalesce(reports[text_col].cast("string"), F.lit("")).cast("binary")
-    docs = reports.select(reports[id_col].isNull().alias("last"), reports[id_col].alias("id"), F.xxhash64(body).alias("text"), body.alias("body"))
-    spark, kind = reports.sparkSession, docs.schema["id"]
-    report = [T.StructField("last", T.BooleanType()), kind, T.StructField("text", T.LongType())]
-    integer, long, binary = T.IntegerType(), T.LongType(), T.BinaryType()
-
-    # Runs that occur more than once, in the whole table.
-    def runs_of(batches):
+    docs = reports.select(reports[id_col].alias("id"), F.xxhash64(body).alias("text"), body.alias("body"))
+    long_enough, kind = F.length("body") >= length, docs.schema["id"]
+    total = docs.agg(F.sum(F.length("body"))).first()[0] or 0
+    buckets = max(1, total // (MET_PIECES * (length - RUN_BYTES) // 2))
+    integer, long, binary, many = T.IntegerType(), T.LongType(), T.BinaryType(), T.ArrayType
+    met = T.StructType([T.StructField("bucket", integer), T.StructField("ids", many(kind.dataType)), T.StructField("texts", many(long)), T.StructField("starts", many(integer)),
+                        T.StructField("counts", many(integer)), T.StructField("runs", many(long)), T.StructField("prints", many(long))])
+    cut_type = T.StructType([T.StructField("start", integer), T.StructField("n", integer), T.StructField("what", integer), T.StructField("run", long)])
+    found = T.StructType([kind, T.StructField("text", long), T.StructField("cuts", many(cut_type))])
+
+    def scan(batches):
+        """Runs, prints and places of all pieces, a row per bucket; of equal pieces in a batch all but the first are repeats already (no run)."""
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(pieces(batch.column(0).to_pylist(), length)[3])], ["run"])
-
-    again = docs.select("body").where(F.length("body") >= length).mapInArrow(runs_of, "run long").groupBy("run").count().where("count > 1").select("run")
-    again = cut_lineage(again)
-    placed = T.StructType([T.StructField("run", long), *report, T.StructField("start", integer), T.StructField("n", integer)])
-
-    def places_of(batches):
+            bodies = batch.column(2).to_pylist()
+            of, first, count, run = pieces(bodies, length)
+            if not len(of):
+                continue
+            prints = np.array([xxhash.xxh3_64_intdigest(memoryview(bodies[i])[a:a + n + length - 1]) for i, a, n in zip(of.tolist(), first.tolist(), count.tolist())], dtype=np.uint64).view(np.int64)
+            texts = batch.column(1).to_numpy()[of]
+            order, copy, equal = _copies(run, prints, _ranked(batch.column(0))[of], texts, first)
+            later, twice = np.zeros((2, len(of)), dtype=bool)
+            later[order[copy]], twice[order[equal]] = True, True
+            of, first, count, run, prints, texts, later = (x[~twice] for x in (of, first, count, run, prints, texts, later))
+            bucket = (_mixed(run.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            bucket[later] = (_mixed(texts[later].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(2 * bucket + later, kind="stable")
+            of = of[order]
+            gone = pa.array(later[order])
+            keys, lists = _lists(order, 2 * bucket + later, [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(first[order].astype(np.int32)), pa.array(count[order].astype(np.int32)),
+                                                             pc.if_else(gone, None, pa.array(run[order])), pa.array(prints[order])])
+            yield pa.RecordBatch.from_arrays([pa.array((keys // 2).astype(np.int32)), *lists], met.names)
+
+    def meet(table: pa.Table) -> pa.Table:
+        """What each piece of a bucket is."""
+        ids, runs = _flat(table.column("ids")), _flat(table.column("runs"))
+        texts, starts, counts, prints = (_flat(table.column(c)).to_numpy() for c in ("texts", "starts", "counts", "prints"))
+        what = np.full(len(starts), REPEAT, dtype=np.int32)
+        open_ = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))
+        run = runs.fill_null(0).to_numpy()
+        what[open_] = -1
+        order = open_[np.argsort(run[open_])]
+        number = np.concatenate([[0], np.cumsum(run[order][1:] != run[order][:-1])])[:len(order)]
+        again = np.bincount(number)[number] > 1 if len(order) else np.zeros(0, dtype=bool)
+        at, number = order[again], number[again]
+        if len(at):
+            order, copy, equal = _copies(number, prints[at], _ranked(ids.take(pa.array(at))), texts[at], starts[at])
+            at, number, new = at[order][~equal], number[order][~equal], ~copy[~equal]
+            size = np.bincount(number, weights=np.where(new, counts[at] + length - 1, 0))
+            distinct = np.bincount(number, weights=new)
+            what[at] = np.where(~new, REPEAT, np.where(distinct[number] < 2, -1, np.where(size[number] > HOT_BYTES, HOT, SORT)))
+        keep = np.flatnonzero(what >= 0)
+        return _per_report(ids.take(pa.array(keep)), texts[keep], [starts[keep], counts[keep], what[keep], run[keep]], cut_type.names, found.names)
+
+    parts = docs.where(long_enough).mapInArrow(scan, met).groupBy("bucket").applyInArrow(meet, found)
+    owned = cut_lineage(parts.groupBy("id", "text").agg(F.flatten(F.collect_list("cuts")).alias("cuts")))  # no more than the text is long
+    sorts = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + F.when(c["what"] == SORT, c["n"] + length - 1).when(c["what"] == HOT, c["n"] * length).otherwise(0))
+    work = owned.agg(F.sum(sorts)).first()[0] or 0
+    sort_buckets = max(1, -(-work // BUCKET_BYTES))
+    piece_schema = T.StructType([met["bucket"], met["ids"], met["texts"], met["starts"], T.StructField("sizes", many(integer)), T.StructField("data", binary)])
+
+    def packed(batches):
+        """Texts travel compressed."""
         for batch in batches:
-            of, first, count, run = pieces(batch.column(3).to_pylist(), length)
-            at = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(run), *(batch.column(i).take(at) for i in range(3)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], placed.names)
+            press = zstandard.ZstdCompressor(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "text", "body"])
 
-    # Stored, so that the join with a frequent run stands alone and its rows can be split.
-    candidates = cut_lineage(docs.where(F.length("body") >= length).mapInArrow(places_of, placed).join(again, "run", "left_semi"))
-    owned = candidates.groupBy(*REPORT).agg(F.collect_set(F.struct("start", "n", "run")).alias("cuts"))  # no more than the text is long
-    same = lambda a, b: (a["last"] == b["last"]) & a["id"].eqNullSafe(b["id"]) & (a["text"] == b["text"])
-    cut_schema = T.StructType([T.StructField("run", long), T.StructField("digest", binary), *report, T.StructField("start", integer), T.StructField("n", integer), T.StructField("piece", binary)])
+    small = T.StructType([kind, T.StructField("text", long), T.StructField("body", binary)])
+    moved = docs.mapInArrow(packed, small)
+    same = F.col("d.id").eqNullSafe(F.col("o.id")) & (F.col("d.text") == F.col("o.text"))
 
     def cut(batches):
+        """Pieces to be sorted, a row per bucket."""
         for batch in batches:
-            of, run, digest, start, count, piece = [], [], [], [], [], []
-            for i, (text, cuts) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            of, starts, key, bodies = [], [], [], []
+            for i, (body_, cuts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                text = zstandard.decompress(body_)
                 for c in cuts:
-                    part = text[c["start"]:c["start"] + c["n"] + length - 1]
-                    of.append(i)
-                    run.append(c["run"])
-                    start.append(c["start"])
-                    count.append(c["n"])
-                    piece.append(part)
-                    digest.append(xxhash.xxh3_128_digest(part))
-            at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(digest, pa.binary()), *(batch.column(c).take(at) for c in range(3)),
-                                              pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(piece, pa.binary())], cut_schema.names)
-
-    texts = docs.where(F.length("body") >= length).alias("d").join(owned.alias("o"), same({c: F.col(f"d.{c}") for c in REPORT}, {c: F.col(f"o.{c}") for c in REPORT}))
-    cuts = cut_lineage(texts.select(*(f"d.{c}" for c in REPORT), "body", "cuts").mapInArrow(cut, cut_schema))
-
-    # Equal pieces are one: the first stays to be sorted, every start of the others is repeated.
-    place = F.struct(*REPORT, "start")
-    firsts = cut_lineage(cuts.groupBy("run", "digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("piece").alias("piece")))
-    copied = cut_lineage(firsts.where("copies > 1").select("run", "digest", "place"))
-    later = cuts.select("run", "digest", *REPORT, "start", "n").join(copied, ["run", "digest"]).where(place != F.col("place"))
-    spans = later.select(*REPORT, F.col("start").alias("first"), (F.col("start") + F.col("n") + (length - 1)).alias("final"))
-
-    sizes = firsts.groupBy("run").agg(F.count(F.lit(1)).alias("distinct"), F.sum(F.length("piece")).alias("bytes")).where("distinct > 1")
-    sizes = cut_lineage(sizes)
-    hot = F.col("bytes") > HOT_BYTES
-    total = sizes.where(~hot).agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    open_ = firsts.join(sizes.where(~hot).select("run"), "run").select(F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("bucket"), "place.*", "piece")
-    span_schema = T.StructType([*report, T.StructField("first", integer), T.StructField("final", integer)])
+                    whole = c["what"] == SORT
+                    for a in (c["start"],) if whole else range(c["start"], c["start"] + c["n"]):
+                        piece = text[a:a + (c["n"] if whole else 1) + length - 1]
+                        of.append(i)
+                        starts.append(a)
+                        bodies.append(piece)
+                        key.append(c["run"] if whole else xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+            if of:
+                bucket = _mixed(np.array(key, dtype=np.int64).view(np.uint64)) % np.uint64(sort_buckets)
+                at = np.array(of)
+                yield _packed_pieces(bucket.astype(np.int64), batch.column(0).take(pa.array(at)), batch.column(1).to_numpy()[at], np.array(starts), bodies)
+
+    texts_ = moved.alias("d").join(owned.where(F.exists("cuts", lambda c: c["what"] != REPEAT)).alias("o"), same)
+    open_cuts = F.filter("cuts", lambda c: c["what"] != REPEAT)
+    cuts = texts_.select("d.id", "d.text", "body", open_cuts.alias("cuts")).mapInArrow(cut, piece_schema)
+    span_type = T.StructType([T.StructField("first", integer), T.StructField("final", integer)])
+    span_schema = T.StructType([kind, T.StructField("text", long), T.StructField("spans", many(span_type))])
 
     def sort_bucket(table: pa.Table) -> pa.Table:
-        batch = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in (*REPORT, "start")])).combine_chunks().to_batches()[0]
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for key in (batch.column(c) for c in REPORT):
-            a, b = key.slice(1), key.slice(0, batch.num_rows - 1)
-            new[1:] |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
-        firsts_ = batch.column("start").to_numpy()
+        ids, (texts, starts, sizes) = _flat(table.column("ids")), (_flat(table.column(c)).to_numpy() for c in ("texts", "starts", "sizes"))
+        data = b"".join(zstandard.decompress(d) for d in table.column("data").to_pylist())
+        ends = np.cumsum(sizes, dtype=np.int64)
+        bodies = [data[b - n:b] for b, n in zip(ends.tolist(), sizes.tolist())]
+        rank = _ranked(ids)
+        order = np.lexsort((starts, texts, rank))
+        other = np.concatenate([[1], (rank[order][1:] != rank[order][:-1]) | (texts[order][1:] != texts[order][:-1])])
+        once = (other == 1) | np.concatenate([[True], starts[order][1:] != starts[order][:-1]])  # a report that is there twice is one
+        order, report = order[once], np.cumsum(other)[once]
         of, first, final = [], [], []
-        for i, flag in enumerate(repeated_starts(batch.column("piece").to_pylist(), np.cumsum(new), firsts_, length)):
+        for i, flag in zip(order, repeated_starts([bodies[i] for i in order], report, starts[order], length)):
             if flag.any():
                 for a, b in zip(*_runs(flag)):
                     of.append(i)
-                    first.append(firsts_[i] + a)
-                    final.append(firsts_[i] + b - 1 + length)
-        at = pa.array(of, pa.int64())
-        return pa.Table.from_arrays([*(batch.column(c).take(at) for c in REPORT), pa.array(first, pa.int32()), pa.array(final, pa.int32())], span_schema.names)
-
-    spans = spans.unionAll(open_.groupBy("bucket").applyInArrow(sort_bucket, span_schema))
-
-    # Passages of a run that too many different pieces share meet one by one.
-    window_schema = T.StructType([T.StructField("print", binary), *report, T.StructField("start", integer)])
-
-    def windows(batches):
-        for batch in batches:
-            of, start, prints = [], [], []
-            for i, (first, piece) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                n = len(piece) - length + 1
-                of += [i] * n
-                start += range(first, first + n)
-                prints += [xxhash.xxh3_128_digest(piece[j:j + length]) for j in range(n)]
-            at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), *(batch.column(c).take(at) for c in range(3)), pa.array(start, pa.int32())], window_schema.names)
-
-    single = firsts.join(sizes.where(hot).select("run"), "run").select("place.*", "piece").mapInArrow(windows, window_schema)
-    earliest = cut_lineage(single.groupBy("print").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "place"))
-    spans = spans.unionAll(single.join(earliest, "print").where(place != F.col("place")).select(*REPORT, F.col("start").alias("first"), (F.col("start") + length).alias("final")))
-    gone = cut_lineage(spans.groupBy(*REPORT).agg(F.array_sort(F.collect_set(F.struct("first", "final"))).alias("gone")))
-
+                    first.append(starts[i] + a)
+                    final.append(starts[i] + b - 1 + length)
+        at = np.array(of, dtype=np.int64)
+        return _per_report(ids.take(pa.array(at)), texts[at], [np.array(first, dtype=np.int32), np.array(final, dtype=np.int32)], span_type.names, span_schema.names)
+
+    repeats = F.transform(F.filter("cuts", lambda c: c["what"] == REPEAT), lambda c: F.struct(c["start"].alias("first"), (c["start"] + c["n"] + (length - 1)).cast("int").alias("final")))
+    spans = owned.select("id", "text", repeats.alias("spans")).unionAll(cuts.groupBy("bucket").applyInArrow(sort_bucket, span_schema))
+    gone = cut_lineage(spans.groupBy("id", "text").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).where("size(spans) > 0"))
     out = T.StructType([T.StructField(id_col, kind.dataType), T.StructField("content_bytes", binary), T.StructField("n_bytes", long), T.StructField("n_removed", long), T.StructField("n_spans", long)])
 
     def remove(batches):
         for batch in batches:
-            kept, sizes_, removed, n_spans = [], [], [], []
-            for text, gone_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts, at, spans_ = [], 0, 0
-                end = -1
-                for span in gone_ or ():
-                    if span["first"] > end:
-                        spans_ += 1
-                        parts.append(text[at:span["first"]])
-                    end = max(end, span["final"])
-                    at = end
-                parts.append(text[at:])
-                rest = b"".join(parts)
-                kept.append(rest)
-                sizes_.append(len(text))
-                removed.append(len(text) - len(rest))
-                n_spans.append(spans_)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes_, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())], out.names)
-
-    whole = docs.alias("d").join(gone.alias("g"), same({c: F.col(f"d.{c}") for c in REPORT}, {c: F.col(f"g.{c}") for c in REPORT}), "left")
-    return whole.select("d.id", "d.body", "gone").mapInArrow(remove, out)
+            rows = []
+            for body_, spans_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                text, parts_, n, at = zstandard.decompress(body_), [], 0, -1
+                for span in spans_ or ():
+                    if span["first"] > at:  # not even touching the run before
+                        parts_.append(text[max(at, 0):span["first"]])
+                        n += 1
+                    at = max(at, span["final"])
+                rest = b"".join([*parts_, text[max(at, 0):]])
+                rows.append((rest, len(text), len(text) - len(rest), n))
+            kept, *numbers = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in numbers)], out.names)
+
+    return moved.alias("d").join(gone.alias("o"), same, "left").select("d.id", "body", "spans").mapInArrow(remove, out)
