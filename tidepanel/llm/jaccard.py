@@ -7,14 +7,16 @@ on prefix tokens; a pair must then also share enough tokens of somewhat longer p
 further, independent orders, and have like parity bitmaps, before its sets are compared.
 
 Equal sets are one node from the start. Pairs within a group are not spelled out: every node is
-paired with one partner, the least node it shares most prefix tokens with; partners that pass the
-filters form families. Candidates of different families are compared pair by pair. A family whose
+paired with a partner in its own class of sizes and in both next to it, the least node there that it
+shares most prefix tokens with; partners that pass the filters form families, and the best one of a
+node is compared. Candidates of different families are compared pair by pair. A family whose
 links leave it in several components is compared in blocks of its nodes, with the same filters as
 matrix products. No link between components is lost, and a large family never meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -328,16 +330,22 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     sets = rows.where("size > 0")
     first = cut_lineage(sets.groupBy("digest").agg(F.min("row").alias("row"), F.min("report").alias("least")))
     nodes = sets.withColumnRenamed("row", "node")
-    postings = nodes.select(F.explode("prefix").alias("token"), "node")
-    leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
+    # Sets that can link are of the same class of sizes or of neighbouring ones.
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int").alias("step")
+    postings = nodes.select(F.explode("prefix").alias("token"), "node", step)
+    again = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     # The least row of a token is the first of its set, so copies can go once only shared tokens are left.
-    shared = postings.join(leaders.select("token", "leader"), "token").join(first.select(F.col("row").alias("node")), "node", "left_semi")
-    shared = cut_lineage(shared.select("token", "node", "leader"))
+    shared = postings.join(again.select("token"), "token").join(first.select(F.col("row").alias("node")), "node", "left_semi")
     slim = nodes.select("node", "size", *PARITY)
-    votes = shared.where("node > leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    partner = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
-    partner = cut_lineage(_passing(partner, nodes, percent))
-    family = cut_lineage(components(partner).select("node", F.col("root").alias("family")))
+    shared = cut_lineage(shared.select("token", "node", "step"))
+    leaders = shared.groupBy("token", "step").agg(F.min("node").alias("leader")).select("token", F.col("step").alias("near"), "leader")
+    votes = shared.join(leaders, "token").where("node > leader and abs(step - near) <= 1")
+    votes = votes.groupBy(F.col("leader").alias("a"), F.col("node").alias("b"), (F.col("near") - F.col("step")).alias("side")).agg(F.count(F.lit(1)).alias("votes"))
+    partner = votes.groupBy("b", "side").agg(F.max_by(F.struct("a", "votes"), F.struct("votes", -F.col("a"))).alias("best"))
+    partner = cut_lineage(partner.select("best.a", "b", "best.votes"))  # three of a node at most
+    kin = cut_lineage(_passing(partner.select("a", "b"), nodes, percent))
+    family = cut_lineage(components(kin).select("node", F.col("root").alias("family")))
+    partner = cut_lineage(kin.join(partner, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b"))
     placed = cut_lineage(shared.select("token", "node").join(family, "node", "left").select("token", "node", F.coalesce("family", "node").alias("family")))
 
     # Pairs of different families that pass all filters; few, as members of a family share what is rare.
@@ -347,7 +355,7 @@ def near_duplicates(reports: DataFrame, *, words: int = 5, percent: int = 80, id
     met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and x.node < y.node and x.family <> y.family and {_alike(percent)}"))
     across = cut_lineage(_passing(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, percent))
     pairs = partner.unionAll(across)
-    held = _few(nodes.select("node", "text_key").join(_few(_ends(pairs)), "node", "left_semi"))
+    held = _few(nodes.select("node", "text_key").join(_few(_ends(pairs.unionAll(kin))), "node", "left_semi"))
     bodies = cut_lineage(texts.select("text_key", "body").join(held, "text_key").dropDuplicates(["node"]).select("node", "body"))
     first_links = cut_lineage(_verified(pairs, bodies, words, percent))
     roots = components(first_links)
