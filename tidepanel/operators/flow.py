@@ -10,16 +10,13 @@ pair of rows is ever materialised.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bound, first_existing, parse_amount, parse_percent, to_yi
 from ..session import cut_lineage
-from . import ranks
+from . import ranks, tiles
 from .windows import Series, latest_per_key, run_lengths
 
 SECTOR = Series("sector_name", "date")
@@ -71,87 +68,48 @@ def most_active(flow: DataFrame, keep: int = 40) -> DataFrame:
 
 def date_index(flow: DataFrame) -> DataFrame:
     """Dense 0-based index of the dates; one row per calendar date."""
-    days = flow.select("date").distinct().withColumn("_one", F.lit(1))
-    return days.select("date", (F.row_number().over(Window.partitionBy("_one").orderBy("date")) - 1).alias("t"))
-
-
-def _vectors(flow: DataFrame, depth: int) -> DataFrame:
-    """One row per date: vectors of the pruned sectors now (v0) and up to ``depth`` dates back."""
-    names = flow.agg(F.array_sort(F.collect_set("sector_name")).alias("names"))
-    per_day = flow.groupBy("date").agg(
-        F.map_from_entries(F.collect_list(F.struct("sector_name", "main_force_net"))).alias("_m"))
-    per_day = per_day.withColumn("names", names.scalar()).join(F.broadcast(date_index(flow)), "date")  # a row per calendar date
-    now = per_day.select("date", "t", "names", F.transform("names", lambda s: F.try_element_at("_m", s)).alias("v0"))
-    now = cut_lineage(now.repartition("t"))
-    out = now
-    for k in range(1, depth + 1):  # an earlier date is found by its index, so rows stay spread over tasks
-        out = out.join(now.select((F.col("t") + k).alias("t"), F.col("v0").alias(f"v{k}")), "t", "left")
-    return out.select("date", "names", *[f"v{k}" for k in range(depth + 1)])
-
-
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in col])
+    return tiles.dense_steps(flow, "date")
 
 
-PAIR_SCHEMA = ("source string, target string, lag int, n double, sx double, sy double, sz double, sxx double, syy double, "
-               "szz double, sxy double, sxz double, syz double, src_pos double, both_pos double")
+#: Sums of a pair: x is the source some dates back, y the target now, z the target one date back.
+PAIR_SUMS = ("n", "sx", "sy", "sz", "sxx", "syy", "szz", "sxy", "sxz", "syz", "src_pos", "both_pos")
 
 
-def _partial_products(depth: int, split: bool):
-    """Partial sums of one partition for x = source (lagged), y = target now, z = target lagged 1."""
+def _lagged_products(depth: int, split: bool):
+    """Terms of :func:`tiles.pair_sums` for every lag up to ``depth``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc, names = {}, None
-        for b in batches:
-            if b.empty:
+    def run(sources: np.ndarray, targets: np.ndarray, before: int):
+        for lag in range(1, depth + 1):
+            now = np.arange(max(before, lag), len(targets))  # an earlier date must be there
+            if not len(now):
                 continue
-            names = list(b["names"].iloc[0])
-            for lag in range(1, depth + 1):
-                rows = b[b[f"v{lag}"].notna() & b["v1"].notna()]
-                if rows.empty:
-                    continue
-                x, y, z = _matrix(rows[f"v{lag}"]), _matrix(rows["v0"]), _matrix(rows["v1"])
-                raw_x, raw_y = x, y
-                if split:
-                    x, y, z = np.clip(-np.nan_to_num(x), 0, None), np.clip(np.nan_to_num(y), 0, None), np.clip(np.nan_to_num(z), 0, None)
-                mx, my = ~np.isnan(x), ~(np.isnan(y) | np.isnan(z))
-                if not split:
-                    my = ~np.isnan(y)
-                x0, y0, z0 = np.where(mx, x, 0.0), np.where(my, y, 0.0), np.where(my, np.nan_to_num(z), 0.0)
-                fx, fy = mx.astype(float), my.astype(float)
-                px, py = (np.nan_to_num(raw_x) > 0).astype(float), (np.nan_to_num(raw_y) > 0).astype(float)
-                parts = [fx.T @ fy, x0.T @ fy, fx.T @ y0, fx.T @ z0, (x0 * x0).T @ fy, fx.T @ (y0 * y0), fx.T @ (z0 * z0),
-                         x0.T @ y0, x0.T @ z0, fx.T @ (y0 * z0), px.T @ np.ones_like(py), px.T @ py]
-                acc[lag] = [p + q for p, q in zip(acc[lag], parts)] if lag in acc else parts
-        for lag, parts in acc.items():
-            k = len(names)
-            i, j = np.divmod(np.arange(k * k), k)
-            keep = i != j
-            arr = np.array(names, dtype=object)
-            data = {"source": arr[i[keep]], "target": arr[j[keep]], "lag": np.int32(lag)}
-            for c, p in zip(PAIR_SCHEMA.split(", ")[3:], parts):
-                data[c.split(" ")[0]] = p.ravel()[keep]
-            yield pd.DataFrame(data)
+            x, y, z = sources[now - lag], targets[now], targets[now - 1]
+            px, py = (np.nan_to_num(x) > 0).astype(float), (np.nan_to_num(y) > 0).astype(float)
+            if split:
+                x, y, z = np.clip(-np.nan_to_num(x), 0, None), np.clip(np.nan_to_num(y), 0, None), np.clip(np.nan_to_num(z), 0, None)
+            fx, fy = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.nan_to_num(x), np.nan_to_num(y)
+            z = np.where(fy > 0, np.nan_to_num(z), 0.0)
+            yield lag, [fx.T @ fy, x.T @ fy, fx.T @ y, fx.T @ z, (x * x).T @ fy, fx.T @ (y * y), fx.T @ (z * z),
+                        x.T @ y, x.T @ z, fx.T @ (y * z), px.T @ np.ones_like(py), px.T @ py]
 
     return run
 
 
-def pair_statistics(flow: DataFrame, depth: int = 1, split: bool = False, keep: int | None = None) -> DataFrame:
+def pair_statistics(flow: DataFrame, depth: int = 1, split: bool = False, keep: int | None = None, tile: int = tiles.TILE_KEYS) -> DataFrame:
     """Centred second moments for every ordered sector pair and lag 1..depth.
 
     ``split`` uses source outflow and target inflow (missing = 0); else raw net flows with
     missing dates excluded. Values are scaled by each sector's mean size before the
     products, so the sums stay well conditioned; correlations and F are scale free.
+    Pairs are worked out a tile of ``tile`` x ``tile`` sectors at a time.
     """
     pruned = flow if keep is None else most_active(flow, keep)
     scale = pruned.groupBy("sector_name").agg(F.avg(F.abs("main_force_net")).alias("_u"))
-    scaled = pruned.join(F.broadcast(scale), "sector_name").withColumn(
-        "main_force_net", F.try_divide(F.col("main_force_net"), F.col("_u")))
-    sums = _vectors(scaled.select("date", "sector_name", "main_force_net"), depth).mapInPandas(
-        _partial_products(depth, split), PAIR_SCHEMA)
-    cols = [c.split(" ")[0] for c in PAIR_SCHEMA.split(", ")[3:]]
-    s = sums.groupBy("source", "target", "lag").agg(*[F.sum(c).alias(c) for c in cols])
-    n = F.col("n")
+    scaled = pruned.join(scale, "sector_name").withColumn("main_force_net", F.try_divide(F.col("main_force_net"), F.col("_u")))
+    panel = scaled.join(F.broadcast(date_index(pruned)), "date").select("sector_name", "t", "main_force_net")  # a row per calendar date
+    s = tiles.pair_sums(panel, "sector_name", "main_force_net", _lagged_products(depth, split), PAIR_SUMS, depth=depth, tile=tile)
+    n = F.nullif(F.col("n"), F.lit(0.0))  # no date in common: no moments
     mom = {f"c{a}{b}": F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / n
            for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))}
     return s.select("source", "target", "lag", "n", "src_pos", "both_pos", *[c.alias(k) for k, c in mom.items()])

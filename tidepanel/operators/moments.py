@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
+from ..session import cut_lineage
+from . import tiles
 
 #: Nodes of a block in all-against-all products.
 BLOCK_NODES = 1024
@@ -86,38 +88,23 @@ def prune_correlated(df: DataFrame, cols: Sequence[str], limit: float = 0.85) ->
     return [cols[i] for i in kept] if len(kept) >= 3 else list(cols)
 
 
-KEY_PAIRS = "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double"
+KEY_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def key_covariance(df: DataFrame, day: str, key: str, value: str) -> DataFrame:
-    """Covariance and correlation of the value series of every key pair (both present).
+def _products(x: np.ndarray, y: np.ndarray, before: int):
+    fx, fy, x, y = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float), np.nan_to_num(x), np.nan_to_num(y)
+    yield 0, [fx.T @ fy, x.T @ fy, fx.T @ y, (x * x).T @ fy, fx.T @ (y * y), x.T @ y]
 
-    The caller bounds the keys (a top-N universe). One vector per date, matrix products
-    inside the tasks, sums across tasks.
-    """
-    names = df.agg(F.array_sort(F.collect_set(key)).alias("names"))
-    days = df.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_m"))
-    vec = days.withColumn("names", names.scalar()).select("names", F.transform("names", lambda s: F.try_element_at("_m", s)).alias("v"))
-
-    def products(batches):
-        acc = keys = None
-        for b in batches:
-            if b.empty:
-                continue
-            keys = list(b["names"].iloc[0])
-            x = np.array([np.asarray(v, dtype=float) for v in b["v"]])
-            m = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            parts = [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
-            acc = parts if acc is None else [p + q for p, q in zip(acc, parts)]
-        if acc is not None:
-            i, j = np.triu_indices(len(keys))
-            arr = np.array(keys, dtype=object)
-            names_ = ("n", "sx", "sy", "sxx", "syy", "sxy")
-            yield pd.DataFrame({"a": arr[i], "b": arr[j], **{c: p[i, j] for c, p in zip(names_, acc)}})
-
-    s = vec.mapInPandas(products, KEY_PAIRS).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    s = s.where(F.col("n") >= 2)
+
+def key_covariance(df: DataFrame, day: str, key: str, value: str, tile: int = tiles.TILE_KEYS) -> DataFrame:
+    """Covariance and correlation of the value series of every key pair (both present), a tile of ``tile`` x ``tile``
+    keys at a time; the caller bounds the keys by the number of pairs that are wanted. Of rows with equal key and
+    date one counts."""
+    panel = df.join(F.broadcast(tiles.dense_steps(df, day)), day).select(key, "t", value)  # a row per calendar date
+    s = tiles.pair_sums(panel, key, value, _products, KEY_SUMS, ordered=False, tile=tile).where(F.col("n") >= 2)
+    swap = F.col("source") > F.col("target")  # tiles are not in the order of names
+    s = s.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "n", "sxy", *(
+        F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c) for c, d in (("sx", "sy"), ("sy", "sx"), ("sxx", "syy"), ("syy", "sxx"))))
     centred = lambda p, x, y: F.col(p) - F.col(x) * F.col(y) / F.col("n")
     cov = centred("sxy", "sx", "sy") / (F.col("n") - 1)
     den = F.sqrt(centred("sxx", "sx", "sx") * centred("syy", "sy", "sy"))
@@ -125,40 +112,129 @@ def key_covariance(df: DataFrame, day: str, key: str, value: str) -> DataFrame:
                     F.try_divide(centred("sxy", "sx", "sy"), den).alias("corr"))
 
 
+#: Directions that nodes gather around at most, and clusters whose bounds are compared at once.
+MOST_PIVOTS, BOUND_CLUSTERS = 1024, 512
+#: Nodes of the sample per pivot.
+PIVOT_SAMPLE = 8
+#: Rounding that bounds allow for.
+ROOM = 1e-9
+
+
+def _directions(rows: pd.Series) -> np.ndarray:
+    """Centred rows of unit length; rows without spread are zero."""
+    m = np.stack(rows.to_numpy())
+    m = m - m.mean(axis=1, keepdims=True)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def _spread(m: np.ndarray, wanted: int) -> np.ndarray:
+    """Directions chosen one by one, each the one least like those before, signs aside."""
+    chosen, near = [0], np.abs(m @ m[0])
+    while len(chosen) < min(wanted, len(m)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, np.abs(m @ m[chosen[-1]]))
+    return m[chosen]
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column)).reshape(len(column), -1)
+
+
+def node_clusters(nodes: DataFrame, key: str, features: Sequence[str], threshold: float, k: int, block: int) -> DataFrame:
+    """Clusters of at most about ``block`` nodes of like direction: ``cluster``, ``names``, ``vectors``, ``centre``,
+    ``radius`` (largest angle of a node to the centre, signs aside), ``floors`` (what a node's k-th correlation is at
+    least, from its own cluster) and ``floor`` (the least of them)."""
+    x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    stats = nodes.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x(c)).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(x(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    z = F.array(*[(x(c) - F.lit(stats[f"m{i}"] or 0.0)) / F.lit((stats[f"s{i}"] or 0.0) + 1e-8) for i, c in enumerate(features)])
+    rows = cut_lineage(nodes.select(F.col(key).cast("string").alias("node"), z.alias("z")).where("node is not null"))
+    wanted = min(MOST_PIVOTS, -(-stats["n"] // block))
+    share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < -(-PIVOT_SAMPLE * wanted * (1 << 20) // max(stats["n"], 1)) + 1
+    sample = [r["z"] for r in rows.where(share).orderBy("node").select("z").limit(PIVOT_SAMPLE * MOST_PIVOTS).collect()]  # only where clusters lie depends on it
+    pivots = rows.sparkSession.sparkContext.broadcast(_spread(_directions(pd.Series(sample)), wanted) if sample else np.zeros((1, len(features))))
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                m = _directions(pdf["z"])
+                if threshold > 0:  # what has no direction correlates with nothing
+                    pdf, m = pdf[m.any(axis=1)], m[m.any(axis=1)]
+                yield pd.DataFrame({"near": np.abs(m @ pivots.value.T).argmax(axis=1), "node": pdf["node"].to_numpy(), "vector": [v.tobytes() for v in m]})
+
+    placed = cut_lineage(rows.mapInPandas(place, "near int, node string, vector binary"))
+    parts = placed.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("parts"))
+    split = placed.join(F.broadcast(parts), "near")  # a row per pivot
+    split = split.withColumn("cluster", F.col("near").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts")))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, names = _vectors(pdf["vector"]), pdf["node"].to_numpy()
+        c = np.abs(np.round(m @ m.T, 12))
+        c[names[:, None] == names[None, :]] = -1.0
+        floors = np.maximum(threshold, np.partition(c, -k, axis=1)[:, -k] if len(m) > k else -1.0) * np.ones(len(m))
+        centre = (np.where(m @ m[0] < 0, -1.0, 1.0)[:, None] * m).sum(axis=0)
+        centre = centre / (np.linalg.norm(centre) or 1.0)
+        radius = float(np.arccos(np.clip(np.abs(m @ centre), 0, 1)).max()) if threshold > 0 else np.pi
+        return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1].to_numpy(), "names": [names.tolist()], "vectors": [m.tobytes()], "centre": [centre.tobytes()], "radius": [radius],
+                             "floors": [floors.tolist()], "floor": [floors.min()]})
+
+    return cut_lineage(split.groupBy("cluster").applyInPandas(
+        pack, "cluster long, names array<string>, vectors binary, centre binary, radius double, floors array<double>, floor double"))
+
+
+def cluster_pairs(clusters: DataFrame) -> DataFrame:
+    """Pairs (``low``, ``high``) of clusters that can hold neighbours of each other: by the triangle inequality two
+    nodes are no closer than their centres less both radii, and a pair is left out where the correlation
+    of that angle is below what every node of both already has."""
+    slim = clusters.select("cluster", "centre", "radius", "floor")
+    parts = max(1, -(-slim.count() // BOUND_CLUSTERS))
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    slim = slim.select(F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") <= F.col("other")).alias("left"), "cluster", "centre", "radius", "floor")
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf[pdf["left"]]
+        two = pdf[~pdf["left"]] if (~pdf["left"]).any() else one
+        if one.empty or two.empty or (pdf["x"].iloc[0] != pdf["y"].iloc[0] and two is one):
+            return pd.DataFrame({"low": [], "high": []})
+        angle = np.arccos(np.clip(np.abs(_vectors(one["centre"]) @ _vectors(two["centre"]).T), 0, 1))
+        angle = np.clip(angle - one["radius"].to_numpy()[:, None] - two["radius"].to_numpy()[None, :], 0, None)
+        least = np.minimum(one["floor"].to_numpy()[:, None], two["floor"].to_numpy()[None, :])
+        i, j = np.nonzero(np.cos(angle) >= least - ROOM)
+        a, b = one["cluster"].to_numpy()[i], two["cluster"].to_numpy()[j]
+        return pd.DataFrame({"low": np.minimum(a, b), "high": np.maximum(a, b)}).drop_duplicates()
+
+    return slim.groupBy("x", "y").applyInPandas(bound, "low long, high long")
+
+
 def neighbour_graph(nodes: DataFrame, key: str, features: Sequence[str], threshold: float = 0.6, k: int = 20, block: int = BLOCK_NODES) -> DataFrame:
     """Undirected edges (a, b, corr) between nodes whose standardised feature rows correlate: for each
     node its ``k`` largest absolute correlations (ties by name) of at least ``threshold``.
 
-    Every node is a query against all others, so the work is quadratic by definition. Nodes fall into
-    blocks by a hash; two blocks meet in one task, which keeps at most ``k`` partners per node, so
-    memory is bounded and no matrix of all nodes exists anywhere.
+    Nodes gather in clusters of like direction (:func:`node_clusters`), and only pairs of clusters whose bounds
+    allow a neighbour are compared (:func:`cluster_pairs`), each in a task of its own that keeps at most ``k``
+    partners per node. The pruning is exact; rows without any direction leave nothing to prune.
     """
-    x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    stats = nodes.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x(c)).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(x(c)).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    parts = max(1, -(-stats["n"] // block))
-    z = F.array(*[(x(c) - F.lit(stats[f"m{i}"] or 0.0)) / F.lit((stats[f"s{i}"] or 0.0) + 1e-8) for i, c in enumerate(features)])
-    rows = nodes.select(F.col(key).cast("string").alias("node"), z.alias("z")).where("node is not null")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
-    meets = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    meets = meets.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("left"), "node", "z")
+    clusters = node_clusters(nodes, key, features, threshold, k, block)
+    pairs = cluster_pairs(clusters)
+    held = clusters.select(F.col("cluster").alias("own"), "names", "vectors", "floors")
+    meets = pairs.join(held, F.col("low") == F.col("own")).withColumn("left", F.lit(True)).unionAll(
+        pairs.where("low <> high").join(held, F.col("high") == F.col("own")).withColumn("left", F.lit(False)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["z"].to_numpy())
-        m = m - m.mean(axis=1, keepdims=True)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-        names = pdf["node"].to_numpy()
-        one = np.flatnonzero(pdf["left"].to_numpy())
-        two = np.flatnonzero(~pdf["left"].to_numpy()) if (~pdf["left"]).any() else one
+        sides = []
+        for row in pdf.sort_values("left", ascending=False).itertuples():
+            names = np.array(list(row.names), dtype=object)
+            order = np.argsort(names)
+            sides.append((names[order], np.frombuffer(row.vectors).reshape(len(names), -1)[order], np.array(list(row.floors))[order]))
         found = []
-        for mine, theirs in ((one, two), (two, one))[: 1 if one is two else 2]:
-            order = theirs[np.argsort(names[theirs])]
-            c = np.round(m[mine] @ m[order].T, 12)
-            c[names[mine][:, None] == names[order][None, :]] = 0.0
+        for mine, theirs in [(sides[0], sides[-1]), (sides[-1], sides[0])][:len(sides)]:
+            c = np.round(mine[1] @ theirs[1].T, 12)
+            c[mine[0][:, None] == theirs[0][None, :]] = 0.0
             best = np.argsort(-np.abs(c), axis=1, kind="stable")[:, :k]
-            i, j = np.nonzero(np.abs(np.take_along_axis(c, best, 1)) >= threshold)
+            near = np.abs(np.take_along_axis(c, best, 1))
+            i, j = np.nonzero((near >= threshold) & (near >= mine[2][:, None]))
             j = best[i, j]
-            found.append(pd.DataFrame({"node": names[mine[i]], "near": names[order[j]], "corr": c[i, j]}))
+            found.append(pd.DataFrame({"node": mine[0][i], "near": theirs[0][j], "corr": c[i, j]}))
         return pd.concat(found)
 
     pairs = meets.groupBy("low", "high").applyInPandas(compare, "node string, near string, corr double").where("node <> near")
