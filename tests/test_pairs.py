@@ -83,3 +83,30 @@ def test_pruned_graph_equals_brute_force(spark, threshold, k, monkeypatch):
     n = clusters.count()
     met = moments.cluster_pairs(clusters).distinct().count()
     assert n >= 12 and (met <= 0.5 * n * (n + 1) / 2 if threshold > 0 else met == n * (n + 1) / 2)  # at least half is skipped
+
+
+def test_contained_pairs_equal_plain_search(spark):
+    from tidepanel.operators import joins
+
+    rng = np.random.default_rng(4)
+    word = lambda lo, hi: "".join(rng.choice(list("abcé "), rng.integers(lo, hi)))
+    texts, names = [word(0, 12) for _ in range(200)] + [None, "", "日本語"], [word(0, 5) for _ in range(80)] + [None, "本", "日本語日"]
+    left = spark.createDataFrame([(x, 1) for x in texts], "t string, name string")
+    right = spark.createDataFrame([(x, 1) for x in names], "n string, text string")
+    want = {(t, n) for t in texts for n in names if t is not None and n is not None and n in t}
+    out = joins.contained_pairs(left, "t", right, "n")
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    hits = {(r.t, r.hit) for r in joins.fuzzy_match(left, "t", right, "n", "hit").collect()}
+    known = sorted({n for n in names if n is not None})
+    assert hits == {(t, next((n for n in known if t is not None and (n in t or t in n)), None)) for t in texts}
+    plan = joins.fuzzy_match(left, "t", right, "n", "hit")._jdf.queryExecution().executedPlan().toString()
+    assert "scalar-subquery" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_alias_match_takes_exact_then_first(spark):
+    from tidepanel.operators import joins
+
+    aliases = spark.createDataFrame([("ab", "T1", 2), ("b", "T2", 1), ("abc", "T3", 3), ("abc", "T0", 3)], "alias string, target string, prio int")
+    df = spark.createDataFrame([("abc",), (" abc ",), ("xab",), ("zz",), (None,), ("",)], "s string")
+    assert {(r.s, r.o) for r in joins.alias_match(df, "s", aliases, "o").collect()} == {("abc", "T0"), (" abc ", "T0"), ("xab", "T2"), ("zz", "zz"), (None, None), ("", "")}

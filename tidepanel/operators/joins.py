@@ -93,26 +93,58 @@ def estimate_missing(df: DataFrame) -> DataFrame:
     return j.withColumn("total_mv", F.when(F.col("_e.total_mv"), mv).otherwise(F.col("total_mv"))).drop("_e")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters."""
+    last = F.length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained_pairs(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Every pair (``text``, ``name``) of distinct values where the text contains the name.
+
+    A posting join: a name meets the texts that hold the rarest of its pieces of three characters (all
+    of it, if it is shorter), counted over the texts, and is then compared. A name with a piece that no text holds
+    meets none; an empty name is its own piece, in every text. Neither side is gathered in one row or sent whole to the tasks.
+    """
+    held = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
+    asked = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    sizes = (F.struct(F.lit(size).alias("size"), (_grams(F.col("text"), size) if size else F.array(F.lit(""))).alias("pieces")) for size in range(4))
+    lengths = asked.select(F.least(F.length("name"), F.lit(3)).alias("size")).distinct()  # four rows at most
+    postings = held.select("text", F.explode(F.array(*sizes)).alias("g")).join(F.broadcast(lengths), F.col("g.size") == F.col("size"), "left_semi")
+    postings = postings.select("text", F.explode("g.pieces").alias("piece"))
+    found = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("texts"))
+    own = F.when(F.length("name") >= 3, _grams(F.col("name"), 3)).otherwise(F.array("name"))
+    pieces = asked.select("name", F.explode(own).alias("piece")).join(found, "piece", "left")
+    rarest = pieces.groupBy("name").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "piece")).alias("p")).where("p.texts > 0")
+    return rarest.select("name", F.col("p.piece").alias("piece")).join(postings, "piece").where(F.col("text").contains(F.col("name"))).select("text", "name")
+
+
 def alias_match(df: DataFrame, col: str, aliases: DataFrame, out: str) -> DataFrame:
     """Alias table lookup: exact first, else the first alias contained, else the text itself.
 
-    aliases: (alias, target, prio), a fixed dictionary; it travels as one sorted array.
+    aliases: (alias, target, prio); the first one has the least prio, then the least alias and target.
     """
-    exact = aliases.select(F.trim("alias").alias("_k"), F.col("target").alias("_exact"))
-    packed = aliases.agg(F.array_sort(F.collect_list(F.struct("prio", "alias", "target"))).alias("packed"))
     t = F.trim(F.col(col))
-    j = df.withColumn("_k", t).join(F.broadcast(exact), "_k", "left").withColumn("_a", packed.scalar())
-    part = F.get(F.filter("_a", lambda x: F.col("_k").contains(x["alias"])), F.lit(0))["target"]
-    return j.withColumn(out, F.coalesce("_exact", part, "_k")).drop("_k", "_exact", "_a")
+    first = F.min(F.struct("prio", "alias", "target"))["target"]
+    exact = aliases.groupBy(F.trim("alias").alias("_k")).agg(first.alias("_exact"))
+    keys = df.select(t.alias("_k")).distinct()
+    pairs = contained_pairs(keys, "_k", aliases, "alias").withColumnsRenamed({"text": "_k", "name": "alias"})
+    part = pairs.join(aliases, "alias").groupBy("_k").agg(first.alias("_part"))
+    j = df.withColumn("_k", t).join(exact, "_k", "left").join(part, "_k", "left")
+    return j.withColumn(out, F.coalesce("_exact", "_part", "_k")).drop("_k", "_exact", "_part")
+
+
+def first_names(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``text`` and ``hit``: the first name (sorted) that contains the text or is contained in it, where there is one."""
+    inside = contained_pairs(texts, text, names, name)
+    around = contained_pairs(names, name, texts, text).select(F.col("name").alias("text"), F.col("text").alias("name"))
+    return inside.unionAll(around).groupBy("text").agg(F.min("name").alias("hit"))
 
 
 def fuzzy_match(df: DataFrame, col: str, names: DataFrame, name: str, out: str) -> DataFrame:
-    """First name (sorted) that contains the text or is contained in it; names is a small
-    dimension and travels as one sorted array, so no pair of rows is built."""
-    j = df.withColumn("_a", names.agg(F.array_sort(F.collect_set(name)).alias("packed")).scalar())
-    t = F.col(col)
-    hit = F.get(F.filter("_a", lambda x: t.contains(x) | x.contains(t)), F.lit(0))
-    return j.withColumn(out, hit).drop("_a")
+    """First name (sorted) that contains the text or is contained in it."""
+    hits = first_names(df, col, names, name).select(F.col("text").alias("_k"), F.col("hit").alias("_hit"))
+    return df.join(hits, F.col(col) == F.col("_k"), "left").withColumn(out, F.col("_hit")).drop("_k", "_hit")
 
 
 def merge_rankings(today: DataFrame, five: DataFrame, ten: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bound
+from .joins import fuzzy_match
 from .windows import Series
 
 SERIES = Series("series_name", "obs_date")
@@ -168,19 +169,16 @@ def transmission(latest: DataFrame, chains: list[tuple[str, list[tuple[str, floa
 def theme_directions(latest: DataFrame, rules: DataFrame, flow_names: DataFrame, research: DataFrame, keep: int = 8) -> DataFrame:
     """Rule table joined with series trends; themes scored and confirmed by flow and research.
 
-    rules: series_name, want, themes array, weight, reason. The two name tables are small
-    dimensions (sectors, tags); substring matches run against their collected list.
+    rules: series_name, want, themes array, weight, reason. A theme is confirmed by the first sector or tag
+    that contains it or is contained in it (:func:`joins.fuzzy_match`).
     """
     t = latest.select("series_name", trend(F.col("chg_20")).alias("want"))
     hit = rules.join(t, ["series_name", "want"]).select(F.explode("themes").alias("direction"), "weight", "reason", "rule_id")
     s = hit.groupBy("direction").agg(F.sum("weight").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "reason"))), lambda x: x["reason"]).alias("reasons"))
-    names = flow_names.agg(F.array_sort(F.collect_set("sector_name")).alias("names"))
-    tags = research.agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("tags"))
-    s = s.withColumns({"_f": names.scalar(), "_t": tags.scalar()})
-    near = lambda arr: F.get(F.filter(arr, lambda x: F.col("direction").contains(x) | x.contains(F.col("direction"))), F.lit(0))
-    s = s.withColumns({"flow_hit": near(F.col("_f")), "research_hit": near(F.array_sort(F.map_keys("_t")))})
-    s = s.withColumns({"confirms": F.col("flow_hit").isNotNull().cast("int") + F.col("research_hit").isNotNull().cast("int"),
-                       "research_count": F.coalesce(F.try_element_at("_t", F.col("research_hit")), F.lit(0))})
+    for hit, names, name in (("flow_hit", flow_names, "sector_name"), ("research_hit", research, "tag")):
+        s = fuzzy_match(s, "direction", names, name, hit)
+    s = s.join(research.select(F.col("tag").alias("research_hit"), F.col("n").alias("_n")), "research_hit", "left")
+    s = s.withColumns({"confirms": F.col("flow_hit").isNotNull().cast("int") + F.col("research_hit").isNotNull().cast("int"), "research_count": F.coalesce("_n", F.lit(0))})
     s = s.withColumn("level", F.when(F.col("confirms") >= 2, "strong").when(F.col("confirms") == 1, "medium").otherwise("weak"))
     return s.orderBy(F.col("confirms").desc(), F.col("score").desc(), "direction").limit(keep).select(
         "direction", F.round("score", 1).alias("score"), "reasons", "flow_hit", "research_hit", "research_count", "confirms", "level")

@@ -370,6 +370,31 @@ def fuzzy_lookup(spark, sf):
     return jn.fuzzy_match(d, "k", t(spark, sf, "nation"), "n_name", "hit").select("source", "hit")
 
 
+PART_CODES = "pc as (select distinct lpad(cast(p_partkey as varchar), 4, '0') code, p_brand, p_size from part)"
+
+
+def part_codes(spark, sf):
+    """A large dictionary: four digits of every part key."""
+    code = F.lpad(F.col("p_partkey").cast("string"), 4, "0")
+    return t(spark, sf, "part").select(code.alias("code"), "p_brand", "p_size").distinct()
+
+
+@query("part_code_lookup", f"""with {PART_CODES}
+  select c_custkey, (select min(code) from pc where contains(c_name, code) or contains(code, c_name)) code from customer""")
+def part_code_lookup(spark, sf):
+    """First part code inside every customer's name."""
+    return jn.fuzzy_match(t(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", part_codes(spark, sf), "code", "code").select("c_custkey", "code")
+
+
+@query("part_alias_lookup", f"""with {PART_CODES}
+  select c_custkey, coalesce((select p_brand from pc where code = trim(c_name) order by p_size, code, p_brand limit 1),
+    (select arg_min(p_brand, (p_size, code, p_brand)) from pc where contains(trim(c_name), code)), trim(c_name)) brand from customer""")
+def part_alias_lookup(spark, sf):
+    """Brand of the first part code, by size, inside every customer's name."""
+    aliases = part_codes(spark, sf).select(F.col("code").alias("alias"), F.col("p_brand").alias("target"), F.col("p_size").alias("prio"))
+    return jn.alias_match(t(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", aliases, "brand").select("c_custkey", "brand")
+
+
 @query("merged_rankings", v.with_views("""
   select s.sector_name, main_force_net, n5, n10 from (select * from sector_flow where "date" = date '2000-05-01') s left join (select sector_name, a.main_force_net n5, b.main_force_net n10 from
     (select * from sector_flow where "date" = date '2000-04-01') a full join (select * from sector_flow where "date" = date '2000-03-01') b using (sector_name)) m using (sector_name)""", "sector_flow"))
