@@ -561,3 +561,13 @@ def stream_upserts(spark, sf):
     s = sj.table_stream(spark, sf, "events.parquet").select("user_id", "event_type", "ts", "value")
     sj.upsert_log(s, f"{path}/log", ["user_id", "event_type"], "ts", f"{path}/ckpt").awaitTermination()
     return sj.read_upserts(spark, f"{path}/log", ["user_id", "event_type"], "ts").select("user_id", "event_type", "value")
+
+
+@query("stream_upserts_compacted", "select user_id, event_type, arg_max(value, ts) as value from events group by 1, 2")
+def stream_upserts_compacted(spark, sf):
+    """The same over many batches, with the log compacted on the way."""
+    path, keys = _shared(spark, "upserts"), ["user_id", "event_type"]
+    t(spark, sf, "events").select("user_id", "event_type", "ts", "value").repartition(6, "event_id").write.parquet(f"{path}/source")
+    s = sj.table_stream(spark, f"{path}/source", "*.parquet")
+    sj.upsert_log(s, f"{path}/log", keys, "ts", f"{path}/ckpt", compact_every=4).awaitTermination()
+    return sj.read_upserts(spark, f"{path}/log", keys, "ts").select("user_id", "event_type", "value")

@@ -7,15 +7,14 @@ kept by Spark's state store with watermarks, so a lost executor only replays its
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.windows import latest_per_key
 from ..session import checkpoint_dir
+from . import levels, ordered
 
 
 def table_stream(spark: SparkSession, folder: str, file_glob: str, per_trigger: int = 1) -> DataFrame:
@@ -63,70 +62,44 @@ def without_duplicates(rows: DataFrame, keys: Sequence[str], ts: str, late: str
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-PEAK_OUT = "code string, ts timestamp, close double, peak double, drawdown double, signal boolean"
-
-
-def trailing_peaks(prices: DataFrame, drop: float = 0.12, rise: float = 1.05) -> DataFrame:
+def trailing_peaks(prices: DataFrame, drop: float = 0.12, rise: float = 1.05, late: str = "0 seconds", idle_days: int = 365) -> DataFrame:
     """Per position: running peak since entry and the trailing-stop signal.
 
-    Input columns: code, ts, close (the first close seen is the entry price). A step sees the
-    rows of one position in one micro-batch, which the source's trigger limit bounds.
+    Input columns: code, ts, close (the first close is the entry price); rows with a null in them are left out.
+    Rows count in the order of ``ts`` however they arrive, if no later than ``late``; a position without rows for
+    ``idle_days`` is forgotten, and its next close is an entry price again.
     """
+    processor = ordered.TrailingPeaks(idle_days * 86_400_000, drop, rise)
+    return ordered.run(prices, "code", "close", "ts", processor, "code string, at long, close double, peak double, drawdown double, signal boolean", late)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entry, peak = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        if entry is None:
-            entry = peak = float(rows["close"].iloc[0])
-        running = rows["close"].cummax().clip(lower=peak)
-        down = (running - rows["close"]) / running
-        state.update((entry, float(running.iloc[-1])))
-        yield pd.DataFrame({"code": key[0], "ts": rows["ts"], "close": rows["close"], "peak": running, "drawdown": down,
-                            "signal": (running > entry * rise) & (down >= drop)})
-
-    return prices.groupBy("code").applyInPandasWithState(step, PEAK_OUT, "entry double, peak double", "append", GroupStateTimeout.NoTimeout)
-
-
-IC_OUT = "factor string, ts timestamp, ic double, ic_mean double, ir double, low_ic boolean"
-
-
-def ic_monitor(ics: DataFrame, keep: int = 20, alarm: float = 0.02) -> DataFrame:
-    """Last ``keep`` ICs per factor in state: rolling mean, IR and the low-IC alarm."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        series = pd.Series(past + rows["ic"].tolist())
-        roll = series.rolling(keep, min_periods=1)
-        ir = roll.mean() / (roll.std(ddof=0) + 1e-9)
-        low = series.abs().rolling(3, min_periods=3).max() < alarm
-        state.update((series.tail(keep).tolist(),))
-        cut = len(past)
-        yield pd.DataFrame({"factor": key[0], "ts": rows["ts"].to_numpy(), "ic": rows["ic"].to_numpy(), "ic_mean": roll.mean().to_numpy()[cut:],
-                            "ir": ir.to_numpy()[cut:], "low_ic": low.to_numpy()[cut:]})
 
-    return ics.groupBy("factor").applyInPandasWithState(step, IC_OUT, "history array<double>", "append", GroupStateTimeout.NoTimeout)
+def ic_monitor(ics: DataFrame, keep: int = 20, alarm: float = 0.02, late: str = "0 seconds", idle_days: int = 365) -> DataFrame:
+    """Last ``keep`` ICs per factor in state: rolling mean, IR and the low-IC alarm; order and expiry as for
+    :func:`trailing_peaks`."""
+    processor = ordered.IcMonitor(idle_days * 86_400_000, keep, alarm)
+    return ordered.run(ics, "factor", "ic", "ts", processor, "factor string, at long, ic double, ic_mean double, ir double, low_ic boolean", late)
 
 
-def upsert_log(stream: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str):
+def upsert_log(stream: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str, compact_every: int | None = None):
     """Append each batch, reduced to one row per key, to a log partitioned by batch.
 
-    A replayed batch overwrites its own partition only, so the sink is idempotent; nothing
-    stored is rewritten. ``read_upserts`` resolves the newest version per key.
+    A replayed batch overwrites its own partition only, so the sink is idempotent. With ``compact_every``, so many
+    batches are merged into key-ranged runs (:mod:`levels`). ``read_upserts`` resolves the newest version per key.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c not in keys and c != order]
         latest_per_key(batch, list(keys), order, rest).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        if compact_every:
+            levels.compact(batch.sparkSession, path, keys, order, fan=compact_every)
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> DataFrame:
-    log = spark.read.parquet(path)
-    rest = [c for c in log.columns if c not in keys and c not in (order, "batch")]
-    return latest_per_key(log, list(keys), order, ["batch", *rest]).drop("batch")
+def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], order: str, low=None, high=None) -> DataFrame:
+    """Newest row per key, of the keys whose first column lies in the bounds, where given."""
+    return levels.read(spark, path, keys, order, low, high)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
