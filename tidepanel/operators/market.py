@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bound, is_blank
+from ..session import cut_lineage
 from . import ranks
 from .windows import Series
 from .xsection import join_stats
@@ -147,24 +148,23 @@ def market_states(series: DataFrame, key: str, order: str, price: str, look: int
     return df.where(F.col("_i") >= look).drop("_i").withColumns({"dd_state": drawdown_bucket(F.col("dd")), "r20_state": momentum_bucket(F.col("r20"))})
 
 
-def state_probabilities(states: DataFrame, key: str, min_samples: int = 15) -> DataFrame:
-    """Forward distribution per state; order statistics are taken by position, not
-    interpolated. One state holds at most the rows of one calendar-bounded series."""
-    aggs = [F.count("f20").alias("samples"), F.avg(F.when(F.col("f5").isNotNull(), (F.col("f5") > 0).cast("double"))).alias("rebound_5"),
-            F.avg(F.when(F.col("f20").isNotNull(), (F.col("f20") < -5).cast("double"))).alias("below_5_in_20")]
+def state_probabilities(states: DataFrame, key: str, min_samples: int = 15, group_rows: int | None = None) -> DataFrame:
+    """Forward distribution per state; order statistics are taken by position (:func:`ranks.order_statistics`), not
+    interpolated. A state may hold any share of the rows; ``group_rows`` is the size of the widest one, if known."""
+    by, finished = [key, "dd_state", "r20_state"], F.col("f20").isNotNull()
+    df = states.select(*by, "f20", *[F.when(finished, F.col(f"f{h}")).alias(f"v{h}") for h in (5, 20, 60)], F.col("f5").alias("f5"))
+    share = lambda c, hit: F.avg(F.when(F.col(c).isNotNull(), hit.cast("double")))
+    aggs = [F.count("f20").alias("samples"), share("f5", F.col("f5") > 0).alias("rebound_5"), share("f20", F.col("f20") < -5).alias("below_5_in_20")]
     for h in (5, 20, 60):
-        v = F.when(F.col("f20").isNotNull(), F.col(f"f{h}"))
-        aggs += [F.avg(v).alias(f"mean_{h}"), F.avg(F.when(v.isNotNull(), (v > 0).cast("double"))).alias(f"up_{h}"), F.sort_array(F.collect_list(v)).alias(f"_v{h}")]
-    t = states.groupBy(key, "dd_state", "r20_state").agg(*aggs)
-    at = lambda h, q: F.get(F.col(f"_v{h}"), F.least(F.floor(F.size(f"_v{h}") * q), F.size(f"_v{h}") - 1).cast("int"))
+        aggs += [F.avg(f"v{h}").alias(f"mean_{h}"), share(f"v{h}", F.col(f"v{h}") > 0).alias(f"up_{h}")]
+    places = ranks.order_statistics(df, by, {f"p{int(100 * q)}_{h}": (f"v{h}", q) for h in (5, 20, 60) for q in (0.1, 0.5, 0.9)}, group_rows)
+    t = df.groupBy(*by).agg(*aggs).join(places, by)
     out = {}
     for h in (5, 20, 60):
-        out |= {f"mean_{h}": F.round(f"mean_{h}", 1), f"p10_{h}": F.round(at(h, 0.1), 1), f"p50_{h}": F.round(at(h, 0.5), 1),
-                f"p90_{h}": F.round(at(h, 0.9), 1), f"up_{h}": F.round(F.col(f"up_{h}") * 100)}
+        out |= {f"{c}_{h}": F.round(f"{c}_{h}", 1) for c in ("mean", "p10", "p50", "p90")} | {f"up_{h}": F.round(F.col(f"up_{h}") * 100)}
     out |= {"rebound_5": F.round(F.col("rebound_5") * 100), "below_5_in_20": F.round(F.col("below_5_in_20") * 100)}
-    t = t.withColumns(out).drop("_v5", "_v20", "_v60")
     thin = F.col("samples") < min_samples
-    return t.select(key, "dd_state", "r20_state", "samples", *[F.when(~thin, F.col(c)).alias(c) for c in out])
+    return t.withColumns(out).select(*by, "samples", *[F.when(~thin, F.col(c)).alias(c) for c in out])
 
 
 def same_state_recent(states: DataFrame, key: str, order: str, keep: int = 8) -> DataFrame:
@@ -178,16 +178,37 @@ def same_state_recent(states: DataFrame, key: str, order: str, keep: int = 8) ->
 # ---- samples -------------------------------------------------------------------------
 
 
+def hash_text(key: Sequence[str]) -> Column:
+    """MD5 of the key columns joined by a bar, which other engines can state too."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+
+
+def hash_number(text: Column) -> Column:
+    """Its first 32 bits as a number."""
+    return F.conv(F.substring(text, 1, 8), 16, 10).cast("long")
+
+
 def stratified_sample(df: DataFrame, year: Column, key: Sequence[str], per_year: int) -> DataFrame:
-    """Up to ``per_year`` rows of every year in hash order (the same on every run)."""
-    d = df.withColumns({"_y": year, "_h": F.xxhash64(*key)})
-    out = ranks.top_n(d, ["_y"], [F.col("_h"), *[F.col(k) for k in key]], per_year, key[0], "_rk")
-    return out.drop("_y", "_h", "_rk")
+    """Up to ``per_year`` rows of every year in hash order (the same on every run and for every dealing of rows).
+
+    Hashes are uniform, so a year's rows are cut before the shuffle at a hash that keeps little more than
+    ``per_year`` of them; a year where that cut, once counted, keeps too few rows is not cut.
+    """
+    d = df.withColumns({"_y": year, "_h": hash_text(key)}).withColumn("_x", hash_number(F.col("_h")))
+    wide = per_year + 8 * per_year ** 0.5 + 16
+    cut = (F.lit(float(1 << 32)) * F.lit(wide) / F.count(F.lit(1))).alias("_cut")
+    sized = cut_lineage(d.groupBy(F.col("_y").alias("_z")).agg(F.count(F.lit(1)).alias("_n"), cut))
+    same = F.col("_y").eqNullSafe(F.col("_z"))
+    under = d.join(F.broadcast(sized), same).where("_x <= _cut")  # a row per year
+    enough = under.groupBy("_y").agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n")).where(F.col("_k") >= F.least(F.col("_n"), F.lit(per_year)))
+    cuts = cut_lineage(sized.join(enough.select("_y", F.lit(True).alias("_ok")), same, "left").select("_z", F.when(F.col("_ok"), F.col("_cut")).alias("_cut")))
+    kept = d.join(F.broadcast(cuts), same).where("_cut is null or _x <= _cut").drop("_z", "_cut", "_x")
+    return ranks.top_n(kept, ["_y"], [F.col("_h"), *[F.col(k) for k in key]], per_year, key[0], "_rk").drop("_y", "_h", "_rk")
 
 
 def whole_key_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     """All rows of a hash-chosen share of the keys; no shuffle."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(10_000)) < int(fraction * 10_000))
+    return df.where(F.pmod(hash_number(hash_text([key])), F.lit(10_000)) < int(fraction * 10_000))
 
 
 # ---- sentiment roll-ups --------------------------------------------------------------

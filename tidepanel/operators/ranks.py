@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 WINDOW_ROWS = 2_000_000
 #: Cells of a group that is too large for one window.
 CELLS = 256
@@ -140,17 +142,77 @@ def quantiles(
     return result
 
 
+def order_statistics(df: DataFrame, by: Sequence[str], specs: dict[str, tuple[str, float]], group_rows: int | None = None, limit: int = WINDOW_ROWS) -> DataFrame:
+    """Values by position per group: ``specs`` maps output -> (col, q), the value at place ``min(floor(n * q), n - 1)``
+    of the n sorted non-null values; nothing is interpolated. Groups beyond ``limit`` rows are read from the value
+    positions, others from one sort per column; no list of a group's values is built."""
+    by = list(by)
+    if group_rows is None:
+        group_rows = widest_group(df, by)
+    cols = sorted({c for c, _ in specs.values()})
+    place = lambda total, q: F.least(F.floor(total * F.lit(float(q))), total - 1)
+    if group_rows <= limit:
+        staged = df
+        for c in cols:
+            w = Window.partitionBy(*by).orderBy(F.col(c).asc_nulls_last())
+            staged = staged.withColumns({f"_at_{c}": F.row_number().over(w) - 1, f"_n_{c}": F.count(c).over(Window.partitionBy(*by))})
+        return staged.groupBy(*by).agg(*[F.max(F.when(F.col(f"_at_{c}") == place(F.col(f"_n_{c}"), q), F.col(c))).alias(o) for o, (c, q) in specs.items()])
+    result = df.select(*by).distinct()
+    for c in cols:
+        covers = lambda q: (F.col("_before") <= place(F.col("_total"), q)) & (place(F.col("_total"), q) < F.col("_before") + F.col("_copies"))
+        part = _positions(df, by, c).groupBy(*by).agg(*[F.max(F.when(covers(q), F.col("_x"))).alias(o) for o, (k, q) in specs.items() if k == c])
+        result = result.join(part, by, "left")
+    return result.select(*by, *specs)
+
+
 PRE_TRIM_LIMIT = 1000
 SALTS = 64
 
 
-def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, key: str, out: str = "pick_rank") -> DataFrame:
+#: Rows of the sample that stand among the first n of a group, and groups whose cuts are sent to the tasks.
+CUT_SAMPLE, CUT_GROUPS = 256, 100_000
+
+
+def threshold_cut(df: DataFrame, by: Sequence[str], value: Column, n: int, key: str, descending: bool = True) -> DataFrame:
+    """The rows that can be among the first ``n`` of their group by ``value`` (largest first, or least first), and few
+    others: a group is cut at a value that a hash sample of it suggests and a count over all its rows confirms; a
+    group where the count is below ``n`` is not cut. Rows of equal value stay together; null values stay where
+    they sort first (least first). Nothing of a group moves before the cut but its sample's own first rows."""
+    by = list(by)
+    v = value.cast("double")
+    groups = cut_lineage(df.select(*[F.col(b).alias(f"_{i}") for i, b in enumerate(by)]).distinct())
+    if groups.count() > CUT_GROUPS:
+        return df
+    share = min(1.0, CUT_SAMPLE / n)
+    place = int(n * share + 6 * (n * share) ** 0.5 + 8)
+    first = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).where(v.isNotNull()).select(*by, v.alias("_v"))
+    order = F.col("_v").desc() if descending else F.col("_v").asc()
+    first = first.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_at") <= place)
+    edge = F.min("_v") if descending else F.max("_v")
+    cuts = first.groupBy(*by).agg(F.when(F.count(F.lit(1)) == place, edge).alias("_cut")).where("_cut is not null")
+    named = [f"_{i}" for i in range(len(by))]
+    cuts = cut_lineage(cuts.select(*[F.col(b).alias(x) for b, x in zip(by, named)], "_cut"))
+    match = None
+    for b, x in zip(by, named):
+        same = F.col(b).eqNullSafe(F.col(x))
+        match = same if match is None else match & same
+    inside = (v >= F.col("_cut")) if descending else (v <= F.col("_cut"))
+    counted = df.join(F.broadcast(cuts), match).where(inside).groupBy(*named).agg(F.count(F.lit(1)).alias("_k"), F.max("_cut").alias("_cut")).where(F.col("_k") >= n)
+    sure = cut_lineage(counted.select(*named, "_cut"))
+    stays = F.col("_cut").isNull() | inside if descending else F.col("_cut").isNull() | inside | v.isNull()
+    return df.join(F.broadcast(sure), match, "left").where(stays).drop(*named, "_cut")
+
+
+def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, key: str, out: str = "pick_rank", value: Column | None = None, descending: bool = True) -> DataFrame:
     """First ``n`` rows per group in ``order`` (must be total), numbered from 1.
 
-    Up to 1000 rows Spark trims every partition before the shuffle. Larger cuts first run
-    inside salted sub-groups, so no task sees a whole hot group.
+    Up to 1000 rows Spark trims every partition before the shuffle. For larger cuts whose order starts with a
+    number, ``value`` (and ``descending``) lets :func:`threshold_cut` leave little more than ``n`` rows to shuffle;
+    without it they first run inside salted sub-groups, so no task sees a whole hot group.
     """
-    if n > PRE_TRIM_LIMIT:
+    if n > PRE_TRIM_LIMIT and value is not None:
+        df = threshold_cut(df, by, value, n, key, descending)
+    elif n > PRE_TRIM_LIMIT:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
         part = Window.partitionBy(*by, "_salt").orderBy(*order)
         df = salted.withColumn("_pos", F.row_number().over(part)).where(F.col("_pos") <= n).drop("_pos", "_salt")

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import ranks
 
 # Extraction patterns, tried in order.
@@ -242,10 +243,15 @@ def consensus(reports: DataFrame, since: Column, changes: DataFrame, limit: int
     g = m.groupBy("code").agg(
         F.count(F.lit(1)).alias("report_count"), n("is_buy").alias("buy_count"), F.count_if(F.col("sentiment") == "bullish").alias("bullish_count"),
         n("is_upgrade").alias("upgrade_count"), n("is_first").alias("first_cover_count"), F.count_distinct("institution").alias("institution_count"),
-        F.array_sort(F.collect_set("institution")).alias("institutions"), F.round(F.sum(pts), 1).alias("score"),
-        F.min_by("target_price", F.when(F.col("target_price").isNotNull(), F.col("report_id"))).alias("target_price"), F.max("report_date").alias("latest_date"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("industries"))
-    top = g.orderBy(F.col("score").desc(), F.col("report_count").desc(), "code").limit(limit).join(changes.select("code", "price_change_20d"), "code", "left")
+        F.round(F.sum(pts), 1).alias("score"), F.min_by("target_price", F.when(F.col("target_price").isNotNull(), F.col("report_id"))).alias("target_price"),
+        F.max("report_date").alias("latest_date"))
+    top = cut_lineage(g.orderBy(F.col("score").desc(), F.col("report_count").desc(), "code").limit(limit))
+    mine = m.join(F.broadcast(top.select("code")), "code", "left_semi") if limit <= 10_000 else m.join(top.select("code"), "code", "left_semi")
+    lists = {"institutions": F.col("institution"), "industries": F.explode("tags")}
+    for out, value in lists.items():  # only values of the chosen codes, each once, are gathered
+        once = mine.select("code", value.alias("value")).where("value is not null").distinct().groupBy("code").agg(F.array_sort(F.collect_list("value")).alias(out))
+        top = top.join(once, "code", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    top = top.join(changes.select("code", "price_change_20d"), "code", "left")
     return top.withColumn("divergence", F.coalesce((F.col("price_change_20d") <= -5) & (F.col("buy_count") / F.col("report_count") >= 0.6) & (F.col("report_count") >= 3), F.lit(False)))
 
 

@@ -353,7 +353,7 @@ def factor_returns(df: DataFrame, xs: Sequence[str], ret: str, top: int | None =
 
 
 def largest_caps(df: DataFrame, n: int, cap: str = "total_mv") -> DataFrame:
-    return ranks.top_n(df, DATE, [F.col(cap).desc(), F.col("ts_code")], n, "ts_code", "_rk").drop("_rk")
+    return ranks.top_n(df, DATE, [F.col(cap).desc(), F.col("ts_code")], n, "ts_code", "_rk", value=F.col(cap)).drop("_rk")
 
 
 def concentration_penalty(df: DataFrame, score: str, limit: float = 0.30) -> DataFrame:

@@ -167,14 +167,14 @@ def same_state_recent(spark, sf):
     return rounded(mk.same_state_recent(states, "series_name", "obs_date").drop("series_name"), 1)
 
 
-@query("stratified_sample")
+@query("stratified_sample", v.with_views("""select ts_code, trade_date, "close" from panel_l
+  qualify row_number() over (partition by year(trade_date) order by md5(ts_code || '|' || cast(trade_date as varchar)), ts_code, trade_date) <= 200""", "panel_l"))
 def stratified_sample(spark, sf):
-    """Fixed-size hash sample per year (bounds and determinism are tested)."""
     df = v.panel_l(spark, sf).select("ts_code", "trade_date", "close")
     return mk.stratified_sample(df, F.year("trade_date"), ["ts_code", "trade_date"], 200)
 
 
-@query("whole_key_sample")
+@query("whole_key_sample", v.with_views("""select ts_code, trade_date, "close" from panel_l where cast('0x' || substr(md5(ts_code), 1, 8) as bigint) % 10000 < 3000""", "panel_l"))
 def whole_key_sample(spark, sf):
     return mk.whole_key_sample(v.panel_l(spark, sf).select("ts_code", "trade_date", "close"), "ts_code", 0.3)
 

@@ -491,7 +491,7 @@ def paged_rows(spark, sf):
 
 @query("salted_top_n", "select o_orderpriority, o_orderkey, pick_rank from (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) pick_rank from orders) where pick_rank <= 1500")
 def salted_top_n(spark, sf):
-    out = ranks.top_n(t(spark, sf, "orders"), ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 1500, "o_orderkey")
+    out = ranks.top_n(t(spark, sf, "orders"), ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 1500, "o_orderkey", value=F.col("o_totalprice"))
     return out.select("o_orderpriority", "o_orderkey", "pick_rank")
 
 
