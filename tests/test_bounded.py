@@ -55,3 +55,23 @@ def test_samples_are_the_least_hashes(spark):
     assert got == want
     kept = {r.k for r in market.whole_key_sample(df, "k", 0.25).collect()}
     assert kept == {k for k, _ in rows if int(digest(k)[:8], 16) % 10_000 < 2500}
+
+
+def test_a_rank_step_moves_no_link(spark):
+    from tidepanel.operators import flow
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + j) % 50}", 1.0 + j) for i in range(50) for j in range(4)], "source string, target string, weight double")
+    name, links = flow.stored_links(edges)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rank = links.select(F.col("source").alias("node")).distinct().withColumn("rank", F.lit(0.02))
+        plan = flow.received(links, rank)._jdf.queryExecution().executedPlan().toString()
+        scan = plan[:plan.index("Bucketed: true")].splitlines()
+        join = max(i for i, line in enumerate(scan) if "Join" in line)
+        assert not any("Exchange" in line for line in scan[join:])  # from the join down to the links
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"drop table {name}")
+    few = {r.sector_name: r.pagerank for r in flow.page_rank(edges, iterations=200, small=1).collect()}
+    assert len(few) == 50 and abs(sum(few.values()) - 1) < 1e-4 and few == {r.sector_name: r.pagerank for r in flow.page_rank(edges, iterations=60, small=1, tolerance=1e-16).collect()}

@@ -10,12 +10,14 @@ pair of rows is ever materialised.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bound, first_existing, parse_amount, parse_percent, to_yi
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_folder
 from . import ranks, tiles
 from .windows import Series, latest_per_key, run_lengths
 
@@ -218,38 +220,62 @@ def rotation_edges(flow: DataFrame, max_lag: int = 3, window: int = 5, threshold
 SMALL_GRAPH = 200
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, store_every: int = 8, small: int = SMALL_GRAPH) -> DataFrame:
+def stored_links(edges: DataFrame) -> tuple[str, DataFrame]:
+    """(table, links): the shares of every source's weight, stored once in buckets of the source, so that joins on the
+    source move no link; the table lies in the application's stages."""
+    spark = edges.sparkSession
+    e = edges.groupBy("source", "target").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    out = e.groupBy("source").agg(F.sum("weight").alias("_out"))
+    links = e.join(out, "source").select("source", "target", (F.col("weight") / F.col("_out")).alias("share"))
+    name, buckets = f"links_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links.repartition(buckets, "source").write.bucketBy(buckets, "source").sortBy("source").option("path", f"{stage_folder(spark)}/{name}").saveAsTable(name)
+    return name, spark.table(name)
+
+
+def received(links: DataFrame, rank: DataFrame) -> DataFrame:
+    """What every node gets of the ranks of its sources: ranks move to the links, partial sums to the targets."""
+    moved = links.join(rank.select(F.col("node").alias("source"), "rank"), "source")
+    return moved.groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
+
+
+def page_rank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, store_every: int = 8, small: int = SMALL_GRAPH, tolerance: float = 1e-10) -> DataFrame:
     """Weighted PageRank with dangling mass spread evenly.
 
     A counted small graph (the edge lists above keep at most 30 edges) is one row of arrays
-    and a single fold. Larger graphs iterate by joins: the dangling mass of a step is one
-    number, the action that fills the step's cache, and every ``store_every`` steps the
-    ranks are stored, so a lost executor replays few steps.
+    and a single fold. Larger graphs iterate by joins with links stored in buckets, until the ranks change by less
+    than ``tolerance`` in total, or for ``iterations`` steps: the dangling mass and the change of a step come from the
+    action that fills the step's cache, and every ``store_every`` steps the ranks are stored, so a lost executor
+    replays few steps.
     """
-    e = edges.groupBy("source", "target").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
-    out = e.groupBy("source").agg(F.sum("weight").alias("_out"))
-    links = cut_lineage(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("_out")).alias("share")))
-    ends = links.select(F.col("source").alias("node"), F.lit(False).alias("sink")).union(links.select("target", F.lit(True)))
-    nodes = cut_lineage(ends.groupBy("node").agg(F.bool_and("sink").alias("sink")))
-    count = nodes.count()
-    if count <= small:
-        return _page_rank_fold(links, damping, iterations)
-    rank, held = nodes.withColumn("rank", F.lit(1.0 / count)), []
-    for step in range(iterations):
-        loose = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        moved = links.join(rank, links.source == rank.node).groupBy(F.col("target").alias("node")).agg(
-            F.sum(F.col("rank") * F.col("share")).alias("_in"))
-        value = (1 - damping) / count + damping * (F.coalesce("_in", F.lit(0.0)) + loose / count)
-        rank = nodes.join(moved, "node", "left").select("node", "sink", value.alias("rank"))
-        if step % store_every == store_every - 1:
-            rank = cut_lineage(rank)
-            for old in held:
-                old.unpersist()
-            held = []
-        else:
-            rank = rank.persist()
-            held.append(rank)
-    return rank.select(F.col("node").alias("sector_name"), F.round("rank", 6).alias("pagerank"))
+    spark = edges.sparkSession
+    table, links = stored_links(edges)
+    try:
+        ends = links.select(F.col("source").alias("node"), F.lit(False).alias("sink")).union(links.select("target", F.lit(True)))
+        nodes = cut_lineage(ends.groupBy("node").agg(F.bool_and("sink").alias("sink")))
+        count = nodes.count()
+        if count <= small:
+            return cut_lineage(_page_rank_fold(links, damping, iterations))
+        rank, held = nodes.select("node", "sink", F.lit(1.0 / count).alias("rank"), F.lit(0.0).alias("old")), []
+        for step in range(iterations):
+            state = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
+            if state[1] < tolerance:
+                break
+            value = (1 - damping) / count + damping * (F.coalesce("_in", F.lit(0.0)) + state[0] / count)
+            rank = rank.join(received(links, rank), "node", "left").select("node", "sink", value.alias("rank"), F.col("rank").alias("old"))
+            if step % store_every == store_every - 1:
+                rank = cut_lineage(rank)
+                for old in held:
+                    old.unpersist()
+                held = []
+            else:
+                rank = rank.persist()
+                held.append(rank)
+        rank = cut_lineage(rank)
+        for old in held:
+            old.unpersist()
+        return rank.select(F.col("node").alias("sector_name"), F.round("rank", 6).alias("pagerank"))
+    finally:
+        spark.sql(f"drop table if exists {table}")  # an outside table: its files stay with the stages
 
 
 def _page_rank_fold(links: DataFrame, damping: float, iterations: int) -> DataFrame:
