@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -88,6 +89,10 @@ def exposures(spark, vectors, ids=None):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "a", 1, "b", 2) for i, v in zip(ids or range(len(vectors)), vectors)], FIELDS)
 
 
+def doubles(spark, vectors):
+    return spark.createDataFrame(list(enumerate(vectors)), "ts_code long, features array<double>")
+
+
 def odd_vectors(n, dims, seed, dups=0):
     rng = np.random.default_rng(seed)
     x = np.float32(rng.normal(size=(n, dims)) / 4).tolist()
@@ -117,8 +122,28 @@ def test_top_k_odd_tables(spark):
     assert topk.top_exposures(exposures(spark, [None, [float("nan")]]), "true").collect() == []
     twice = exposures(spark, [[1.0, 0.0], [1.0, 0.0], [0.5, 0.0]], ids=[0, 0, 1])
     assert sorted(map(tuple, topk.top_exposures(twice, "ts_code = 1").collect())) == [(1, 1, 0, 64 * 32)]
-    with pytest.raises(Exception, match="too large"):
-        topk.top_exposures(exposures(spark, [[1e30, 0.0], [1.0, 0.0]]), "true").collect()
+    far = doubles(spark, [[1e306, 0.0], [1e308, 1.0], [1.0, 0.0]])  # 64e308 is no double
+    assert set(map(tuple, topk.top_exposures(far, "true").collect())) == {(0, 1, 2, None), (2, 1, 0, None)}
+
+
+@pytest.mark.parametrize("size", [1e6, 1e8, 1e14, 1e160, None])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    """Scores beyond 2**53 are ranked in whole numbers, ties and neighbours by one unit included."""
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 16)
+    monkeypatch.setattr(topk, "CELL_BLOCKS", 4)
+    monkeypatch.setattr(topk, "CELL_QUERIES", 16)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(240, 8))
+    x = x * size if size else x * 10.0 ** rng.integers(-2, 12, size=(240, 1))
+    x[100:130] = x[100]
+    x[110:120, 0] += 1 / 64
+    units = [[Fraction(v) * 64 // 1 for v in row] for row in x.tolist()]
+    want = set()
+    for q in range(0, len(x), 5):
+        best = sorted((-sum(a * b for a, b in zip(units[q], v)), i) for i, v in enumerate(units) if i != q)[:20]
+        want |= {(q, rank + 1, i, -s if abs(s) < 1 << 63 else None) for rank, (s, i) in enumerate(best)}
+    rows = list(map(tuple, topk.top_exposures(doubles(spark, x.tolist()), "ts_code % 5 = 0").collect()))
+    assert set(rows) == want and len(rows) == len(want)
 
 
 def recall(spark, vectors, lists, monkeypatch):
