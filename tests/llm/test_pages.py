@@ -3,6 +3,7 @@
 import hashlib
 import io
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.llm import archive, wrappers
@@ -38,6 +39,15 @@ def test_archives_of_null_ids_and_nothing(spark):
     assert listed.collect() == [] and archive.read_archives(listed, T.LongType()).collect() == []
 
 
+def test_each_archive_is_read_by_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(archive, "ARCHIVE_BYTES", 1)
+    listed = archive.write_archives(pages(spark, [(i, "u", f"page {i}") for i in range(40)]).repartition(4))
+    assert listed.count() == 40
+    got = archive.read_archives(listed, T.LongType())
+    held = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(held) >= 35 and max(held) <= 2 and sum(held) == 40
+
+
 def test_records_are_frames_under_an_embedded_dictionary():
     records = [archive.warc_record(i, "u", (BIG + str(i)).encode(), hashlib.sha1((BIG + str(i)).encode()).hexdigest(), None, False, "1970-01-01T00:00:00Z") for i in range(900)]
 

@@ -29,6 +29,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Least payload that is worth a revisit record, in bytes.
 LEAST_REVISIT = 1000
+#: Tasks that read archives, at most; beyond it a task reads several, one after the other.
+MOST_READERS = 20_000
 #: Uncompressed bytes of an archive; bytes of its first records that its dictionary is built from; the dictionary's size.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 64 << 20, 1 << 20, 32 << 10
 
@@ -193,7 +195,8 @@ def archive_records(stream):
 def read_archives(archives: DataFrame, id_type: T.DataType, *, payloads: bool = True) -> DataFrame:
     """Read listed archives back: ``external_id`` (as ``id_type``), ``source_url``, ``record_type``, ``payload_bytes``,
     ``payload_digest`` (lower-case hex SHA-1 of the full payload), ``refers_to`` and, with ``payloads``, ``payload``
-    (null for a revisit). The digest of every response is worked out from what was read."""
+    (null for a revisit). The digest of every response is worked out from what was read. The archives are counted
+    and spread over as many tasks, at most ``MOST_READERS``."""
     schema = "id string, source_url string, record_type string, payload_bytes long, payload_digest string, refers string, payload binary"
     names = ["id", "source_url", "record_type", "payload_bytes", "payload_digest", "refers", "payload"]
 
@@ -221,7 +224,9 @@ def read_archives(archives: DataFrame, id_type: T.DataType, *, payloads: bool =
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=ARROW)
 
-    spread = archives.select("archive").repartition(F.col("archive"))
+    names_only = archives.select("archive")
+    # With a stated number adaptive execution leaves the partitions of this short list as they are.
+    spread = names_only.repartitionByRange(min(max(names_only.count(), 1), MOST_READERS), "archive")
     out = spread.mapInArrow(run, schema).withColumns({"external_id": F.col("id").cast(id_type), "refers_to": F.col("refers").cast(id_type)})
     return out.select("external_id", "source_url", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if payloads else []))
 
