@@ -223,8 +223,8 @@ def test_language_odd_rows(spark):
 def test_packing_is_gapless_and_exact(spark, sf):
     tokenizer = Tokenizer.from_file(MODEL)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    rows = docs + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (20_000, "<|endoftext|> as text")]
-    tokenizer.encode_special_tokens = True
+    rows = docs + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (20_000, "<|endoftext|> as text"), (20_001, "é<|endoftext|>中"), (20_002, "hello <|endoftext|> world")]
+    assert tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
     want = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in rows}
     got = packing.pack_reports(spark.createDataFrame(rows, "external_id long, content_text string").repartition(3), MODEL).collect()
     pieces, bins = defaultdict(list), defaultdict(list)

@@ -14,7 +14,7 @@ import json
 import os
 import re
 from array import array
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -49,7 +49,8 @@ def byte_ranks(model: bytes) -> dict[bytes, int] | None:
 
 class ReportTokenizer:
     """A tokenizer file. Where it is a plain byte-level BPE, usual texts go through a faster encoder with
-    the same vocabulary and merges; all others through the file's own library."""
+    the same vocabulary and merges; all others, and texts that hold the string of an added token, through
+    the file's own library."""
 
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,6 +58,8 @@ class ReportTokenizer:
 
         self.model = model
         ranks = byte_ranks(model)
+        added = [re.escape(t["content"]) for t in json.loads(model)["added_tokens"]]
+        self.holds_added = re.compile("|".join(added) or "(?!)").search
         self.fast = ranks and tiktoken.Encoding("report", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @cached_property
@@ -64,17 +67,21 @@ class ReportTokenizer:
         """The library's own tokenizer, loaded when a text needs it."""
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_buffer(self.model)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_buffer(self.model)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, little-endian unsigned 32-bit."""
-        if self.fast and not UNUSUAL(text):
+        if self.fast and not UNUSUAL(text) and not self.holds_added(text):
             return array("I", self.fast(text)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+@lru_cache(1)
+def report_tokenizer(model: bytes) -> ReportTokenizer:
+    """The tokenizer of a file, built once in each worker."""
+    return ReportTokenizer(model)
+
+
 def cut_lengths(total: int, capacity: int, slack: int) -> list[int]:
     """Lengths of a report's pieces in order: whole sequences, then the classed pieces of the rest."""
     out = [capacity] * (total // capacity)
@@ -98,7 +105,7 @@ def pack_reports(reports: DataFrame, tokenizer_path: str, *, capacity: int = 102
 
     A null text counts as empty and becomes the closing id alone; null ids, repeated rows and further
     columns are carried or ignored as they are; an empty table gives no rows; long texts are tokenised
-    whole. ``sequence_id`` is unique, not dense: the task's number and a counter. Per task at most one
+    whole. The string of an added token in a text becomes that token, as the file's library has it by default. ``sequence_id`` is unique, not dense: the task's number and a counter. Per task at most one
     sequence is filled by the end-to-end rule's last piece. Needs no shuffle.
     """
     with open(tokenizer_path, "rb") as f:
@@ -111,7 +118,7 @@ def pack_reports(reports: DataFrame, tokenizer_path: str, *, capacity: int = 102
     closing = array("I", [end_id]).tobytes()
 
     def run(batches):
-        tokenizer = ReportTokenizer(shared.value)
+        tokenizer = report_tokenizer(shared.value)
         base, used = TaskContext.get().partitionId() << 33, 0
         open_bins: dict[int, list] = {}
         kind = None
