@@ -193,6 +193,19 @@ def test_passages_equal_brute_force(spark, sf):
     assert not re.search("Python|Arrow|Pandas", plan) and lines.drop_repeated_passages(reports(spark, ODD).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("drop", [lines.drop_repeated_chunks, lines.drop_repeated_passages])
+def test_line_dedup_keeps_clashing_columns(spark, drop):
+    passage = "\n".join(f"line {n} of a passage" for n in range(40))
+    names = ["_row", "_hash", "given", "text", "external_id", "_gone", "content_text", "_done", "start", "print", "a.b", "n_lines"]
+    rows = [tuple({"external_id": i, "content_text": t, "n_lines": "old"}.get(c, f"{c} {i}") for c in names) for i, t in enumerate([passage, "x\n" + passage, None])]
+    got = drop(spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'external_id' else 'string'}" for c in names)))
+    assert got.columns == names[:-1] + ["n_lines", "n_removed"]
+    found = sorted(got.collect(), key=lambda r: r.external_id)
+    assert [r.n_lines for r in found] == [40, 41, None] and found[0].n_removed == 0 and found[1].n_removed >= 30
+    for i, r in enumerate(found):
+        assert all(r[c] == f"{c} {i}" for c in names[:-1] if c not in ("external_id", "content_text"))
+
+
 def test_line_dedup_is_native(spark):
     plan = lines.drop_repeated_chunks(reports(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
