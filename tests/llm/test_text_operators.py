@@ -96,6 +96,13 @@ def test_trigram_queries_hold_for_every_match():
             assert 0 in secrets.candidates(query, postings, range(1))
 
 
+def test_index_holds_the_queried_trigrams():
+    texts = SECRETS + ["", "to", "tok", "xTOKen", "İtoken", "aaa" * 50]
+    wanted = {"tok", "oke", "aaa", "kia"}
+    got = secrets.inverted_index(texts, wanted)
+    assert got == {g: {i for i, t in enumerate(texts) if g in t.lower()} for g in wanted}
+
+
 def test_redaction_masks_spans_only(spark):
     table = reports(spark, SECRETS + [None, "clean text"])
     out = {r.external_id: r for r in secrets.redact_reports(table).collect()}

@@ -143,6 +143,35 @@ def find(rule: Rule, expression: re.Pattern, text: str):
             yield m.start(), m.end()
 
 
+def inverted_index(texts: list[str], wanted: set[str]) -> dict[str, set[int]]:
+    """Postings of the queried trigrams: the trigrams of each text, in lower case, are listed once and looked up."""
+    letters = {tuple(g): g for g in wanted}
+    queried = frozenset(letters)
+    postings = {g: set() for g in wanted}
+    for i, text in enumerate(texts):
+        low = text.lower()
+        for g in queried.intersection(zip(low, low[1:], low[2:])):
+            postings[letters[g]].add(i)
+    return postings
+
+
+class BlockScanner:
+    """The rules with their expressions and trigram queries, applied to a block of texts at a time."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.plans = [(r, re.compile(r.pattern, re.ASCII), trigram_query(r.pattern)) for r in rules]
+        self.wanted = set().union(*(trigrams(query) for *_, query in self.plans))
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(start, order of the rule, end) of each text's secrets, by start and then by order."""
+        postings = inverted_index(texts, self.wanted)
+        out: list[list] = [[] for _ in texts]
+        for order, (rule, expression, query) in enumerate(self.plans):
+            for i in candidates(query, postings, range(len(texts))):
+                out[i] += [(start, order, end) for start, end in find(rule, expression, texts[i])]
+        return [sorted(x) for x in out]
+
+
 def scan_reports(reports: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "external_id", text_col: str = "content_text") -> DataFrame:
     """Secrets of every whole ``content_text``: ``external_id`` and ``spans``, an array of
     (kind, start, end) in code points, end exclusive, by start and then by the order of ``rules``.
@@ -157,17 +186,10 @@ def scan_reports(reports: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        plans = [(i, r, re.compile(r.pattern, re.ASCII), trigram_query(r.pattern)) for i, r in enumerate(rules)]
-        wanted = sorted(set().union(*(trigrams(q) for *_, q in plans)))
+        scanner = BlockScanner(rules)
         for batch in batches:
             for rows, texts in text_slices(batch, 1):
-                lowered = [t.lower() for t in texts]
-                postings = {g: {i for i, t in enumerate(lowered) if g in t} for g in wanted}
-                spans: list[list] = [[] for _ in texts]
-                for order, rule, expression, query in plans:
-                    for i in candidates(query, postings, range(len(texts))):
-                        spans[i] += [(start, order, end) for start, end in find(rule, expression, texts[i])]
-                out = [[{"kind": rules[o].kind, "start": s, "end": e} for s, o, e in sorted(x)] for x in spans]
+                out = [[{"kind": rules[o].kind, "start": s, "end": e} for s, o, e in x] for x in scanner.spans(texts)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, kind)], ["external_id", "spans"])
 
     return source.mapInArrow(run, schema)
@@ -181,18 +203,11 @@ def redact_reports(reports: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_co
     at, schema = reports.columns.index(text_col), reports.schema
 
     def run(batches):
-        plans = [(i, r, re.compile(r.pattern, re.ASCII), trigram_query(r.pattern)) for i, r in enumerate(rules)]
-        wanted = sorted(set().union(*(trigrams(q) for *_, q in plans)))
+        scanner = BlockScanner(rules)
         for batch in batches:
             for rows, texts in text_slices(batch, at):
-                lowered = [t.lower() for t in texts]
-                postings = {g: {i for i, t in enumerate(lowered) if g in t} for g in wanted}
-                spans: dict[int, list] = {}
-                for order, rule, expression, query in plans:
-                    for i in candidates(query, postings, range(len(texts))):
-                        spans.setdefault(i, []).extend((start, order, end) for start, end in find(rule, expression, texts[i]))
                 null = rows.column(at).is_null().to_pylist()
-                clean = [None if null[i] else _masked(t, sorted(spans[i]), rules) if spans.get(i) else t for i, t in enumerate(texts)]
+                clean = [None if gone else _masked(t, spans, rules) if spans else t for gone, t, spans in zip(null, texts, scanner.spans(texts))]
                 columns = list(rows.columns)
                 columns[at] = pa.array(clean, rows.column(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
