@@ -110,58 +110,6 @@ def test_redaction_masks_spans_only(spark):
     assert out[0].content_text == "[assign]" and out[0].spans == "clash" and not any(brute_spans(r.content_text) for r in out.values())
 
 
-def brute_lines(rows, divisor=lines.DIVISOR):
-    import hashlib
-    cut = {}
-    for n, (i, text) in enumerate(rows):
-        if text is None:
-            continue
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in text.split("\n")]
-        parts, start = [], 0
-        for k, x in enumerate(h):
-            hit = [(h[j] * 31 + (h[j - 1] if j else 0)) % divisor == 0 for j in (k, max(k - 1, 0))]
-            if k == len(h) - 1 or hit[0] and (k == 0 or not hit[1]):
-                parts.append((start, text.split("\n")[start:k + 1]))
-                start = k + 1
-        cut[n] = parts
-    first = {}
-    for n, parts in cut.items():
-        for start, body in parts:
-            if len(body) > 1:
-                place = (rows[n][0] is None, rows[n][0] or 0, start)
-                first[tuple(body)] = min(first.get(tuple(body), place), place)
-    out = []
-    for n, (i, text) in enumerate(rows):
-        if text is None:
-            out.append((i, None))
-            continue
-        keep = [b for s, b in cut[n] if len(b) < 2 or first[tuple(b)] == (i is None, i or 0, s)]
-        out.append((i, "\n".join(x for b in keep for x in b)))
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark, sf):
-    passage = "\n".join(f"shared line {n}" for n in range(12))
-    texts = [passage, "own\n" + passage + "\ntail", None, "", "one line", "a\n\n\nb", passage + "\n" + passage, "one line"]
-    for ids in (list(range(len(texts))), [3, None, 2, 1, 0, 9, 8, 7]):
-        table = reports(spark, texts, ids)
-        got = lines.drop_repeated_chunks(table)
-        assert got.columns == table.columns + ["n_lines", "n_removed"]
-        assert Counter((r.external_id, r.content_text) for r in got.collect()) == Counter(brute_lines(list(zip(ids, texts))))
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = lines.drop_repeated_chunks(spark.createDataFrame(docs, "external_id long, content_text string")).collect()
-    assert Counter((r.external_id, r.content_text) for r in got) == Counter(brute_lines(docs)) and sum(r.n_removed for r in got) > 0
-    assert lines.drop_repeated_chunks(reports(spark, texts).limit(0)).collect() == []
-
-
-def test_line_dedup_keeps_equal_rows_and_cuts_shifted_passages(spark):
-    passage = "\n".join(f"line {n} of a passage" for n in range(40))
-    rows = [(1, passage), (1, passage), (2, "x\ny\n" + passage + "\nz")]
-    got = sorted((r.external_id, r.content_text, r.n_removed) for r in lines.drop_repeated_chunks(spark.createDataFrame(rows, "external_id long, content_text string")).collect())
-    assert got[0][1] == got[1][1] == passage
-    assert got[2][2] >= 30 and got[2][1].startswith("x\ny\n") and got[2][1].endswith("z")
-
-
 def brute_passages(rows):
     places = defaultdict(list)
     for i, text in set(rows):
@@ -178,8 +126,8 @@ def brute_passages(rows):
     return Counter((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in cut[(i is None, i or 0), t]), None if t is None else len(cut[(i is None, i or 0), t])) for i, t in rows)
 
 
-def passage_counts(spark, rows):
-    got = lines.drop_repeated_passages(spark.createDataFrame(rows, "external_id long, content_text string"))
+def passage_counts(spark, rows, **options):
+    got = lines.drop_repeated_passages(spark.createDataFrame(rows, "external_id long, content_text string"), **options)
     return Counter(map(tuple, got.select("external_id", "content_text", "n_removed").collect()))
 
 
@@ -194,18 +142,42 @@ def test_planted_passages_go_whole(spark):
 def test_passages_equal_brute_force(spark, sf):
     rows = [(3, "a\n\nb\nc"), (None, "a\n\nb\nc"), (1, "x\na\n\nb\n"), (1, "x\na\n\nb\n"), (2, "a\nb"), (4, "r\nr\nr"), (5, "s\ns\ns\ns"), (6, "a\n\n"), (7, None), (8, ""), (9, "\n \n")]
     assert passage_counts(spark, rows) == brute_passages(rows)
+    passage = "\n".join(f"shared line {n}" for n in range(40))
+    texts = [passage, "own\n" + passage + "\ntail", None, "one line", "a\n\n\nb", passage + "\n" + passage, "one line", passage, "\n".join(["x"] * 3000), passage.replace("line 7", "word 7")]
+    for ids in (list(range(len(texts))), [3, None, 2, 1, 0, 9, 8, 3, 6, None]):
+        for options in ({}, {"compare_bytes": False}, {"divisor": 2}, {"divisor": 1000}):
+            assert passage_counts(spark, list(zip(ids, texts)), **options) == brute_passages(list(zip(ids, texts))), options
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert passage_counts(spark, docs) == brute_passages(docs)
+    want = brute_passages(docs)
+    assert passage_counts(spark, docs) == want == passage_counts(spark, docs, compare_bytes=False) and sum(n or 0 for _, _, n in want) > 0
     plan = lines.drop_repeated_passages(reports(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and lines.drop_repeated_passages(reports(spark, ODD).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("drop", [lines.drop_repeated_chunks, lines.drop_repeated_passages])
-def test_line_dedup_keeps_clashing_columns(spark, drop):
+def test_equal_fingerprints_of_different_chunks_cut_nothing_wrong(spark, monkeypatch):
+    """Chunks whose fingerprints collide are told apart by their bytes; their pairs of lines still go where they repeat."""
+    whole = lines._print
+    def weak(body):
+        return lines.F.when(lines.F.regexp_count(body, lines.F.lit("\n")) > 1, lines.F.lit(b"same")).otherwise(whole(body))
+    monkeypatch.setattr(lines, "_print", weak)
+    rows = [(i, "\n".join(f"text {i % 5} line {n}" for n in range(30))) for i in range(10)]
+    assert passage_counts(spark, rows) == brute_passages(rows)
+
+
+def test_pieces_cover_the_lines_and_end_alike_in_shifted_copies(spark):
+    passage = "\n".join(f"line {n} of a passage" for n in range(60))
+    table = spark.createDataFrame([(0, passage), (1, "x\n\ny\n" + passage + "\nz")], "id int, t string").select(lines.chunks(lines.F.col("t")).alias("c"), "id")
+    one, two = (r.c for r in table.orderBy("id").collect())
+    assert [c.start for c in one] == [0] + [c.start + c.size for c in one][:-1] and one[-1].start + one[-1].size == 60 and one[-1].seam is None
+    assert all(len(c.inner) == c.size - 1 for c in one) and sum(c.size > 1 for c in one) > 5
+    assert {(c.start + 3, c.print and bytes(c.print)) for c in one[1:-1]} <= {(c.start, c.print and bytes(c.print)) for c in two}
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
     passage = "\n".join(f"line {n} of a passage" for n in range(40))
     names = ["_row", "_hash", "given", "text", "external_id", "_gone", "content_text", "_done", "start", "print", "a.b", "n_lines"]
     rows = [tuple({"external_id": i, "content_text": t, "n_lines": "old"}.get(c, f"{c} {i}") for c in names) for i, t in enumerate([passage, "x\n" + passage, None])]
-    got = drop(spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'external_id' else 'string'}" for c in names)))
+    got = lines.drop_repeated_passages(spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'external_id' else 'string'}" for c in names)))
     assert got.columns == names[:-1] + ["n_lines", "n_removed"]
     found = sorted(got.collect(), key=lambda r: r.external_id)
     assert [r.n_lines for r in found] == [40, 41, None] and found[0].n_removed == 0 and found[1].n_removed >= 30
@@ -213,10 +185,6 @@ def test_line_dedup_keeps_clashing_columns(spark, drop):
         assert all(r[c] == f"{c} {i}" for c in names[:-1] if c not in ("external_id", "content_text"))
 
 
-def test_line_dedup_is_native(spark):
-    plan = lines.drop_repeated_chunks(reports(spark, ODD))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
-
 
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -49,7 +49,7 @@ def op2_secret_scan(spark, sf):
 @query
 def op4_line_dedup(spark, sf):
     """Reports without the multi-line passages that an earlier report holds."""
-    out = lines.drop_repeated_chunks(reports(spark, sf).select("external_id", "content_text"))
+    out = lines.drop_repeated_passages(reports(spark, sf).select("external_id", "content_text"))
     return out.select(F.col("external_id").alias("doc_id"), F.col("content_text").alias("text"), "n_lines", "n_removed")
 
 
@@ -227,25 +227,24 @@ SELECT doc_id, len(list_filter(s, lambda x: x.k = 0)) AS n_assign, len(list_filt
   sha256(spans) AS base_sha256, spans FROM told
 """
 
-ORACLES["op4_line_dedup"] = """
+ORACLES["op4_line_dedup"] = r"""
 WITH split AS (
   SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
-), hashed AS (
-  SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM split
-), hits AS (
-  SELECT doc_id, l, list_transform(range(1, len(l) + 1), lambda i: (h[i] * 31 + CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % 2 = 0) AS hit FROM hashed
-), ends AS (
-  SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (hit[i] AND (i = 1 OR NOT hit[i - 1]))) AS e FROM hits
+), filled AS (
+  SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\x09-\x0D\x20]')) AS f FROM split
 ), numbered AS (
-  SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM ends
-), chunks AS (
-  SELECT doc_id, CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END AS start, e[k] - CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END AS size,
-    array_to_string(l[CASE WHEN k > 1 THEN e[k - 1] + 1 ELSE 1 END:e[k]], chr(10)) AS body FROM numbered
-), marked AS (
-  SELECT *, size = 1 OR row_number() OVER (PARTITION BY size > 1, body ORDER BY doc_id, start) = 1 AS stays FROM chunks
+  SELECT doc_id, l, f, unnest(range(1, len(f))) AS k FROM filled
+), pairs AS (
+  SELECT doc_id, f[k] AS a, f[k + 1] AS b, array_to_string(l[f[k]:f[k + 1]], chr(10)) AS body FROM numbered
+), earliest AS (
+  SELECT body, min({'d': doc_id, 'a': a}) AS place FROM pairs GROUP BY body
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM pairs JOIN earliest USING (body) WHERE doc_id <> place.d OR a > place.a + b - a
+), kept AS (
+  SELECT doc_id, i, line, g.i IS NULL AS stays FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM split) LEFT JOIN gone g USING (doc_id, i)
 )
-SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (stays), '') AS text, CAST(sum(size) AS BIGINT) AS n_lines,
-  CAST(coalesce(sum(size) FILTER (NOT stays), 0) AS BIGINT) AS n_removed FROM marked GROUP BY doc_id
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS text, count(*) AS n_lines,
+  count(*) FILTER (NOT stays) AS n_removed FROM kept GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL
 """
 
