@@ -1,6 +1,7 @@
 """Pipeline stages against their contracts, and the registration of the queries."""
 
 import re
+from pathlib import Path
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
@@ -38,7 +39,10 @@ def test_stages_keep_clean_documents(spark, sf, tmp_path):
 
 
 def test_run_applies_all_stages(spark, sf):
+    root = Path(pipeline.checkpoint_dir(spark).removeprefix("file:"))
+    earlier = set(root.glob("pipeline-*"))
     out = pipeline.run(spark, sf)
+    assert [p.name for f in set(root.glob("pipeline-*")) - earlier for p in f.iterdir()] == ["packing"]
     assert out.columns == ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
 
 
